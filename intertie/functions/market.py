@@ -81,6 +81,15 @@ def fill_rate(units_sold, units_offered) -> Column:
     return col_of(units_sold).cast("double") / F.greatest(col_of(units_offered), F.lit(1))
 
 
+def round_cents(value) -> Column:
+    """``round(value, 2)`` of a double without building a decimal, except next to a tie."""
+    value = as_column(value)
+    scaled = value * 100.0
+    nearest = F.rint(scaled)
+    clear = (F.abs(F.abs(scaled - nearest) - 0.5) > 1e-5) & (F.abs(value) < 1e10)
+    return F.when(clear, nearest / 100.0 + 0.0).otherwise(F.round(value, 2))
+
+
 def percent_error(actual, predicted) -> Column:
     actual, predicted = as_column(actual), as_column(predicted)
     return (

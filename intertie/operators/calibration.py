@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.market import capped_error, other_region
+from ..functions.market import capped_error, other_region, round_cents
 from .joins import size_checked_join
 from .residue import CATEGORY
 from .versions import top_per_key
@@ -72,13 +72,13 @@ def model_per_unit(discount: Column) -> Column:
     """Rounded fair value per unit of a back-test row at a total discount."""
     max_units = F.greatest(F.col("units_offered"), F.lit(1)).cast("double")
     expected = F.col("actual_residue_total") * max_units / F.greatest(F.col("total_units_sold"), F.lit(1))
-    return F.round(F.lit(1.0) / max_units * expected * (1 - discount), 2)
+    return round_cents(F.lit(1.0) / max_units * expected * (1 - discount))
 
 
 def model_total(discount: Column) -> Column:
     max_units = F.greatest(F.col("units_offered"), F.lit(1)).cast("double")
     expected = F.col("actual_residue_total") * max_units / F.greatest(F.col("total_units_sold"), F.lit(1))
-    return F.round(F.lit(1.0) / max_units * expected * (1 - discount) * F.col("units_sold"), 2)
+    return round_cents(F.lit(1.0) / max_units * expected * (1 - discount) * F.col("units_sold"))
 
 
 def _total_scores(backtest: DataFrame, config: CalibrationConfig, by_quarter: bool) -> DataFrame:

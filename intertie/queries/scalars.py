@@ -364,17 +364,17 @@ def mark(spark, folder):
 
 @REGISTRY.add(
     "recommendation",
-    """
+    f"""
     WITH x AS (
       SELECT event_id, value AS fair, 50.0 + (user_id % 30) AS market, (event_id % 100) / 100.0 AS conf FROM events
-    ), s AS (SELECT *, (fair - market) / market * 100 AS spread FROM x)
+    ), s AS (SELECT *, (fair - market) / market * 100.0 AS spread FROM x)
     SELECT event_id,
            CASE WHEN spread >= 12.0 * (1.0 - conf * 0.5) THEN 'BUY' WHEN spread >= 4.0 * (1.0 - conf * 0.3) THEN 'HOLD'
                 WHEN spread <= -(4.0 * (1.0 - conf * 0.3)) THEN 'AVOID' ELSE 'WATCH' END AS label,
            CASE WHEN spread >= 12 THEN 'BUY' WHEN spread >= 4 THEN 'HOLD' WHEN spread <= -8 THEN 'AVOID' ELSE 'WATCH' END
              AS static_label,
-           round(fair - market, 2) AS per_unit, round(spread, 1) AS premium_pct,
-           CASE WHEN round(spread, 1) >= 2.0 THEN 'LONG' WHEN round(spread, 1) <= -2.0 THEN 'SHORT' ELSE 'NEUTRAL' END AS side
+           {R.sql_round('fair - market', 2)} AS per_unit, {R.sql_round('spread', 1)} AS premium_pct,
+           CASE WHEN {R.sql_round('spread', 1)} >= 2.0 THEN 'LONG' WHEN {R.sql_round('spread', 1)} <= -2.0 THEN 'SHORT' ELSE 'NEUTRAL' END AS side
     FROM s
     """,
 )
