@@ -111,13 +111,14 @@ def overlay_forecast(
         F.struct(*[F.col(c) for c in signals.columns]).alias("_row"),
     )
     both = left.unionByName(right, allowMissingColumns=True)
+    both = both.withColumn("_exact", F.col("_point").cast("decimal(28,8)"))
     ordered = globally_ordered(both, [*keys, F.col("_ts").desc(), F.col("_kind"), F.col("_tie"), F.col("_point")])
     later = running(
         ordered, keys,
-        {"_n": ("count", "_point"), "_s": ("sum", "_point"), "_max": ("max", "_point"), "_min": ("min", "_point")},
+        {"_n": ("count", "_point"), "_s": ("sum", "_exact"), "_max": ("max", "_point"), "_min": ("min", "_point")},
     ).where("_kind = 0")
     enough = F.col("_n") >= 2
-    mean = F.col("_s") / F.col("_n")
+    mean = F.col("_s").cast("double") / F.col("_n")
     replaced = {
         "stored_energy_value": F.greatest(F.lit(0.0), F.col("_max") * roundtrip_eff),
         "forward_max_price": F.col("_max"),

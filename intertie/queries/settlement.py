@@ -360,8 +360,8 @@ def reconcile_payouts(spark, folder):
     "reconciliation_totals",
     f"""
     WITH {RECON_SQL}
-    SELECT quarter, round(sum(s), 2) AS total_reference_aud, round(sum(r), 2) AS total_reconstructed_residue_aud,
-           round(sum(abs(r - s)), 2) AS total_absolute_variance_aud,
+    SELECT quarter, {R.sql_round("sum(s)", 2)} AS total_reference_aud, {R.sql_round("sum(r)", 2)} AS total_reconstructed_residue_aud,
+           {R.sql_round("sum(abs(r - s))", 2)} AS total_absolute_variance_aud,
            count(*) FILTER (status = 'reconciled') AS categories_reconciled,
            count(*) FILTER (contains(status, 'variance')) AS categories_with_variance,
            count(*) FILTER (no_a) AS categories_missing_aucunits, count(*) FILTER (no_r) AS categories_missing_irsr
@@ -400,7 +400,7 @@ def _certified(spark, folder):
     "certify_quarters",
     f"""
     WITH {CERTIFY_SQL}
-    SELECT quarter, round(total_aucunits_aud, 2) AS total_aucunits_aud, round(total_gap_aud, 2) AS total_gap_aud,
+    SELECT quarter, {R.sql_round("total_aucunits_aud", 2)} AS total_aucunits_aud, {R.sql_round("total_gap_aud", 2)} AS total_gap_aud,
            round(total_gap_pct, 8) AS total_gap_pct, round(max_category_gap_pct, 8) AS max_category_gap_pct, num_categories,
            certification_status
     FROM certified
@@ -656,7 +656,8 @@ def apply_calibration(spark, folder):
     f"""
     WITH {EVALUATED_SQL}
     SELECT quarter, count(*) AS rows, round(avg(e1), 6) AS actual_per_unit_mape, round(avg(e2), 6) AS clearing_price_mape,
-           round(sum(actual_per_unit * units_sold), 2) AS actual_total_payout, round(sum(model_total_payout), 2) AS model_total_payout
+           {R.sql_round("sum(actual_per_unit * units_sold)", 2)} AS actual_total_payout,
+           {R.sql_round("sum(model_total_payout)", 2)} AS model_total_payout
     FROM measured GROUP BY quarter
     """,
 )

@@ -87,7 +87,8 @@ def main() -> int:
     con = connect(folder)
     failures = len(unknown)
     for name, query in registry.queries.items():
-        if wanted and not any(w in name for w in wanted):
+        module = query.__module__.rsplit(".", 1)[-1]
+        if wanted and not any(w in name or w == module for w in wanted):
             continue
         try:
             if name in registry.sql:
