@@ -33,7 +33,8 @@ def keyword_search(
     scored = documents.select(id_column, score.alias("score"), F.col(text).alias("_text")).where("score > 0")
     # The n best are picked on (score, id) before their texts are touched again.
     best = scored.orderBy(F.col("score").desc(), F.col(id_column).desc()).limit(n)
-    preview = F.replace(F.substring(F.trim(F.col("_text")), 1, snippet), F.lit("\n"), F.lit(" "))
+    stripped = F.btrim(F.col("_text"), F.lit(" \t\n\r"))
+    preview = F.replace(F.substring(stripped, 1, snippet), F.lit("\n"), F.lit(" "))
     return best.select(id_column, "score", preview.alias("snippet"))
 
 
