@@ -1,61 +1,24 @@
-"""Row classes used across readers and operators."""
+"""Schemas of tables that are read as they are, as DDL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-AUCTION_RESULT = _struct(
-    "auction_id string, contract_id string, quarter string, tranche_no int, interconnector_id string, "
-    "from_region string, units_offered int, units_sold int, clearing_price decimal(18,4), "
-    "reserve_price decimal(18,4), source_file string"
-)
-
-SETTLEMENT_WEEK = _struct(
-    "source_file string, effective_date date, bill_run_type string, contract_year int, week_no int, "
-    "bill_run_no int, start_date date, end_date date, residue_year int, quarter_no int, quarter string, "
-    "interconnector_id string, from_region string, purchased_units int, total_surplus decimal(22,8), "
-    "distributed_surplus decimal(22,8), auction_fees decimal(22,8), net_payment decimal(22,8), "
-    "net_payment_per_unit decimal(22,8), accumulated_net_payment decimal(22,8), "
-    "accumulated_net_payment_per_unit decimal(22,8), source_hash string"
-)
-
-INTERVAL_RESIDUE = _struct(
-    "trading_interval timestamp_ntz, interconnector_id string, from_region string, residue_aud decimal(20,6)"
-)
-
-INTERVAL_SURPLUS = _struct(
-    "settlement_date timestamp_ntz, run_no int, period_id int, interconnector_id string, "
-    "from_region string, surplus_aud double"
-)
-
-BILLING_RUN = _struct("contract_year int, week_no int, bill_run_no int, status string")
-
-RESIDUE_RESULT_MONTHLY = _struct(
+RESIDUE_RESULT_MONTHLY = (
     "mmsdm_month string, quarter string, tranche string, contract_id string, version_no int, "
     "interconnector_id string, from_region string, units_offered int, units_sold int, "
     "clearing_price double, reserve_price double"
 )
 
-QUARTERLY_RESIDUE = _struct("quarter string, interconnector_id string, from_region string, residue_aud double")
-
-QUARTERLY_SURPLUS = _struct("quarter string, interconnector_id string, from_region string, surplus_aud double")
-
-NETWORK_CAPACITY = _struct(
+NETWORK_CAPACITY = (
     "asset_code string, asset_name string, network string, state string, latitude double, longitude double, "
     "capacity double, load double, available_capacity double, year int"
 )
 
-NETWORK_DEFERRAL = _struct(
+NETWORK_DEFERRAL = (
     "asset_code string, asset_name string, network string, state string, latitude double, longitude double, "
     "annual_deferral_aud double, year int"
 )
 
-# Field order of the dispatch-price record; the header row of a file overrides it.
+# Price columns of the ten ancillary services, raise then lower.
 FCAS_SERVICES = [
     "fcas_reg_raise_aud_per_mw",
     "fcas_raise_1sec_aud_per_mw",
