@@ -101,7 +101,7 @@ def percent_error(actual, predicted) -> Column:
 
 def capped_error(actual, predicted, cap: float | None = None) -> Column:
     error = percent_error(actual, predicted)
-    return error if cap is None else F.least(error, F.lit(float(cap)))
+    return error if cap is None else F.when(error > cap, F.lit(float(cap))).otherwise(error)
 
 
 def arbitrage_fields(fair_value, market_price, units) -> Column:

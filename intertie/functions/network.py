@@ -109,7 +109,7 @@ def network_region(network) -> Column:
 def contract_term(timing, current_year: int) -> Column:
     """Years until the investment, 1 to 15; 5 when the timing holds no year."""
     year = F.substring(col_of(timing).cast("string"), 1, 4).try_cast("int")
-    return F.coalesce(F.greatest(F.lit(1), F.least(year - current_year, F.lit(15))), F.lit(5))
+    return F.when(year.isNull(), F.lit(5)).otherwise(F.greatest(F.lit(1), F.least(year - current_year, F.lit(15))))
 
 
 def deferral_value(published, cost) -> Column:

@@ -90,7 +90,7 @@ def quarter_time_scales(label, as_of: dt.date) -> Column:
     today = F.lit(as_of)
     days = F.datediff(end, start) + 1
     intervals = days * INTERVALS_PER_DAY
-    return F.struct(
+    scales = F.struct(
         start.alias("quarter_start"),
         end.alias("quarter_end"),
         days.alias("calendar_days"),
@@ -100,6 +100,7 @@ def quarter_time_scales(label, as_of: dt.date) -> Column:
         F.bround(intervals * PAYING_SHARE, 0).cast("int").alias("expected_paying_intervals"),
         (today >= start).alias("quarter_started"),
     )
+    return F.when(start.isNotNull(), scales)
 
 
 def quarter_progress_pct(label, as_of: dt.date) -> Column:

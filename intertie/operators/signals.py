@@ -13,8 +13,8 @@ from .versions import top_per_key
 
 def trend_signal(delta: Column, flat_band: float, saturation: float) -> Column:
     """Price move scaled to -1..1, 0 inside the flat band."""
-    return F.when(F.abs(delta) < flat_band, F.lit(0.0)).otherwise(
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), delta / saturation))
+    return F.when(F.abs(delta) < flat_band, F.lit(0.0)).when(
+        delta.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), delta / saturation))
     )
 
 
