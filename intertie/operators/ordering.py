@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialised
+from .joins import null_safe_join
 
 PART, POS, INDEX, CHUNK, OWN = "_part", "_pos", "_index", "_chunk", "_own"
 
@@ -166,13 +167,13 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     """One row per distinct value of a key: count, rows up to and including it, rows in the key."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     ordered = globally_ordered(counts, [*keys, value])
-    totals = ordered.groupBy(*keys).agg(F.sum("n").alias("total"))
     cumulative = running(ordered, keys, {"upto": ("sum", "n")})
     if not keys:
-        cumulative = cumulative.withColumn("_all", F.lit(1))
-        totals = totals.withColumn("_all", F.lit(1))
-        return cumulative.join(F.broadcast(totals), "_all").select(value, "n", "upto", "total")
-    return cumulative.join(totals, list(keys)).select(*keys, value, "n", "upto", "total")
+        # One number for the whole table, read from the checkpointed counts.
+        total = ordered.agg(F.sum("n")).first()[0] or 0
+        return cumulative.select(value, "n", "upto", F.lit(total).cast("long").alias("total"))
+    totals = ordered.groupBy(*keys).agg(F.sum("n").alias("total"))
+    return null_safe_join(cumulative, totals, keys).select(*keys, value, "n", "upto", "total")
 
 
 def exact_quantiles(

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import null_safe_join
 from .ordering import value_positions
 
 CLOSED_STATUSES = ("EXPIRED", "CANCELLED")
@@ -103,16 +102,13 @@ def reconcile_orders(submitted: DataFrame, reported: DataFrame, key: str = "orde
     """Counts of submitted, reported, matched and missing orders."""
     ours = submitted.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     theirs = reported.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_reported", F.lit(True))
-    both = null_safe_join(ours, theirs, [key], "left")
-    sent = both.agg(
+    both = ours.join(theirs.withColumnRenamed(key, "_other"), F.col(key).eqNullSafe(F.col("_other")), "full_outer")
+    sent, got = F.col("_rows").isNotNull(), F.col("_reported").isNotNull()
+    return both.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("orders_submitted"),
-        F.count_if(F.col("_reported")).alias("orders_matched"),
-        F.count_if(F.col("_reported").isNull()).alias("orders_missing"),
-    ).withColumn("_one", F.lit(1))
-    got = theirs.agg(F.count(F.lit(1)).alias("orders_reported")).withColumn("_one", F.lit(1))
-    # Both sides are one row.
-    return sent.join(F.broadcast(got), "_one").select(
-        "orders_submitted", "orders_reported", "orders_matched", "orders_missing"
+        F.count_if(got).alias("orders_reported"),
+        F.count_if(sent & got).alias("orders_matched"),
+        F.count_if(sent & ~got).alias("orders_missing"),
     )
 
 

@@ -281,13 +281,20 @@ def certify_quarters(
     )
 
 
-def certification_summary(certified: DataFrame) -> DataFrame:
-    passed = F.col("certification_status") == "PASS"
-    return certified.agg(
+def certification_counts() -> list[Column]:
+    """Aggregates over certified quarters: all, passed, not yet, and without a verdict."""
+    return [
         F.count(F.lit(1)).alias("total_quarters"),
-        F.count_if(passed).alias("passed"),
+        F.count_if(F.col("certification_status") == "PASS").alias("passed"),
         F.count_if(F.col("certification_status") == "NOT_YET").alias("not_yet"),
         F.count_if(F.col("certification_status").isin("NO_DATA", "NO_COMPARABLES")).alias("errors"),
+    ]
+
+
+def certification_summary(certified: DataFrame) -> DataFrame:
+    passed = F.col("certification_status") == "PASS"
+    return certified.agg(
+        *certification_counts(),
         F.avg(F.when(passed, F.col("total_gap_pct"))).alias("passed_mean_total_gap_pct"),
         F.avg(F.when(passed, F.col("max_category_gap_pct"))).alias("passed_mean_category_gap_pct"),
     )

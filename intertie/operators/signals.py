@@ -140,14 +140,12 @@ def overlay_forecast(
 
 def merge_forward_forecasts(near: DataFrame, far: DataFrame, keys: Sequence[str] = ("region",), ts: str = "timestamp") -> DataFrame:
     """The near forecast, continued by the far one after the last near point."""
+    if not keys:
+        last = near.agg(F.max(ts)).first()[0]
+        return near.unionByName(far if last is None else far.where(F.col(ts) > F.lit(last)))
     last = near.groupBy(*keys).agg(F.max(ts).alias("_last"))
-    if keys:
-        tail = far.join(last, list(keys), "left")
-    else:
-        # A single row by construction.
-        tail = far.withColumn("_one", F.lit(1)).join(F.broadcast(last.withColumn("_one", F.lit(1))), "_one", "left")
-    tail = tail.where(F.col("_last").isNull() | (F.col(ts) > F.col("_last"))).select(*far.columns)
-    return near.unionByName(tail)
+    tail = far.join(last, list(keys), "left").where(F.col("_last").isNull() | (F.col(ts) > F.col("_last")))
+    return near.unionByName(tail.select(*far.columns))
 
 
 def first_per_timestamp(rows: DataFrame, keys: Sequence[str], ts: str, load_order: Sequence[str]) -> DataFrame:

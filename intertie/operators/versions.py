@@ -75,7 +75,7 @@ def as_of_join(
     ``tie_break`` wins.
     """
     value = F.struct(*[F.col(v) for v in values])
-    right = definitions.select(
+    right = definitions.dropna(subset=[*keys, definition_time]).select(
         *keys, F.col(definition_time).alias("_time"), F.lit(0).alias("_kind"),
         F.struct(*tie_break).alias("_tie") if tie_break else F.lit(0).alias("_tie"),
         value.alias("_value"),

@@ -35,10 +35,10 @@ def calibrate(
     best = calibration.best_grid_point(scores)
     if by_quarter:
         return scores, best, calibration.apply_calibration(backtest, best, config)
-    everywhere = backtest.select("quarter").distinct().withColumn("_one", F.lit(1)).join(
-        # A single row: the global optimum.
-        F.broadcast(best.drop("quarter").withColumn("_one", F.lit(1))), "_one"
-    )
+    # The global optimum is one row, valid for every quarter.
+    point = best.first().asDict()
+    point.pop("quarter")
+    everywhere = backtest.select("quarter").distinct().select("quarter", *[F.lit(v).alias(k) for k, v in point.items()])
     return scores, best, calibration.apply_calibration(backtest, everywhere, config)
 
 

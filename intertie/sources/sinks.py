@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import exclude_existing
-from ..operators.residue import CATEGORY_GAP_UP_TO, TOTAL_GAP_UP_TO, certification_summary
+from ..operators.residue import CATEGORY_GAP_UP_TO, TOTAL_GAP_UP_TO, certification_counts
 from ..operators.versions import first_occurrence
 
 LEDGER_KEY = ("timestamp", "product_id", "quarter", "tranche")
@@ -59,16 +59,11 @@ def reconciliation_report(
     ``certified`` holds one row per quarter, which bounds the collected list.
     """
     row = F.struct(*[F.col(c) for c in certified.columns])
-    quarters = certified.agg(F.array_sort(F.collect_list(row)).alias("quarters")).withColumn("_one", F.lit(1))
-    summary = certification_summary(certified).select(
-        F.struct("total_quarters", "passed", "not_yet", "errors").alias("summary"), F.lit(1).alias("_one")
-    )
-    # Both sides are one row.
-    joined = quarters.join(F.broadcast(summary), "_one")
-    thresholds = F.struct(
-        F.lit(total_threshold).alias("total_pct"), F.lit(category_threshold).alias("category_pct")
-    ).alias("thresholds")
-    return joined.select(F.to_json(F.struct(thresholds, "quarters", "summary")).alias("value"))
+    gathered = certified.agg(F.array_sort(F.collect_list(row)).alias("quarters"), *certification_counts())
+    thresholds = F.struct(F.lit(total_threshold).alias("total_pct"), F.lit(category_threshold).alias("category_pct"))
+    summary = F.struct("total_quarters", "passed", "not_yet", "errors")
+    document = F.struct(thresholds.alias("thresholds"), F.col("quarters"), summary.alias("summary"))
+    return gathered.select(F.to_json(document).alias("value"))
 
 
 def write_reconciliation_report(certified: DataFrame, path: str) -> None:
