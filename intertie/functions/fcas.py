@@ -53,29 +53,6 @@ def _regulation_cost(mw: Column, activation: Column, config: StackConfig) -> Col
     return mw * config.regulation_mwh_per_mw * activation * config.degradation_aud_per_mwh
 
 
-def _stack(services: Column) -> Column:
-    """Totals of an array of enabled services; earlier entries win equal revenues."""
-    def total(value, keep) -> Column:
-        return F.aggregate(
-            services, F.lit(0.0), lambda acc, s: acc + F.when(keep(s), value(s)).otherwise(F.lit(0.0))
-        )
-
-    cont_rev = total(lambda s: s["revenue"], lambda s: ~s["is_regulation"])
-    reg_rev = total(lambda s: s["revenue"], lambda s: s["is_regulation"])
-    reg_mw = total(lambda s: s["enabled_mw"], lambda s: s["is_regulation"])
-    best = F.aggregate(
-        services,
-        F.struct(F.lit("NONE").alias("label"), F.lit(0.0).alias("revenue")),
-        lambda acc, s: F.when(
-            s["revenue"] > acc["revenue"], F.struct(s["label"].alias("label"), s["revenue"].alias("revenue"))
-        ).otherwise(acc),
-    )
-    return F.struct(
-        cont_rev.alias("cont_revenue"), reg_rev.alias("reg_revenue"), reg_mw.alias("reg_mw"),
-        best["label"].alias("best_label"),
-    )
-
-
 def fcas_costack(
     df: DataFrame,
     direction: str,
@@ -139,29 +116,46 @@ def fcas_costack(
         cont = F.col(f"_c_{name}")
         frame = frame.select("*", regulation(F.greatest(F.lit(0.0), room - cont)).alias(f"_r_{name}"))
         reg = F.col(f"_r_{name}")
+        reg_net = reg_price * reg * INTERVAL_HOURS - _regulation_cost(reg, reg_activation, config)
+        revenues = {label: F.col(f"_price_{label}") * cont * INTERVAL_HOURS for label in contingency}
+        revenues = {k: F.when(F.col(f"_q_{k}").isNotNull(), v).otherwise(F.lit(0.0)) for k, v in revenues.items()}
+        revenues[regulation_label] = F.when(reg > 0, reg_net).otherwise(F.lit(0.0))
+        frame = frame.select("*", *[v.alias(f"_v_{name}_{k}") for k, v in revenues.items()])
+        earned = {k: F.col(f"_v_{name}_{k}") for k in revenues}
+        cont_revenue = F.lit(0.0)
+        for label in contingency:
+            cont_revenue = cont_revenue + earned[label]
+        top = F.greatest(*earned.values())
+        # The first service with the highest positive revenue; contingency services come first.
+        best = F.when(top <= 0, F.lit("NONE"))
+        for label, revenue in earned.items():
+            best = best.when(revenue == top, F.lit(label))
         entries = [
             F.when(
-                F.col(f"_q_{label}").isNotNull(),
+                (reg > 0) if label == regulation_label else F.col(f"_q_{label}").isNotNull(),
                 F.struct(
-                    F.lit(label).alias("label"), cont.alias("enabled_mw"), F.col(f"_price_{label}").alias("price"),
-                    (F.col(f"_price_{label}") * cont * INTERVAL_HOURS).alias("revenue"),
-                    F.lit(False).alias("is_regulation"), F.col(f"_act_{label}").alias("activation"),
+                    F.lit(label).alias("label"),
+                    (reg if label == regulation_label else cont).alias("enabled_mw"),
+                    F.col(f"_price_{label}").alias("price"),
+                    revenue.alias("revenue"),
+                    F.lit(label == regulation_label).alias("is_regulation"),
                 ),
             )
-            for label in contingency
+            for label, revenue in earned.items()
         ]
-        entries.append(
-            F.when(
-                reg > 0,
-                F.struct(
-                    F.lit(regulation_label).alias("label"), reg.alias("enabled_mw"), reg_price.alias("price"),
-                    (reg_price * reg * INTERVAL_HOURS - _regulation_cost(reg, reg_activation, config)).alias("revenue"),
-                    F.lit(True).alias("is_regulation"), reg_activation.alias("activation"),
-                ),
-            )
+        return frame.select(
+            "*",
+            F.struct(
+                (cont + reg).alias("total_mw"),
+                (cont_revenue + earned[regulation_label]).alias("total_revenue"),
+                cont.alias("cont_mw"),
+                reg.alias("reg_mw"),
+                cont_revenue.alias("cont_revenue"),
+                earned[regulation_label].alias("reg_revenue"),
+                best.alias("best_label"),
+                F.array_compact(F.array(*entries)).alias("services"),
+            ).alias(f"_stack_{name}"),
         )
-        frame = frame.select("*", F.array_compact(F.array(*entries)).alias(f"_services_{name}"))
-        return frame.select("*", _stack_result(F.col(f"_services_{name}"), cont).alias(f"_stack_{name}"))
 
     if config.allocation == "revenue_maximising":
         staged = allocated(staged, "a", cont_max)
@@ -179,37 +173,21 @@ def fcas_costack(
     return staged.select(*df.columns, chosen.alias(f"{direction}_stack"))
 
 
-def _stack_result(services: Column, cont_mw: Column) -> Column:
-    totals = _stack(services)
-    return F.struct(
-        (cont_mw + totals["reg_mw"]).alias("total_mw"),
-        (totals["cont_revenue"] + totals["reg_revenue"]).alias("total_revenue"),
-        cont_mw.alias("cont_mw"),
-        totals["reg_mw"].alias("reg_mw"),
-        totals["cont_revenue"].alias("cont_revenue"),
-        totals["reg_revenue"].alias("reg_revenue"),
-        totals["best_label"].alias("best_label"),
-        services.alias("services"),
-    )
-
-
-def _scaled(stack: Column, factor: Column, config: StackConfig) -> Column:
-    """The same services at ``factor`` of their MW, revenues recomputed."""
+def _scaled(stack: Column, factor: Column) -> Column:
+    """The same services at ``factor`` of their MW: revenue and regulation cost are proportional to MW."""
     def shrink(s: Column) -> Column:
-        mw = s["enabled_mw"] * factor
-        gross = s["price"] * mw * INTERVAL_HOURS
         return F.struct(
-            s["label"].alias("label"), mw.alias("enabled_mw"), s["price"].alias("price"),
-            F.when(s["is_regulation"], gross - _regulation_cost(mw, s["activation"], config)).otherwise(gross).alias(
-                "revenue"
-            ),
-            s["is_regulation"].alias("is_regulation"), s["activation"].alias("activation"),
+            s["label"].alias("label"), (s["enabled_mw"] * factor).alias("enabled_mw"), s["price"].alias("price"),
+            (s["revenue"] * factor).alias("revenue"), s["is_regulation"].alias("is_regulation"),
         )
 
-    unchanged = (factor >= 1.0) | (F.size(stack["services"]) == 0)
-    return F.when(unchanged, stack).otherwise(
-        _stack_result(F.transform(stack["services"], shrink), stack["cont_mw"] * factor)
+    amounts = ("total_mw", "total_revenue", "cont_mw", "reg_mw", "cont_revenue", "reg_revenue")
+    shrunk = F.struct(
+        *[(stack[c] * factor).alias(c) for c in amounts],
+        F.when(factor > 0, stack["best_label"]).otherwise(F.lit("NONE")).alias("best_label"),
+        F.transform(stack["services"], shrink).alias("services"),
     )
+    return F.when(factor >= 1.0, stack).otherwise(shrunk)
 
 
 def fcas_direction_priority(df: DataFrame, budget_mw, config: StackConfig = StackConfig()) -> DataFrame:
@@ -244,6 +222,6 @@ def fcas_direction_priority(df: DataFrame, budget_mw, config: StackConfig = Stac
     kept = [c for c in df.columns if c not in ("raise_stack", "lower_stack")]
     return staged.select(
         *kept,
-        _scaled(up, F.col("_f_up"), config).alias("raise_stack"),
-        _scaled(down, F.col("_f_dn"), config).alias("lower_stack"),
+        _scaled(up, F.col("_f_up")).alias("raise_stack"),
+        _scaled(down, F.col("_f_dn")).alias("lower_stack"),
     )

@@ -23,7 +23,7 @@ def size_checked_join(
     shuffle join whose skewed partitions AQE splits.
     """
     fixed = materialised(right)
-    small = fixed.limit(max_rows + 1).count() <= max_rows
+    small = fixed.count() <= max_rows
     return left.join(F.broadcast(fixed) if small else fixed, list(on), how)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.market import fill_rate
+from ..session import materialised
 from .joins import size_checked_join
 from .ordering import neighbour, value_positions
 
@@ -32,33 +33,39 @@ def market_frame(auction: DataFrame) -> DataFrame:
     )
 
 
+def _ranked(df: DataFrame, value: str, name: str, measure: Column, source: DataFrame | None = None) -> DataFrame:
+    places = value_positions(df if source is None else source, [], value)
+    return size_checked_join(df, places.select(value, measure.alias(name)), [value], "left")
+
+
+def _mean_rank() -> Column:
+    return F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0
+
+
 def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Percentile rank x 100 over all rows, ties at their average rank."""
-    places = value_positions(df, [], value)
-    rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0
-    return size_checked_join(df, places.select(value, (rank / F.col("total") * 100.0).alias(name)), [value], "left")
+    return _ranked(df, value, name, _mean_rank() / F.col("total") * 100.0)
 
 
-def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    places = value_positions(df, [], value)
-    rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0
-    return size_checked_join(df, places.select(value, rank.alias(name)), [value], "left")
+def average_rank(df: DataFrame, value: str, name: str, source: DataFrame | None = None) -> DataFrame:
+    """Average rank of ``value``; ``source`` is a cheaper table holding the same values."""
+    return _ranked(df, value, name, _mean_rank(), source)
 
 
 def share_at_or_below(df: DataFrame, value: str, name: str) -> DataFrame:
     """Share of rows not above the row's value, x 100, two decimals."""
-    places = value_positions(df, [], value)
     share = F.round(F.col("upto") / F.col("total") * 100.0, 2)
-    joined = size_checked_join(df, places.select(value, share.alias(name)), [value], "left")
-    return joined.withColumn(name, F.coalesce(F.col(name), F.lit(50.0)))
+    return _ranked(df, value, name, share).withColumn(name, F.coalesce(F.col(name), F.lit(50.0)))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
     """Long table (a, b, corr); one aggregation for all pairs."""
     used = list(columns)
     if method == "spearman":
+        # Every column is ranked on its own, so the few columns needed are read many times.
+        source = df = materialised(df.select(*columns))
         for column in columns:
-            df = average_rank(df, column, f"_rank_{column}")
+            df = average_rank(df, column, f"_rank_{column}", source)
         used = [f"_rank_{c}" for c in columns]
     names = dict(zip(used, columns))
     pairs = [(a, b) for i, a in enumerate(used) for b in used[i:]]

@@ -124,7 +124,7 @@ def with_halo(ordered: DataFrame, before: int, after: int, chunk_rows: int | Non
     ``Window.partitionBy("_chunk", *keys).orderBy("_index")``; keep the rows
     where ``_own`` is true afterwards.
     """
-    size = chunk_rows or max(8192, 8 * (before + after))
+    size = chunk_rows or max(2048, 6 * (before + after))
     if size < max(before, after):
         raise ValueError("a chunk must be at least as long as its halo")
     indexed = with_index(ordered)
@@ -136,7 +136,10 @@ def with_halo(ordered: DataFrame, before: int, after: int, chunk_rows: int | Non
     if after:
         targets.append(F.when(offset < after, home - 1))
     copies = indexed.select("*", home.alias("_home"), F.explode(F.array_compact(F.array(*targets))).alias(CHUNK))
-    return copies.withColumn(OWN, F.col(CHUNK) == F.col("_home")).drop("_home")
+    # Frames cost far more than the bytes they read, so the number of tasks is fixed here instead of
+    # being derived from the size of the shuffle.
+    tasks = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return copies.withColumn(OWN, F.col(CHUNK) == F.col("_home")).drop("_home").repartition(tasks, CHUNK)
 
 
 def halo_window(keys: Sequence[str], start: int | None = None, end: int | None = None):

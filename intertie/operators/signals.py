@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialised
 from .ordering import OWN, globally_ordered, halo_window, running, with_halo
 from .versions import top_per_key
 
@@ -18,6 +19,15 @@ def trend_signal(delta: Column, flat_band: float, saturation: float) -> Column:
     )
 
 
+def _frame_quantile(values: Column, fraction: float) -> Column:
+    """Linear quantile of a frame's values, sorted in an array; frames are bounded by their row count."""
+    place = (F.size(values) - 1) * F.lit(fraction)
+    low, high = F.floor(place), F.ceil(place)
+    at_low = F.try_element_at(values, (low + 1).cast("int"))
+    at_high = F.try_element_at(values, (high + 1).cast("int"))
+    return at_low + (at_high - at_low) * (place - low)
+
+
 def price_signals(
     prices: DataFrame,
     keys: Sequence[str] = ("region",),
@@ -58,12 +68,14 @@ def price_signals(
         F.max(v).over(ahead).alias("_max"),
         F.min(v).over(ahead).alias("_min"),
         F.avg(v).over(ahead).alias("_mean"),
-        F.percentile(v, F.lit(discharge_percentile / 100.0)).over(ahead).alias("_high"),
+        F.sort_array(F.collect_list(v).over(ahead)).alias("_ahead"),
         F.count(F.lit(1)).over(recent).alias("_n_recent"),
         F.stddev_pop(v).over(recent).alias("_std"),
         F.count(F.lit(1)).over(day).alias("_n_day"),
-        F.percentile(v, F.lit(charge_percentile / 100.0)).over(day).alias("_low"),
+        F.sort_array(F.collect_list(v).over(day)).alias("_day"),
     ).where(OWN)
+    high = _frame_quantile(F.col("_ahead"), discharge_percentile / 100.0)
+    low = _frame_quantile(F.col("_day"), charge_percentile / 100.0)
     static = max(0.0, (discharge_threshold + charge_threshold) / 2.0)
     has_ahead = F.col("_n_ahead") > 0
     delta = F.col("_mean") - v
@@ -80,10 +92,10 @@ def price_signals(
         F.when(has_ahead, F.col("_max")).otherwise(F.coalesce(v, F.lit(static))).alias("forward_max_price"),
         F.when(has_ahead, F.col("_min")).otherwise(F.coalesce(v, F.lit(0.0))).alias("forward_min_price"),
         F.when(has_ahead, F.col("_mean")).otherwise(F.coalesce(v, F.lit(static))).alias("forward_mean_price"),
-        F.when(F.col("_n_ahead") > 2, F.col("_high")).otherwise(F.lit(discharge_threshold)).alias(
+        F.when(F.col("_n_ahead") > 2, high).otherwise(F.lit(discharge_threshold)).alias(
             "adaptive_discharge_threshold"
         ),
-        F.when(F.col("_n_day") > 2, F.col("_low")).otherwise(F.lit(charge_threshold)).alias(
+        F.when(F.col("_n_day") > 2, low).otherwise(F.lit(charge_threshold)).alias(
             "adaptive_charge_threshold"
         ),
         has_ahead.alias("has_forward"),
@@ -104,6 +116,8 @@ def overlay_forecast(
     Both inputs go into one descending order and aggregates run along it, which
     replaces the comparison of every row with every forecast point.
     """
+    # Ordering reads its input twice (a sample, then the rows), and signals are expensive to compute.
+    signals = materialised(signals)
     point = F.col(price).cast("double")
     right = forecast.select(*keys, F.col(ts).alias("_ts"), F.lit(1).alias("_kind"), point.alias("_point"))
     left = signals.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.market import arbitrage_fields, other_region, product_id
 from ..functions.quarters import quarter_end, quarter_progress_pct, quarter_start, quarter_time_scales
 from ..functions.valuation import execution_limits, fill_rate_fair_value, recommendation
+from ..session import materialised
 from .market import share_at_or_below
 from .versions import latest_version, top_per_key
 
@@ -31,6 +32,8 @@ def product_marks(auction: DataFrame, file_order: Sequence[str], as_of: dt.date)
         F.round(F.col("units_sold").cast("double") / offered, 6).alias("fill_rate"),
         price.alias("market_price_aud"),
     )
+    # One row per product is left; both rankings and the marks read it.
+    base = materialised(base)
     ranked = share_at_or_below(base, "fill_rate", "fill_rate_percentile")
     ranked = share_at_or_below(ranked, "units_offered", "volume_percentile")
     valued = ranked.withColumn(
