@@ -13,6 +13,9 @@ from .versions import top_per_key
 
 CATEGORY = ("quarter", "interconnector_id", "from_region")
 
+# Means are summed as decimals, so that a total does not depend on the order in which tasks deliver them.
+MEAN = "decimal(28,8)"
+
 # Billing-run status in rising precedence, and the variance bands.
 BILLING_STATUS_RANK = {"DAILY": 1, "PRELIM": 2, "REVISE": 3, "FINAL": 4}
 RECONCILED_UP_TO = 0.01
@@ -30,9 +33,11 @@ def interval_bucket_average_then_sum(
     """Mean per half hour, summed to quarters; both levels combine on the map side."""
     # The quarter follows from the bucket: buckets start on the half hour, quarters at midnight.
     buckets = intervals.groupBy(*keys, thirty_minute_floor(ts).alias("_bucket")).agg(
-        (F.sum(value).cast("double") / F.count(value)).alias("_mean")
+        (F.sum(value).cast("double") / F.count(value)).cast(MEAN).alias("_mean")
+    )
+    return buckets.groupBy(quarter_label("_bucket").alias("quarter"), *keys).agg(
+        F.sum("_mean").cast("double").alias(value)
     )
-    return buckets.groupBy(quarter_label("_bucket").alias("quarter"), *keys).agg(F.sum("_mean").alias(value))
 
 
 def quarterly_sum(rows: DataFrame, ts: str, value: str, keys: Sequence[str] = CATEGORY[1:]) -> DataFrame:
@@ -48,9 +53,9 @@ def quarterly_surplus(
     if not average_duplicates:
         return quarterly_sum(periods, ts, value, keys)
     per_period = periods.groupBy(*keys, F.to_date(ts).alias("_day"), "period_id").agg(
-        (F.sum(value).cast("double") / F.count(value)).alias(value)
+        (F.sum(value).cast("double") / F.count(value)).cast(MEAN).alias(value)
     )
-    return quarterly_sum(per_period, "_day", value, keys)
+    return quarterly_sum(per_period, "_day", value, keys).withColumn(value, F.col(value).cast("double"))
 
 
 def billing_status_rank(status: str = "status") -> Column:

@@ -69,7 +69,9 @@ def read_auction_versions(spark, folder):
         F.col("contract_id"), F.col("version_no"), F.col("interconnector_id"), F.col("from_region"),
         F.col("units_offered"), F.col("units_sold"), F.col("clearing_price"), "0",
     )
-    read = reports.read_auction_results_versioned(spark, path, "*.txt")
+    read = reports.read_auction_results_versioned(
+        spark, path, "*.txt", ["clearing_price", "units_cleared", "units_offered"]
+    )
     return read.select(
         "result_id", F.col("clearing_price").cast("double").alias("clearing_price"),
         F.col("total_revenue").cast("double").alias("total_revenue"), "status",

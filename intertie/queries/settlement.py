@@ -18,15 +18,13 @@ KEYS = ["quarter", "interconnector_id", "from_region"]
     f"""
     WITH {R.INTERVALS_SQL},
     buckets AS (SELECT interconnector_id, from_region, time_bucket(INTERVAL 30 MINUTE, trading_interval) AS b,
-                       CAST(sum(residue_aud) AS DOUBLE) / count(residue_aud) AS m FROM intervals GROUP BY ALL)
-    SELECT 'C' || year(b) || 'Q' || quarter(b) AS quarter, interconnector_id, from_region, round(sum(m), 4) AS residue_aud
+                       CAST(CAST(sum(residue_aud) AS DOUBLE) / count(residue_aud) AS DECIMAL(28,8)) AS m FROM intervals GROUP BY ALL)
+    SELECT 'C' || year(b) || 'Q' || quarter(b) AS quarter, interconnector_id, from_region, CAST(sum(m) AS DOUBLE) AS residue_aud
     FROM buckets GROUP BY ALL
     """,
 )
 def bucket_avg_then_sum(spark, folder):
-    return residue.interval_bucket_average_then_sum(R.intervals(spark, folder)).withColumn(
-        "residue_aud", F.round("residue_aud", 4)
-    )
+    return residue.interval_bucket_average_then_sum(R.intervals(spark, folder))
 
 
 @REGISTRY.add(
@@ -92,9 +90,9 @@ def final_period_value(spark, folder):
     f"""
     WITH {PERIODS_SQL},
     per_period AS (SELECT settlement_date, period_id, interconnector_id, from_region,
-                          CAST(sum(surplus_aud) AS DOUBLE) / count(*) AS v FROM periods GROUP BY ALL),
+                          CAST(CAST(sum(surplus_aud) AS DOUBLE) / count(*) AS DECIMAL(28,8)) AS v FROM periods GROUP BY ALL),
     averaged AS (SELECT 'C' || year(settlement_date) || 'Q' || quarter(settlement_date) AS quarter, interconnector_id,
-                        from_region, round(sum(v), 3) AS averaged_surplus_aud FROM per_period GROUP BY ALL),
+                        from_region, CAST(sum(v) AS DOUBLE) AS averaged_surplus_aud FROM per_period GROUP BY ALL),
     plain AS (SELECT 'C' || year(settlement_date) || 'Q' || quarter(settlement_date) AS quarter, interconnector_id,
                      from_region, CAST(sum(surplus_aud) AS DOUBLE) AS surplus_aud FROM periods GROUP BY ALL)
     SELECT * FROM plain JOIN averaged USING (quarter, interconnector_id, from_region)
@@ -104,7 +102,7 @@ def quarterly_surplus(spark, folder):
     periods = _periods(spark, folder)
     plain = residue.quarterly_surplus(periods).withColumn("surplus_aud", F.col("surplus_aud").cast("double"))
     averaged = residue.quarterly_surplus(periods, average_duplicates=True).withColumn(
-        "averaged_surplus_aud", F.round("surplus_aud", 3)
+        "averaged_surplus_aud", F.col("surplus_aud")
     ).drop("surplus_aud")
     return plain.join(averaged, KEYS)
 

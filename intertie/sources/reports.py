@@ -149,8 +149,13 @@ def _auction_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     ).where(F.col("contract_id").rlike(CONTRACT_PATTERN))
 
 
-def read_auction_results_versioned(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """Auction results with version, report time, revenue and status; repeated publications of a version drop out.
+def read_auction_results_versioned(
+    spark: SparkSession, path: str, pattern: str = "*.csv",
+    load_order: Sequence[str] = ("source_file", "clearing_price", "units_cleared"),
+) -> DataFrame:
+    """Auction results with version, report time, revenue and status.
+
+    Of repeated publications of a version the first in ``load_order`` stays.
 
     The result id includes the interconnector, so that two interconnectors
     sharing a region do not displace each other.
@@ -174,7 +179,7 @@ def read_auction_results_versioned(spark: SparkSession, path: str, pattern: str
         (price * F.col("units_sold")).cast("decimal(24,4)").alias("total_revenue"), "auction_datetime",
         result_status("units_offered", "units_sold").alias("status"), "source_file",
     )
-    return first_occurrence(results, ["result_id"], ["source_file", "clearing_price", "units_cleared"])
+    return first_occurrence(results, ["result_id"], list(load_order))
 
 
 def ingest_summary(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from intertie.operators import calibration, market, network, ordering, versions
@@ -20,16 +19,6 @@ def plan(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(REGISTRY.queries))
-def test_no_cross_join_and_no_row_udf(spark, name):
-    if name.startswith("stream_"):
-        pytest.skip("the plan of a drained stream is a table scan")
-    text = plan(REGISTRY.queries[name](spark, FOLDER))
-    assert "CartesianProduct" not in text
-    assert "BroadcastNestedLoopJoin" not in text
-    assert "BatchEvalPython" not in text
-
-
 def test_latest_row_is_picked_before_the_shuffle(spark):
     rows = R.table(spark, FOLDER, "lineitem")
     text = plan(versions.latest_version(rows, ["l_orderkey"], ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber"]))
