@@ -65,6 +65,8 @@ def wanted_minus_existing(wanted: DataFrame, existing: DataFrame, on: Sequence[s
 
 def align_flags(prices: DataFrame, flags: DataFrame, on: Sequence[str], defaults: dict[str, object]) -> DataFrame:
     """Left join of event flags or activation factors, defaults where the flags have no row."""
-    joined = prices.join(flags.dropDuplicates(list(on)), list(on), "left")
+    # One row per key: a repeated flag keeps its largest value and adds no rows.
+    unique = flags.groupBy(*on).agg(*[F.max(c).alias(c) for c in defaults])
+    joined = prices.join(unique, list(on), "left")
     filled = [F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()]
     return joined.select(*prices.columns, *filled)

@@ -126,12 +126,13 @@ def read_settlement_rejects(spark, folder):
     WITH {R.INTERVALS_SQL}
     SELECT interconnector_id, from_region, date_trunc('day', trading_interval)::TIMESTAMP AS day, count(*) AS n,
            CAST(sum(residue_aud) AS DOUBLE) AS residue_aud
-    FROM intervals WHERE event_id % 10 <> 0 GROUP BY ALL
+    FROM intervals WHERE residue_aud >= 5 GROUP BY ALL
     """,
 )
 def read_residue_report(spark, folder):
     rows = R.intervals(spark, folder)
-    value = F.when(F.expr("event_id % 10 = 0"), F.lit("n/a")).otherwise(F.col("residue_aud").cast("string"))
+    # Small values are written as text that is not a number; the reader skips those lines.
+    value = F.when(F.col("residue_aud") < 5, F.lit("n/a")).otherwise(F.col("residue_aud").cast("string"))
     path = _report(
         spark, rows, "D", "DISPATCH", "IRSR", "2", _stamp("trading_interval"), F.col("interconnector_id"),
         F.col("from_region"), value,
@@ -484,3 +485,21 @@ def surplus_without_auctions(spark, folder):
         .agg(F.sum("residue_aud").cast("double").alias("surplus_aud"))
     )
     return residue.surplus_without_auctions(surplus, R.auction(spark, folder), ["quarter"])
+
+
+@REGISTRY.add(
+    "newest_files",
+    """
+    WITH f AS (SELECT DISTINCT 'AUCUNITS_' || strftime(o_orderdate, '%Y%m%d') || '.R' || lpad(CAST(o_custkey % 20 AS VARCHAR), 3, '0') AS source_file,
+                      o_orderdate AS d, o_custkey % 20 AS r FROM orders)
+    SELECT source_file FROM f ORDER BY d DESC, r DESC, source_file DESC LIMIT 3
+    """,
+)
+def newest_files(spark, folder):
+    names = R.table(spark, folder, "orders").select(
+        F.concat(
+            F.lit("AUCUNITS_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".R"),
+            F.lpad(F.expr("CAST(o_custkey % 20 AS STRING)"), 3, "0"),
+        ).alias("source_file")
+    ).distinct()
+    return catalog.newest_files(catalog.file_catalog(names), 3).select("source_file")

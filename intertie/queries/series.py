@@ -587,3 +587,19 @@ def interpolate_time(spark, folder):
     )
     filled = wind.interpolate_time(rows, ["series"], "ts", "value", ["event_id"])
     return filled.select("series", "event_id", F.round("value", 6).alias("value"))
+
+
+@REGISTRY.add(
+    "altitude_profile",
+    f"""
+    WITH {R.WIND_SQL}
+    SELECT CAST(date_trunc('month', timestamp) AS TIMESTAMP) AS month, count(*) AS n,
+           {', '.join(f'round(max(ws10 * pow({z}.0 / 10.0, 0.14)), 6) AS ws_{z}m' for z in (50, 200, 500))}
+    FROM wind GROUP BY 1
+    """,
+)
+def altitude_profile(spark, folder):
+    profile = wind.altitude_profile(wind.clean_speed(R.wind(spark, folder)), bands=(50, 200, 500))
+    return profile.groupBy(F.date_trunc("month", "timestamp").cast("timestamp_ntz").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.round(F.max(f"ws_{z}m"), 6).alias(f"ws_{z}m") for z in (50, 200, 500)]
+    )

@@ -792,3 +792,29 @@ def run_delta(spark, folder):
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
     )
     return versions.run_delta(snapshots, tie_break=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+
+
+@REGISTRY.add(
+    "comparable_rows",
+    f"""
+    WITH {RECON_SQL} SELECT quarter, count(*) AS comparable, round(max(pct), 8) AS worst FROM recon WHERE NOT no_a AND NOT no_r GROUP BY quarter
+    """,
+)
+def comparable_rows(spark, folder):
+    rows = residue.comparable_rows(_reconciliation(spark, folder))
+    return rows.groupBy("quarter").agg(
+        F.count(F.lit(1)).alias("comparable"), F.round(F.max("percentage_variance"), 8).alias("worst")
+    )
+
+
+@REGISTRY.add(
+    "open_and_closed_quarters",
+    """
+    SELECT DISTINCT 'C' || year(l_shipdate) || 'Q' || quarter(l_shipdate) AS quarter,
+           DATE '1999-05-20' > last_day(CAST(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE)) + 30 AS closed
+    FROM lineitem
+    """,
+)
+def open_and_closed_quarters(spark, folder):
+    labels = R.table(spark, folder, "lineitem").select(R.quarter_label("l_shipdate").alias("quarter"))
+    return residue.open_and_closed(labels, dt.date(1999, 5, 20), 30)

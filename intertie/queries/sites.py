@@ -588,3 +588,96 @@ def filter_sites(spark, folder):
     return network.filter_sites(R.sites(spark, folder), ["Ausgrid", "Energex"], None, True).select(
         "asset_code", "network", "annual_deferral_aud"
     )
+
+
+@REGISTRY.add(
+    "align_flags",
+    """
+    WITH f AS (SELECT date_trunc('hour', ts) AS h, max(value > 100) AS flag, max(value / 100.0) AS act FROM events
+               WHERE event_type = 'error' GROUP BY 1)
+    SELECT event_id, coalesce(flag, false) AS event_flag, coalesce(act, 1.0) AS activation
+    FROM events LEFT JOIN f ON date_trunc('hour', ts) = h
+    """,
+)
+def align_flags(spark, folder):
+    hourly = R.table(spark, folder, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    flags = hourly.where("event_type = 'error'").select(
+        "hour", (F.col("value") > 100).alias("event_flag"), (F.col("value") / 100.0).alias("activation")
+    )
+    aligned = joins.align_flags(hourly.select("event_id", "hour"), flags, ["hour"], {"event_flag": False, "activation": 1.0})
+    return aligned.drop("hour")
+
+
+@REGISTRY.add(
+    "cancellation_prices",
+    """
+    SELECT o_orderpriority AS category_id, 'C' || year(o_orderdate) || 'Q' || quarter(o_orderdate) AS quarter, count(*) AS n,
+           max(o_totalprice) AS highest
+    FROM orders WHERE o_totalprice >= 100000 GROUP BY ALL
+    """,
+)
+def cancellation_prices(spark, folder):
+    results = R.table(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("category_id"), R.quarter_label("o_orderdate").alias("quarter"),
+        F.expr("CASE WHEN o_totalprice < 100000 THEN 0D ELSE o_totalprice END").alias("cancellation_price"),
+    )
+    return portfolio.cancellation_prices(results).groupBy("category_id", "quarter").agg(
+        F.count(F.lit(1)).alias("n"), F.max("cancellation_price").alias("highest")
+    )
+
+
+@REGISTRY.add(
+    "validate_marks",
+    """
+    WITH m AS (SELECT event_id, value AS bid, value + (user_id % 5) - 1 AS mid, value + 2.0 AS offer, (event_id % 110) - 2.0 AS conf,
+                      (user_id % 12) / 10.0 AS risk FROM events),
+    x AS (SELECT event_id, concat_ws('|', CASE WHEN bid > mid THEN 'Bid mark cannot exceed mid mark' END,
+                 CASE WHEN mid > offer THEN 'Mid mark cannot exceed offer mark' END,
+                 CASE WHEN conf NOT BETWEEN 0 AND 100 THEN 'Confidence score must be 0-100' END,
+                 CASE WHEN risk NOT BETWEEN 0 AND 1 THEN 'Model risk discount must be 0-1' END) AS messages FROM m)
+    SELECT * FROM x WHERE messages <> ''
+    """,
+)
+def validate_marks(spark, folder):
+    marks = R.table(spark, folder, "events").select(
+        "event_id", F.col("value").alias("bid_mark"), F.expr("value + (user_id % 5) - 1").alias("mid_mark"),
+        F.expr("value + 2D").alias("offer_mark"), F.expr("(event_id % 110) - 2D").alias("confidence_score"),
+        F.expr("(user_id % 12) / 10D").alias("model_risk_discount"), F.lit(0.03).alias("liquidity_discount"),
+    )
+    failing = validation.failing_rows(marks, validation.mark_rules(), ["event_id"])
+    return failing.withColumn("messages", F.array_join("messages", "|"))
+
+
+@REGISTRY.add(
+    "combined_loss_factor",
+    f"""
+    WITH {R.SITES_SQL}, {FACTORS_SQL.strip()},
+    d AS (SELECT asset_code, s_suppkey, factor, 1.0 + (s_suppkey % 7) / 100.0 AS factor2,
+                 {DISTANCE.format("p.latitude", "p.longitude", "f.latitude", "f.longitude")} AS km
+          FROM points p JOIN factors f ON p.region = f.region),
+    a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_code ORDER BY round(km, 6), factor) AS rn FROM d WHERE km <= 100) WHERE rn = 1),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_code ORDER BY round(km, 6), factor2) AS rn FROM d WHERE km <= 100) WHERE rn = 1),
+    f AS (SELECT asset_code, {S("coalesce(a.factor, 1.0)", 4)} AS mlf, {S("coalesce(b.factor2, 1.0)", 4)} AS dlf
+          FROM points LEFT JOIN a USING (asset_code) LEFT JOIN b USING (asset_code))
+    SELECT asset_code, mlf, dlf, {S("mlf * dlf", 4)} AS combined_lf FROM f
+    """,
+)
+def combined_loss_factor(spark, folder):
+    placed = R.table(spark, folder, "supplier").select(
+        F.expr("CASE s_suppkey % 3 WHEN 0 THEN 'X' WHEN 1 THEN 'Y' ELSE 'Z' END").alias("region"),
+        F.expr("-44D + (s_suppkey * 53 % 3400) / 100D").alias("latitude"),
+        F.expr("113D + (s_suppkey * 71 % 4000) / 100D").alias("longitude"),
+        F.expr("0.9D + (s_suppkey % 20) / 100D").alias("first"), F.expr("1D + (s_suppkey % 7) / 100D").alias("second"),
+    )
+    points = R.sites(spark, folder).select(
+        "asset_code",
+        F.expr(
+            "CASE CAST(substr(asset_code, 2) AS BIGINT) % 3 WHEN 0 THEN 'X' WHEN 1 THEN 'Y' ELSE 'Z' END"
+        ).alias("region"),
+        "latitude", "longitude",
+    )
+    where = ["region", "latitude", "longitude"]
+    found = network.combined_loss_factor(
+        points, placed.select(*where, F.col("first").alias("factor")), placed.select(*where, F.col("second").alias("factor"))
+    )
+    return found.select("asset_code", "mlf", "dlf", "combined_lf")
