@@ -316,3 +316,54 @@ def test_fcas_stack_by_hand(spark):
     assert stack.best_label == "RAISE_6SEC"
     empty = fcas.fcas_costack(frame, "raise", F.lit(5.0), F.lit(0.05), F.lit(10.0), F.lit(5.0)).first().raise_stack
     assert empty.total_mw == 0 and empty.best_label == "NONE" and empty.services == []
+
+
+def test_published_backtest_row(spark):
+    """Figures published for one category: 660 units sold at a residue of 2,611,455.0417."""
+    auction = spark.createDataFrame(
+        [("C2025Q3", "NSW1-QLD1", "NSW1", 7, 45, 45, 4503.0), ("C2025Q3", "NSW1-QLD1", "NSW1", 8, 45, 615, 4496.25)],
+        "quarter string, interconnector_id string, from_region string, tranche_no int, units_offered int, units_sold int, "
+        "clearing_price double",
+    )
+    rebuilt = spark.createDataFrame(
+        [("C2025Q3", "NSW1-QLD1", "NSW1", 2611455.0417)],
+        "quarter string, interconnector_id string, from_region string, residue_aud double",
+    )
+    config = calibration.CalibrationConfig(risk_percent=(0,), liquidity_percent=(10,), ape_cap=200.0)
+    frame = calibration.backtest_frame(auction, rebuilt)
+    point = calibration.best_grid_point(calibration.calibration_scores(frame, config))
+    row = calibration.apply_calibration(frame, point, config).where("tranche_no = 7").first()
+    assert row.total_units_sold == 660 and row.to_region == "QLD1"
+    assert row.actual_per_unit == pytest.approx(3956.750063181818, abs=1e-9)
+    assert row.actual_total_payout == pytest.approx(178053.7528431818, abs=1e-6)
+    assert (row.model_per_unit, row.model_total_payout) == (3561.08, 160248.38)
+    assert row.pct_error_actual_per_unit == pytest.approx(9.99987507079586, abs=1e-12)
+    assert row.pct_error_clearing_price == pytest.approx(20.917610481900955, abs=1e-12)
+
+
+@pytest.mark.parametrize("size", [3, 200])
+def test_vector_search(spark, size):
+    from intertie.operators.text import vector_search
+
+    vectors = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(size)]) for i in range(30)]
+    query = [float(j % 5 - 2) for j in range(size)]
+
+    def cosine(v):
+        dot = sum(a * b for a, b in zip(v, query))
+        lengths = (sum(a * a for a in v) * sum(b * b for b in query)) ** 0.5
+        return dot / lengths
+
+    frame = spark.createDataFrame(vectors, "vec_id int, embedding array<float>")
+    got = [(r.vec_id, r.similarity) for r in vector_search(frame, query, 5).collect()]
+    want = sorted(((i, cosine(v)) for i, v in vectors), key=lambda x: (-round(x[1], 9), x[0]))[:5]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want])
+
+
+def test_keyword_search_counts_whole_texts(spark):
+    from intertie.operators.text import keyword_search
+
+    long_text = "x" * 5000 + " solar solar"
+    frame = spark.createDataFrame([(1, "Solar\npower"), (2, long_text), (3, "none")], "doc_id int, text string")
+    rows = keyword_search(frame, "solar of it").collect()
+    assert [(r.doc_id, r.score) for r in rows] == [(2, 2), (1, 1)]
+    assert rows[1].snippet == "Solar power" and len(rows[0].snippet) == 600
