@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -29,6 +30,20 @@ def build_session(app_name: str = "intertie", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def with_package(spark: SparkSession) -> SparkSession:
+    """``spark``, whose workers on this machine find this package as the driver does.
+
+    Workers start in a folder of their own. On a cluster, pass the package
+    with ``--py-files`` or install it; this setting does no harm there.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read, taken from ``spark.checkpoint.dir``.
 
