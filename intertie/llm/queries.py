@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path, with_package
-from . import bpe, token_files
+from . import bpe, secret_scan, sharding, token_files, top_k
 from .registry import REGISTRY
 
 
@@ -26,3 +26,44 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0
     )
     return token_files.checksums(token_files.read_tokens(spark, path))
+
+
+@REGISTRY.add("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(table(spark, folder, "documents"))
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@REGISTRY.add("op5_top_k", TOP_K_SQL)
+def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k.search(table(spark, folder, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
+SHARDS, SLOTS = 32, 4099
+SHARDING_SQL = f"""
+WITH RECURSIVE {sharding.fill_sql("'shard-' || i", SHARDS, SLOTS)},
+keyed AS (
+  SELECT doc_id,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS} AS slot
+  FROM documents)
+SELECT doc_id, slot::INTEGER AS slot, shard::INTEGER AS shard, 'shard-' || shard AS shard_name
+FROM keyed JOIN slots USING (slot)"""
+
+
+@REGISTRY.add("op9_sharding", SHARDING_SQL)
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    names = [f"shard-{i}" for i in range(SHARDS)]
+    return sharding.place(table(spark, folder, "documents").select("doc_id"), "doc_id", names, SLOTS)
