@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path, with_package
-from . import bpe, secret_scan, sharding, token_files, top_k
+from . import bpe, quality, secret_scan, sharding, token_files, top_k, toxicity
 from .registry import REGISTRY
 
 
@@ -14,6 +14,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return with_package(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: its lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @REGISTRY.add("op1_bpe")
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -67,3 +74,15 @@ FROM keyed JOIN slots USING (slot)"""
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     names = [f"shard-{i}" for i in range(SHARDS)]
     return sharding.place(table(spark, folder, "documents").select("doc_id"), "doc_id", names, SLOTS)
+
+
+@REGISTRY.add("op4_toxicity")
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(
+        table(spark, folder, "documents"), table(spark, folder, "labels"), lambda df: written(df, "toxicity")
+    )
+
+
+@REGISTRY.add("op10_quality")
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
