@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path, with_package
-from . import bpe, quality, secret_scan, sharding, token_files, top_k, toxicity
+from . import bpe, passages, quality, secret_scan, sharding, token_files, top_k, toxicity
 from .registry import REGISTRY
 
 
@@ -86,3 +87,9 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @REGISTRY.add("op10_quality")
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@REGISTRY.add("op3_passages")
+def op3_passages(spark: SparkSession, folder: str) -> DataFrame:
+    left = passages.remove_repeats(table(spark, folder, "documents"), lambda df: written(df, "passages"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
