@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, with_package
-from . import bpe, passages, quality, secret_scan, sharding, token_files, top_k, toxicity
+from . import bpe, near_dup, passages, quality, secret_scan, sharding, token_files, top_k, toxicity
 from .registry import REGISTRY
 
 
@@ -93,3 +93,9 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op3_passages(spark: SparkSession, folder: str) -> DataFrame:
     left = passages.remove_repeats(table(spark, folder, "documents"), lambda df: written(df, "passages"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@REGISTRY.add("op7_near_dup")
+def op7_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dup.classes(table(spark, folder, "documents"), lambda df: written(df, "near-dup"))
+    return found.select("doc_id", "copy_of", "class_id")
