@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, with_package
-from . import bpe, near_dup, passages, quality, secret_scan, sharding, token_files, top_k, toxicity
+from . import bpe, decontaminate, near_dup, passages, quality, secret_scan, sharding, token_files, top_k, toxicity
 from .registry import REGISTRY
 
 
@@ -99,3 +99,11 @@ def op3_passages(spark: SparkSession, folder: str) -> DataFrame:
 def op7_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dup.classes(table(spark, folder, "documents"), lambda df: written(df, "near-dup"))
     return found.select("doc_id", "copy_of", "class_id")
+
+
+@REGISTRY.add("op8_decontaminate", decontaminate.matches_sql())
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.matches(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), lambda df: written(df, "benchmark")
+    )
+    return found.select("doc_id", "item_id", "similarity", "start")
