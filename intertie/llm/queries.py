@@ -17,7 +17,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: its lineage ends there."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(with_package(df.sparkSession), name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
