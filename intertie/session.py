@@ -33,6 +33,9 @@ def build_session(app_name: str = "intertie", master: str | None = None, **conf:
 def with_package(spark: SparkSession) -> SparkSession:
     """``spark``, whose workers on this machine find this package as the driver does.
 
+    Batches to and from workers are kept small, so that long texts take
+    little memory in either process.
+
     Workers start in a folder of their own. On a cluster, pass the package
     with ``--py-files`` or install it; this setting does no harm there.
     """
@@ -41,6 +44,7 @@ def with_package(spark: SparkSession) -> SparkSession:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
