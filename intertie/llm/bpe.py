@@ -56,7 +56,7 @@ class PairMerges:
             self.automaton.add_word(symbols, (len(symbols), i))
         self.automaton.make_automaton()
         self.edges: dict[int, tuple | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
 
     def _inner(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -128,23 +128,23 @@ class PairMerges:
     def encode(self, symbols: str) -> list[int]:
         """Token ids of one word given in inner symbols."""
         fits = self.fits
-        if len(fits) > 1_000_000:
+        if len(fits) > 400_000:
             fits.clear()
-        last: list[int | None] = [None] * (len(symbols) + 1)
-        begin = [0] * (len(symbols) + 1)
+        # By last character of the prefix; before the first stands -1, which every whole token follows.
+        last = [-2] * len(symbols) + [-1]
+        begin = [0] * len(symbols)
         for end, (length, token) in self.automaton.iter(symbols):
-            end += 1
-            if last[end] is None:
+            if last[end] == -2:
                 start = end - length
-                key = (last[start], token)
+                key = last[start] << 32 | token
                 good = fits.get(key)
                 if good is None:
-                    good = fits[key] = self.compatible(*key) if start else self.whole(token)
+                    good = fits[key] = self.compatible(last[start], token) if start >= 0 else self.whole(token)
                 if good:
                     last[end], begin[end] = token, start
         out: list[int] = []
-        at = len(symbols)
-        while at:
+        at = len(symbols) - 1
+        while at >= 0:
             out.append(last[at])
             at = begin[at]
         return out[::-1]
@@ -163,7 +163,6 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.config = json.loads(text)
-        self.merges = PairMerges(self.config)
         cut = self.config["pre_tokenizer"]
         lower = self.config.get("normalizer") is not None
         if cut["type"] == "Sequence":
@@ -174,12 +173,15 @@ class Codec:
             pattern = public_tokenizers.PATTERN
         self.cutter = Cutter(Tokenizer.from_str(text), self.config, pattern, lower)
         special = {" " + content: [i] for content, i in self.cutter.special.items()}
-        self.split = words_of if self.merges.suffix else spaced_words_of
+        self.drops_space = bool(self.config["model"].get("end_of_word_suffix"))
+        self.merges: PairMerges | None = None
         known: dict[str, list[int]] = {}
 
         def learn(parts: list[str]) -> list[list[int]]:
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known.clear()
+            if self.merges is None:
+                self.merges = PairMerges(self.config)
             out = []
             for part in parts:
                 ids: list[int] = []
@@ -191,7 +193,7 @@ class Codec:
                 out.append(ids)
             return out
 
-        self.table = PieceTable(learn)
+        self.table = PieceTable(learn, limit=400_000)
         names = self.config["model"]["vocab"] | self.cutter.special
         self.names = np.full(max(names.values()) + 1, None, object)
         for name, i in names.items():
@@ -199,8 +201,9 @@ class Codec:
         self.bytes = self.config.get("decoder") is not None
         self.special_ids = set(self.cutter.special.values())
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.table.encode([self.split(t) for t in texts])
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = words_of(texts) if self.drops_space else spaced_words_of(texts, self.cutter.at_special)
+        return self.table.encode(*parts)
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
         """Texts of consecutive runs of ids; ids that the vocabulary lacks are passed over."""
@@ -246,8 +249,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for first, taken in runs(texts):
+            keys = batch.column(0)
+            for first, taken in runs(batch.column(1)):
                 ids, lengths = own.encode(taken)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -275,8 +278,8 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value)
         for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                batch = whole.slice(first, 1000)
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
                 lists = batch.column(at)
                 lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
@@ -287,10 +290,41 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
     return plain.mapInArrow(work, schema)
 
 
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` and then ``decode`` in one pass: ``id_col``, ``n_tokens``, ``ids``, ``decoded``."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_config(vocabulary))
+    schema = T.StructType(
+        [
+            docs.schema[id_col],
+            T.StructField("n_tokens", T.LongType()),
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+            T.StructField("decoded", T.StringType()),
+        ]
+    )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(shared.value)
+        for batch in batches:
+            for first, taken in runs(batch.column(1)):
+                ids, lengths = own.encode(taken)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, len(taken)),
+                        pa.array(lengths),
+                        lists,
+                        pa.array(own.decode(ids, lengths), pa.string()),
+                    ],
+                    names=schema.names,
+                )
+
+    return docs.select(id_col, text_col).mapInArrow(work, schema)
+
+
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encoding and decoding in turn, reduced to counts and SHA-256 sums."""
-    both = decode(encode(docs, vocabulary, id_col, text_col), vocabulary)
-    return both.select(
+    """The round trip of every text, reduced to counts and SHA-256 sums."""
+    return round_trip(docs, vocabulary, id_col, text_col).select(
         id_col,
         "n_tokens",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

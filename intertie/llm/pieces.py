@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Characters that the installed regular-expression and tokenizer libraries classify alike whatever their Unicode
@@ -18,23 +20,48 @@ SETTLED = re.compile(
 )
 
 
+#: Composed letters without a special case in lower-casing, when they are letters at all.
+LATIN = re.compile("[A-Za-z\u00c0-\u012f\u0131-\u024f]+")
 #: White space to Python but not to the tokenizer library.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-SPACED = re.compile(r"\s*\S+|\s+")
+SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: White space, then signs, then letters and digits, as far as each goes; no piece spans the end of such a part.
+SPACED = re.compile(r"\s*(?:[^\w\s]|_)*[^\W_]+|\s*(?:[^\w\s]|_)+|\s+")
 
 
-def words_of(text: str) -> list[str]:
-    """Parts between white space; merges that drop white space treat each part alone."""
-    return [text] if SEPARATORS.search(text) else text.split()
+def _flat(parts: list[list[str]]) -> tuple[pa.Array, np.ndarray]:
+    counts = np.fromiter(map(len, parts), np.int64, len(parts))
+    return pa.array(list(chain.from_iterable(parts)), pa.string()), counts
 
 
-def spaced_words_of(text: str) -> list[str]:
-    """Parts that together are the text, each a run of white space and what follows up to the next run.
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Parts between white space, and how many there are in each text.
 
-    A piece never holds white space after something else, so each part is cut
-    into the same pieces alone as within the text.
+    Merges that drop white space treat each part alone. A part can be empty.
     """
-    return [text] if SEPARATORS.search(text) else SPACED.findall(text)
+    if pc.any(pc.match_substring_regex(texts, SEPARATORS.pattern)).as_py():
+        return _flat([[t] if SEPARATORS.search(t) else t.split() for t in texts.to_pylist()])
+    parts = pc.utf8_split_whitespace(texts)
+    return parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def spaced_words_of(texts: pa.Array, special: re.Pattern | None = None) -> tuple[pa.Array, np.ndarray]:
+    """Parts that together are a text: white space, signs, letters and digits in turn, ending before the next turn.
+
+    No piece goes on after letters or digits into something else, so each
+    part is cut into the same pieces alone as within the text. A text with a
+    special token is one part.
+    """
+    whole = lambda t: SEPARATORS.search(t) or (special is not None and special.search(t))
+    return _flat([[t] if whole(t) else SPACED.findall(t) for t in texts.to_pylist()])
+
+
+def special_pattern(config: dict) -> re.Pattern | None:
+    """Matches any special token of a tokenizer file, the longest first."""
+    tokens = config.get("added_tokens") or []
+    if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+        raise ValueError("special tokens with options are not supported")
+    contents = sorted((t["content"] for t in tokens), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, contents)) + ")") if contents else None
 
 
 def byte_characters() -> list[str]:
@@ -49,6 +76,8 @@ CHARACTER_BYTE = {c: b for b, c in enumerate(BYTE_CHARACTER)}
 
 
 def to_symbols(piece: str) -> str:
+    if piece.isascii() and piece.isprintable() and " " not in piece:
+        return piece
     return "".join([BYTE_CHARACTER[b] for b in piece.encode("utf-8")])
 
 
@@ -66,18 +95,15 @@ class Cutter:
     """
 
     def __init__(self, tokenizer, config: dict, pattern: str, lower: bool) -> None:
-        self.special: dict[str, int] = {}
-        for token in config.get("added_tokens") or []:
-            if token["normalized"] or token["lstrip"] or token["rstrip"] or token["single_word"]:
-                raise ValueError(f"special token with options that are not supported: {token['content']}")
-            self.special[token["content"]] = token["id"]
-        longest_first = sorted(self.special, key=len, reverse=True)
-        self.at_special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
+        self.special: dict[str, int] = {t["content"]: t["id"] for t in config.get("added_tokens") or []}
+        self.at_special = special_pattern(config)
         self.find = regex.compile(pattern).findall
         self.lower = lower
         self.tokenizer = tokenizer
 
     def __call__(self, text: str) -> list[str]:
+        if self.lower and text.isalpha() and LATIN.fullmatch(text):
+            return [text.lower()]
         if self.at_special is None or not self.at_special.search(text):
             return self._plain(text)
         parts = self.at_special.split(text)
@@ -86,6 +112,8 @@ class Cutter:
     def _plain(self, text: str) -> list[str]:
         if not text:
             return []
+        if text.isascii():
+            return self.find(text.lower() if self.lower else text)
         if SETTLED.search(text):
             normal = self.tokenizer.normalizer
             cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal.normalize_str(text) if normal else text)
@@ -99,7 +127,7 @@ class Cutter:
 class PieceTable:
     """Token ids of the pieces met so far, kept flat; it starts over once it holds ``limit`` pieces."""
 
-    def __init__(self, learn: Callable[[list[str]], list[list[int]]], limit: int = 500_000) -> None:
+    def __init__(self, learn: Callable[[list[str]], list[list[int]]], limit: int = 400_000) -> None:
         self.learn = learn
         self.limit = limit
         self._clear()
@@ -110,12 +138,16 @@ class PieceTable:
         self.length = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
-    def encode(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all documents in one array, and the number of ids of each document."""
+    def encode(self, pieces: pa.Array, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all documents in one array, and the number of ids of each document.
+
+        ``pieces`` are those of all documents in turn, ``per_doc`` of them from each.
+        """
         if len(self.index) > self.limit:
             self._clear()
-        pieces = list(chain.from_iterable(docs))
-        unseen = list(set(pieces).difference(self.index))
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        unseen = [p for p in distinct if p not in self.index]
         if unseen:
             found = self.learn(unseen)
             lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -124,27 +156,26 @@ class PieceTable:
             self.start = np.concatenate([self.start, ends - lengths])
             self.length = np.concatenate([self.length, lengths])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32)])
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        rows = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        at = rows[coded.indices.to_numpy(zero_copy_only=False)]
         counts = self.length[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.start[at] - (ends - counts), counts) + np.arange(total)]
-        doc_ends = np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)))
-        reached = np.concatenate([[0], ends])[doc_ends]
+        reached = np.concatenate([[0], ends])[np.cumsum(per_doc)]
         return ids, np.diff(reached, prepend=0)
 
 
-def runs(texts: list[str | None], characters: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts, a bounded number of characters at a time (one text at least); null counts as empty."""
-    first, taken, size = 0, [], 0
-    for at, text in enumerate(texts):
-        taken.append(text or "")
-        size += len(taken[-1])
-        if size >= characters:
-            yield first, taken
-            first, taken, size = at + 1, [], 0
-    if taken:
-        yield first, taken
+def runs(texts: pa.Array, characters: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive texts, about that many bytes at a time and one text at least; null counts as empty."""
+    texts = pc.fill_null(texts, "")
+    reach = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        before = reach[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(reach, before + characters, side="right")))
+        yield first, texts.slice(first, last - first)
+        first = last
 
 
 def read_config(path: str) -> str:

@@ -14,6 +14,7 @@ The block index makes any run of ids readable without unpacking what precedes.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .pieces import PieceTable, read_config, runs, spaced_words_of
+from .pieces import PieceTable, read_config, runs, spaced_words_of, special_pattern
 
 MAGIC = b"PFR1"
 HEADER = struct.Struct("<4sIII")
@@ -98,11 +99,11 @@ def unpack(segment: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
     return grid.ravel()[start - first * block : stop - first * block].astype(np.uint32)
 
 
-_TABLES: dict[str, PieceTable] = {}
+_TABLES: dict[str, tuple[PieceTable, re.Pattern | None]] = {}
 
 
-def library_table(text: str) -> PieceTable:
-    """Ids given by the tokenizers library, one table for each tokenizer file and worker process."""
+def library_table(text: str) -> tuple[PieceTable, re.Pattern | None]:
+    """Ids given by the tokenizers library, one table for each tokenizer file and worker; with it its special tokens."""
     if text not in _TABLES:
         import os
 
@@ -110,9 +111,6 @@ def library_table(text: str) -> PieceTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        config = json.loads(text)
-        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in config["added_tokens"]):
-            raise ValueError("special token with options that are not supported")
         tokenizer = Tokenizer.from_str(text)
         tokenizer.no_truncation()
         tokenizer.no_padding()
@@ -124,7 +122,7 @@ def library_table(text: str) -> PieceTable:
                 out += [e.ids for e in got]
             return out
 
-        _TABLES[text] = PieceTable(learn)
+        _TABLES[text] = PieceTable(learn, limit=800_000), special_pattern(json.loads(text))
     return _TABLES[text]
 
 
@@ -162,7 +160,7 @@ def write_tokens(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        table = library_table(shared.value)
+        table, special = library_table(shared.value)
         keys: list = []
         chunks: list[np.ndarray] = []
         lengths: list[int] = []
@@ -177,9 +175,9 @@ def write_tokens(
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), None, pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
             types[4] = pa.list_(batch.schema.field(0).type)
-            own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, taken in runs(texts):
-                ids, counts = table.encode([spaced_words_of(t) for t in taken])
+            own = batch.column(0).to_pylist()
+            for first, taken in runs(batch.column(1), 8_000_000):
+                ids, counts = table.encode(*spaced_words_of(taken, special))
                 ends = np.cumsum(counts)
                 for i in range(len(taken)):
                     keys.append(own[first + i])
