@@ -80,9 +80,9 @@ def bag_similarity(a: Column, b: Column) -> Column:
 
 
 def item_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Items with words, length, shingle size, shingles, hashes and fingerprint; items without words are left out."""
+    """Items with words, length, shingle size, shingles, hashes and fingerprint; items without words or id are left out."""
     split = items.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("item_words"))
-    sized = split.where(F.size("item_words") > 0).withColumns(
+    sized = split.where(F.col("item").isNotNull() & (F.size("item_words") > 0)).withColumns(
         {
             "length": F.size("item_words"),
             "size": F.least(F.lit(SHINGLE), F.size("item_words")),
@@ -116,7 +116,8 @@ def matches(
     equals, and ``distance`` its Hamming distance. Items of fewer than five
     words are one shingle. Documents or items that are null, empty or shorter
     than the other's window give no rows. Rows of equal id and text, and of
-    equal item and text, give one row; a null id is kept as null.
+    equal item and text, give one row; a null document id is
+    kept as null, an item without an id is none.
     ``scratch(df)`` writes a table to the shared folder and reads it back.
 
     The first step drops no window that counts: a window at ``least`` holds
