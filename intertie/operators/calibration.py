@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.market import capped_error, other_region, round_cents
-from .joins import size_checked_join
 from .residue import CATEGORY
 from .versions import top_per_key
 
@@ -62,7 +61,7 @@ def backtest_frame(auction: DataFrame, residue: DataFrame, keys: Sequence[str] =
         F.try_divide(F.col("actual_residue_total"), F.col("total_units_sold"))
     )
     facts = facts.withColumn("actual_per_unit", per_unit)
-    rows = size_checked_join(auction, facts, keys)
+    rows = auction.join(facts, list(keys))
     return rows.withColumn("to_region", other_region("interconnector_id", "from_region")).withColumn(
         "actual_total_payout", F.col("actual_per_unit") * F.col("units_sold")
     )
@@ -174,7 +173,7 @@ def apply_calibration(backtest: DataFrame, best: DataFrame, config: CalibrationC
         F.col("liquidity_discount").alias("calibrated_liquidity_discount"),
         F.col("total_discount").alias("_discount"),
     )
-    rows = size_checked_join(backtest, chosen, ["quarter"])
+    rows = backtest.join(chosen, ["quarter"])
     rows = rows.withColumn("model_per_unit", model_per_unit(F.col("_discount"))).withColumn(
         "model_total_payout", model_total(F.col("_discount"))
     )

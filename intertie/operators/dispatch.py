@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import size_checked_join
 from .ordering import globally_ordered, running
 
 MONEY = "decimal(18,2)"
@@ -77,5 +76,5 @@ def strategy_parameters(strategies: DataFrame) -> DataFrame:
 
 def apply_strategy_params(rows: DataFrame, strategies: DataFrame, parameters: Sequence[str]) -> DataFrame:
     """Rows with the named parameters of their strategy as columns."""
-    joined = size_checked_join(rows, strategy_parameters(strategies), ["strategy_id"], "left")
+    joined = rows.join(strategy_parameters(strategies), ["strategy_id"], "left")
     return joined.select(*rows.columns, *[F.try_element_at("parameters", F.lit(p)).alias(p) for p in parameters])

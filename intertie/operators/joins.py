@@ -1,4 +1,8 @@
-"""Join helpers: size-checked broadcast and NULL-safe equality."""
+"""Join helpers: group totals and NULL-safe equality.
+
+No side is hinted or counted here: adaptive execution picks the join from the
+sizes it meets, and splits skewed partitions of shuffle joins.
+"""
 
 from __future__ import annotations
 
@@ -7,25 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialised
-
-BROADCAST_ROWS = 500_000
-
-
-def size_checked_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Join that broadcasts ``right`` only after counting it.
-
-    ``right`` is an aggregate or a dimension whose size depends on the data. It
-    is written once; up to ``max_rows`` rows it is broadcast, so ``left`` is
-    never shuffled and a hot key costs nothing. Beyond that the join is a
-    shuffle join whose skewed partitions AQE splits.
-    """
-    fixed = materialised(right)
-    small = fixed.count() <= max_rows
-    return left.join(F.broadcast(fixed) if small else fixed, list(on), how)
-
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys meet; keys are taken from the left side."""
@@ -35,7 +20,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     condition = F.lit(True)
     for key in on:
         condition = condition & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in on])
+    joined = left.join(renamed, condition, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"_r_{k}" for k in on])
 
 
 def attach_group_total(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -45,16 +31,20 @@ def attach_group_total(df: DataFrame, keys: Sequence[str], value: str, name: str
     on the map side instead of being gathered by a window.
     """
     totals = df.groupBy(*keys).agg(F.sum(value).alias(name))
-    return size_checked_join(df, totals, keys, "left")
+    return df.join(totals, list(keys), "left")
 
 
 def attach_group_size(df: DataFrame, keys: Sequence[str], name: str = "group_rows") -> DataFrame:
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return size_checked_join(df, sizes, keys, "left")
+    return df.join(sizes, list(keys), "left")
 
 
-def exclude_existing(candidates: DataFrame, existing: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``candidates`` whose key is not in ``existing``."""
+def exclude_existing(
+    candidates: DataFrame, existing: DataFrame, on: Sequence[str], null_safe: bool = False
+) -> DataFrame:
+    """Rows of ``candidates`` whose key is not in ``existing``; with ``null_safe``, NULL key parts are equal."""
+    if null_safe:
+        return null_safe_join(candidates, existing.select(*on).distinct(), on, "left_anti")
     return candidates.join(existing.select(*on).distinct(), list(on), "left_anti")
 
 

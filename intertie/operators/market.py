@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.market import fill_rate
 from ..session import materialised
-from .joins import size_checked_join
 from .ordering import neighbour, value_positions
 
 
@@ -35,7 +34,7 @@ def market_frame(auction: DataFrame) -> DataFrame:
 
 def _ranked(df: DataFrame, value: str, name: str, measure: Column, source: DataFrame | None = None) -> DataFrame:
     places = value_positions(df if source is None else source, [], value)
-    return size_checked_join(df, places.select(value, measure.alias(name)), [value], "left")
+    return df.join(places.select(value, measure.alias(name)), [value], "left")
 
 
 def _mean_rank() -> Column:

@@ -12,10 +12,6 @@ from ..functions.market import NEWS_KEYWORDS, is_relevant
 from .versions import top_per_key
 
 
-# Longest vector whose products are written out one by one.
-UNROLLED = 128
-
-
 def occurrences(text: Column, word: str) -> Column:
     """Non-overlapping occurrences of ``word``."""
     removed = F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))
@@ -60,23 +56,16 @@ def vector_search(
 ) -> DataFrame:
     """Exact cosine neighbours of one query vector.
 
-    Up to ``UNROLLED`` dimensions the products become one generated expression;
-    longer vectors are folded as arrays. Only the best ``n`` rows of each task
-    leave it.
+    A vector of another length than the query's has no similarity and comes
+    last. Only the best ``n`` rows of each task leave it.
     """
-    if len(query) <= UNROLLED:
-        dot, norm = F.lit(0.0), F.lit(0.0)
-        for i, q in enumerate(query):
-            x = F.get(vector, F.lit(i)).cast("double")
-            dot = dot + x * F.lit(float(q))
-            norm = norm + x * x
-    else:
-        values = F.col(vector).cast("array<double>")
-        target = F.array(*[F.lit(float(q)) for q in query])
-        dot = F.aggregate(F.zip_with(values, target, lambda x, q: x * q), F.lit(0.0), lambda acc, x: acc + x)
-        norm = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)
+    values = F.col(vector).cast("array<double>")
+    target = F.array(*[F.lit(float(q)) for q in query])
+    dot = F.aggregate(F.zip_with(values, target, lambda x, q: x * q), F.lit(0.0), lambda acc, x: acc + x)
+    norm = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)
+    same_length = F.size(values) == F.lit(len(query))
     query_norm = sum(float(q) * float(q) for q in query) ** 0.5
-    similarity = F.try_divide(dot, F.sqrt(norm) * F.lit(query_norm))
+    similarity = F.when(same_length, F.try_divide(dot, F.sqrt(norm) * F.lit(query_norm)))
     return (
         vectors.select(id_column, similarity.alias("similarity"))
         .orderBy(F.col("similarity").desc_nulls_last(), id_column)

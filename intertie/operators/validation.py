@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import size_checked_join
 
 
 def failing_rows(
@@ -22,7 +21,7 @@ def failing_rows(
         repeated = (
             df.groupBy(*unique).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*unique, F.lit(True).alias("_dup"))
         )
-        df = size_checked_join(df, repeated, unique, "left")
+        df = df.join(repeated, list(unique), "left")
         messages.append(F.when(F.col("_dup"), F.lit(f"duplicate {', '.join(unique)}")))
     checked = df.select(*id_columns, F.array_compact(F.array(*messages)).alias("messages"))
     return checked.where(F.size("messages") > 0)

@@ -26,14 +26,8 @@ REGISTER_NETWORKS = ["Ausgrid", "Ausnet Services", "SA Power Networks", "Endeavo
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over the cores when it has fewer splits than there are cores.
-
-    A small table is often one row group, which one task would work through
-    alone. A table of many splits is left as it is.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    """A Parquet table, in the splits that the session's file settings give."""
+    return spark.read.parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
