@@ -16,7 +16,6 @@ from ..functions.network import (
     network_state,
 )
 from ..session import materialised
-from .joins import size_checked_join
 from .versions import latest_version, top_per_key
 
 
@@ -104,7 +103,7 @@ def nearest_factor(
         if width < max_km:
             open_points = open_points.join(hits.select(*where), where, "left_anti")
         found = hits if found is None else found.unionByName(hits)
-    joined = size_checked_join(points, found, where, "left")
+    joined = points.join(found, list(where), "left")
     return joined.select(
         *points.columns, F.coalesce(F.col("_factor"), F.lit(default)).alias(factor), F.col("_km").alias("distance_km")
     )
@@ -225,11 +224,17 @@ def leaderboard_metrics(sites: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def merge_registers(registers: Sequence[DataFrame], id_column: str = "id") -> DataFrame:
-    """Union of provider registers; the first provider wins for an id."""
+def merge_registers(
+    registers: Sequence[DataFrame], id_column: str = "id", load_order: Sequence[str] = ()
+) -> DataFrame:
+    """Union of provider registers; the first provider wins for an id.
+
+    Within a provider the first row by ``load_order`` wins, and among rows that
+    it leaves equal the smallest.
+    """
     merged: DataFrame | None = None
     for order, register in enumerate(registers):
         part = register.withColumn("_provider", F.lit(order))
         merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
     rest = [c for c in merged.columns if c not in ("_provider", id_column)]
-    return top_per_key(merged, [id_column], ["_provider", *rest]).drop("_provider")
+    return top_per_key(merged, [id_column], ["_provider", *load_order, *[c for c in rest if c not in load_order]]).drop("_provider")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.market import auction_id, result_status, safe_decimal, safe_int
 from ..functions.quarters import CONTRACT_PATTERN, contract_quarter, contract_tranche
-from ..operators.joins import size_checked_join
 from ..operators.versions import first_occurrence
 from ..schemas import FCAS_SERVICES
+from ..session import with_package
 from .catalog import effective_date
 
 STAMP = "yyyy/MM/dd HH:mm:ss"
@@ -44,57 +45,95 @@ PRICE_HEADERS = {
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Lines of plain text files with the name of their file."""
+    """Lines of plain text files with the name and the full path of their file."""
     lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
-    return lines.select(F.trim("value").alias("value"), F.col("_metadata.file_name").alias("source_file"))
+    return lines.select(
+        F.trim("value").alias("value"), F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_path").alias("source_path"),
+    )
+
 
+#: Archives by name, in either case.
+ARCHIVES = "*.[zZ][iI][pP]"
 
-def _members(content: bytes, prefixes: tuple[str, ...]) -> Iterator[str]:
-    """Wanted lines of the CSV members of an archive, archives inside included."""
+
+def _members(content: bytes, prefixes: tuple[str, ...], faults: list[str]) -> Iterator[str]:
+    """Wanted lines of the CSV members of an archive, archives inside included; what cannot be read is a fault."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
+        names = archive.namelist()
+    except zipfile.BadZipFile as error:
+        faults.append(str(error))
         return
     with archive:
-        for name in archive.namelist():
+        for name in names:
             lowered = name.lower()
-            if lowered.endswith(".zip"):
-                yield from _members(archive.read(name), prefixes)
-            elif lowered.endswith(".csv"):
-                with archive.open(name) as handle:
-                    for raw in io.TextIOWrapper(handle, encoding="utf-8", errors="ignore"):
-                        line = raw.strip()
-                        if line.startswith(prefixes):
-                            yield line
-
-
-def read_archive_lines(spark: SparkSession, path: str, prefixes: Sequence[str], pattern: str = "*.zip") -> DataFrame:
-    """Lines starting with one of ``prefixes`` from (nested) zip archives, one archive per input row."""
+            try:
+                if lowered.endswith(".zip"):
+                    yield from _members(archive.read(name), prefixes, faults)
+                elif lowered.endswith(".csv"):
+                    with archive.open(name) as handle:
+                        for raw in io.TextIOWrapper(handle, encoding="utf-8", errors="ignore"):
+                            line = raw.strip()
+                            if line.startswith(prefixes):
+                                yield line
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as error:
+                faults.append(f"{name}: {error}")
+
+
+def _archives(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    files = (
+        with_package(spark).read.format("binaryFile")
+        .option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    )
+    return files.select("content", F.element_at(F.split("path", "/"), -1).alias("source_file"), F.col("path").alias("source_path"))
+
+
+def read_archive_lines(spark: SparkSession, path: str, prefixes: Sequence[str], pattern: str = ARCHIVES) -> DataFrame:
+    """Lines starting with one of ``prefixes`` from (nested) zip archives, one archive per input row.
+
+    An archive or member that cannot be read gives the lines before its fault;
+    :func:`archive_outcomes` tells which archives have one.
+    """
     wanted = tuple(prefixes)
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content in zip(frame["source_file"], frame["content"]):
+            for name, place, content in zip(frame["source_file"], frame["source_path"], frame["content"]):
                 batch: list[str] = []
-                for line in _members(bytes(content), wanted):
+                for line in _members(bytes(content), wanted, []):
                     batch.append(line)
                     if len(batch) == BATCH_LINES:
-                        yield pd.DataFrame({"value": batch, "source_file": name})
+                        yield pd.DataFrame({"value": batch, "source_file": name, "source_path": place})
                         batch = []
                 if batch:
-                    yield pd.DataFrame({"value": batch, "source_file": name})
+                    yield pd.DataFrame({"value": batch, "source_file": name, "source_path": place})
 
-    archives = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    )
-    named = archives.select("content", F.element_at(F.split("path", "/"), -1).alias("source_file"))
-    return named.mapInPandas(unpack, "value string, source_file string")
+    return _archives(spark, path, pattern).mapInPandas(unpack, "value string, source_file string, source_path string")
+
+
+def archive_outcomes(spark: SparkSession, path: str, prefixes: Sequence[str], pattern: str = ARCHIVES) -> DataFrame:
+    """One row per archive: ``ok``, ``empty`` (no wanted line) or ``corrupt``, the wanted lines read, and its faults."""
+    wanted = tuple(prefixes)
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, place, content in zip(frame["source_file"], frame["source_path"], frame["content"]):
+                faults: list[str] = []
+                count = sum(1 for _ in _members(bytes(content), wanted, faults))
+                outcome = "corrupt" if faults else "ok" if count else "empty"
+                rows.append((name, place, outcome, count, "; ".join(faults)))
+            yield pd.DataFrame(rows, columns=["source_file", "source_path", "outcome", "n_lines", "faults"])
+
+    schema = "source_file string, source_path string, outcome string, n_lines long, faults string"
+    return _archives(spark, path, pattern).mapInPandas(judge, schema)
 
 
 def _lines(spark: SparkSession, path: str, prefixes: Sequence[str], archived: bool, pattern: str | None) -> DataFrame:
     """Wanted lines; for plain files the prefix test runs before anything is parsed."""
     if archived:
-        return read_archive_lines(spark, path, prefixes, pattern or "*.zip")
+        return read_archive_lines(spark, path, prefixes, pattern or ARCHIVES)
     lines = read_lines(spark, path, pattern or "*")
     wanted = F.lit(False)
     for prefix in prefixes:
@@ -133,9 +172,10 @@ def read_auction_results(spark: SparkSession, path: str, pattern: str = "*.csv")
 
 def _auction_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     lines = _lines(spark, path, ["D,RESIDUE_PUBLIC_DATA,"], False, pattern).where(field_count() >= 12)
-    parsed = lines.select("source_file", fields(12).alias("_f"))
+    parsed = lines.select("source_file", "source_path", fields(12).alias("_f"))
     return parsed.select(
         "source_file",
+        "source_path",
         _text(4).alias("contract_id"),
         contract_quarter(_text(4)).alias("quarter"),
         contract_tranche(_text(4)).alias("tranche_no"),
@@ -162,12 +202,12 @@ def read_auction_results_versioned(
     """
     headers = (
         _lines(spark, path, ["C,"], False, pattern)
-        .select("source_file", F.regexp_extract("value", r'PUBLIC,"([^"]+)"', 1).alias("_stamp"))
+        .select("source_path", F.regexp_extract("value", r'PUBLIC,"([^"]+)"', 1).alias("_stamp"))
         .where(F.col("_stamp") != "")
-        .groupBy("source_file")
+        .groupBy("source_path")
         .agg(F.min(_ntz(F.col("_stamp"))).alias("auction_datetime"))
     )
-    rows = size_checked_join(_auction_lines(spark, path, pattern), headers, ["source_file"], "left")
+    rows = _auction_lines(spark, path, pattern).join(headers, ["source_path"], "left")
     price = F.col("_price").try_cast("decimal(18,4)")
     results = rows.select(
         F.concat_ws(
@@ -185,7 +225,7 @@ def read_auction_results_versioned(
 def ingest_summary(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """Audit row per auction file: rows, products, auction events and report time; files without rows are left out."""
     rows = _auction_lines(spark, path, pattern)
-    per_file = rows.groupBy("source_file").agg(
+    per_file = rows.groupBy("source_path", "source_file").agg(
         F.min("quarter").alias("quarter"),
         F.min("tranche_no").alias("tranche_no"),
         F.count(F.lit(1)).alias("snapshot_rows"),
@@ -194,12 +234,12 @@ def ingest_summary(spark: SparkSession, path: str, pattern: str = "*.csv") -> Da
     )
     headers = (
         _lines(spark, path, ["C,"], False, pattern)
-        .select("source_file", F.regexp_extract("value", r'PUBLIC,"([^"]+)"', 1).alias("_stamp"))
+        .select("source_path", F.regexp_extract("value", r'PUBLIC,"([^"]+)"', 1).alias("_stamp"))
         .where(F.col("_stamp") != "")
-        .groupBy("source_file")
+        .groupBy("source_path")
         .agg(F.min(_ntz(F.col("_stamp"))).alias("report_datetime"))
     )
-    return per_file.join(headers, "source_file", "left")
+    return per_file.join(headers, "source_path", "left").drop("source_path")
 
 
 SETTLEMENT_MONEY = {
@@ -261,13 +301,15 @@ def read_header_driven_report(
     ``section`` is the text after the line type, e.g. ``BILLING,AUCTION_UNITS``.
     """
     lines = _lines(spark, path, [f"I,{section}", f"D,{section}"], archived, pattern)
-    # Splitting on commas outside quotes keeps every field, whatever the width of the report.
-    parts = F.transform(
-        F.split("value", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda p: F.btrim(p, F.lit('" '))
-    )
-    split = lines.select("source_file", F.substring("value", 1, 1).alias("_kind"), parts.alias("_parts"))
-    headers = split.where("_kind = 'I'").groupBy("source_file").agg(F.max("_parts").alias("_names"))
-    rows = size_checked_join(split.where("_kind = 'D'").drop("_kind"), headers, ["source_file"])
+    # A field is a run of quoted parts and other characters, so one pass keeps every field, whatever the width.
+    found = F.regexp_extract_all("value", F.lit(r'((?:"[^"]*+"|[^",]++|")*+)(?:,|$)'), F.lit(1))
+    parts = F.transform(found, lambda p: F.btrim(p, F.lit('" ')))
+    split = lines.select(
+        "source_file", "source_path", F.substring("value", 1, 1).alias("_kind"), parts.alias("_parts")
+    ).withColumn("_version", F.coalesce(F.get("_parts", F.lit(section.count(",") + 2)), F.lit("")))
+    # A file can hold a section in several versions, each with a header of its own.
+    headers = split.where("_kind = 'I'").groupBy("source_path", "_version").agg(F.max("_parts").alias("_names"))
+    rows = split.where("_kind = 'D'").drop("_kind").join(headers, ["source_path", "_version"])
     return rows.select(
         "source_file",
         *[

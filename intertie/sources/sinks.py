@@ -45,10 +45,13 @@ def existing_rows(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def append_recommendations(df: DataFrame, path: str, key: Sequence[str] = LEDGER_KEY) -> None:
-    """Append rows whose key the ledger does not hold yet, so that a repeated run adds nothing."""
+    """Append rows whose key the ledger does not hold yet, so that a repeated run adds nothing.
+
+    Key parts that are NULL are equal to each other.
+    """
     spark = df.sparkSession
     fresh = first_occurrence(df, list(key), [c for c in df.columns if c not in key])
-    exclude_existing(fresh, existing_rows(spark, path, df.schema), list(key)).write.mode("append").parquet(path)
+    exclude_existing(fresh, existing_rows(spark, path, df.schema), list(key), null_safe=True).write.mode("append").parquet(path)
 
 
 def reconciliation_report(

@@ -265,3 +265,86 @@ def test_storage_job(spark):
     )
     stacks = storage.service_stacks(intervals, 5.0, 10.0).first()
     assert stacks.raise_stack.total_mw + stacks.lower_stack.total_mw == pytest.approx(5.0)
+
+
+def test_archives_in_any_case_and_their_outcomes(spark, tmp_path):
+    import io
+    import zipfile
+
+    from intertie.sources import reports
+
+    line = 'D,DISPATCH,IRSR,2,"2026/07/11 13:0{}:00",NSW1-QLD1,QLD1,10\n'
+
+    def archive(text, name="a.csv"):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(name, text)
+        return out.getvalue()
+
+    whole = archive(line.format(1))
+    nested = io.BytesIO()
+    with zipfile.ZipFile(nested, "w") as z:
+        z.writestr("inner.ZIP", archive(line.format(2)))
+        z.writestr("broken.zip", whole[: len(whole) // 2])
+    files = {"good.zip": whole, "UPPER.ZIP": archive(line.format(3)), "cut.zip": whole[:-30], "none.zip": archive("x"),
+             "nested.zip": nested.getvalue()}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    rows = reports.read_dispatch_residue_archives(spark, str(tmp_path))
+    assert sorted(r.source_file for r in rows.collect()) == ["UPPER.ZIP", "good.zip", "nested.zip"]
+    outcomes = reports.archive_outcomes(spark, str(tmp_path), ["D,DISPATCH,IRSR,2,"]).collect()
+    assert {r.source_file: (r.outcome, r.n_lines) for r in outcomes} == {
+        "good.zip": ("ok", 1), "UPPER.ZIP": ("ok", 1), "cut.zip": ("corrupt", 0), "none.zip": ("empty", 0),
+        "nested.zip": ("corrupt", 1),
+    }
+    assert all(bool(r.faults) == (r.outcome == "corrupt") for r in outcomes)
+
+
+def test_headers_belong_to_a_path_and_version(spark, tmp_path):
+    from intertie.sources import reports
+
+    for folder, names, values in (
+        ("a", "SETTLEMENTDATE,REGIONID,RRP", '"2026/07/11 13:15:00",NSW1,1.5'),
+        ("b", "RRP,SETTLEMENTDATE,REGIONID", '2.5,"2026/07/11 13:15:00",QLD1'),
+    ):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(f"I,DISPATCH,PRICE,5,{names}\nD,DISPATCH,PRICE,5,{values}\n")
+    (tmp_path / "b" / "y.csv").write_text(
+        "I,DISPATCH,PRICE,5,REGIONID,RRP,NOTE\nD,DISPATCH,PRICE,5,VIC1,3.5,\"a, \"\"b\"\"\"\n"
+        "I,DISPATCH,PRICE,6,RRP,REGIONID\nD,DISPATCH,PRICE,6,4.5,TAS1\n"
+    )
+    rows = reports.read_header_driven_report(spark, str(tmp_path), "DISPATCH,PRICE", ["REGIONID", "RRP"])
+    assert sorted((r.REGIONID, r.RRP) for r in rows.collect()) == [
+        ("NSW1", "1.5"), ("QLD1", "2.5"), ("TAS1", "4.5"), ("VIC1", "3.5"),
+    ]
+
+
+def test_ledger_replay_with_null_key_parts(spark, tmp_path):
+    from intertie.sources import sinks
+
+    rows = spark.createDataFrame(
+        [("t1", "p", "C2025Q1", None, 1), ("t1", "p", "C2025Q1", 2, 1)],
+        "timestamp string, product_id string, quarter string, tranche int, value int",
+    )
+    for _ in range(2):
+        sinks.append_recommendations(rows, str(tmp_path / "ledger"))
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 2
+
+
+def test_vectors_of_other_lengths_have_no_similarity(spark):
+    from intertie.operators.text import vector_search
+
+    frame = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 5.0]), (3, [1.0]), (4, None)], "vec_id int, embedding array<double>")
+    found = [(r.vec_id, r.similarity) for r in vector_search(frame, [1.0, 0.0]).collect()]
+    assert found == [(1, 1.0), (2, None), (3, None), (4, None)]
+    wide = spark.createDataFrame([(1, [1.0] * 200), (2, [1.0] * 201)], "vec_id int, embedding array<double>")
+    assert [r.similarity is None for r in vector_search(wide, [1.0] * 200).collect()] == [False, True]
+
+
+def test_first_loaded_row_of_a_provider_wins(spark):
+    from intertie.operators.network import merge_registers
+
+    first = spark.createDataFrame([(2, "x", "b"), (1, "x", "z"), (3, "y", "c")], "line int, id string, name string")
+    second = spark.createDataFrame([(1, "y", "a"), (2, "w", "d")], "line int, id string, name string")
+    merged = merge_registers([first, second], load_order=["line"])
+    assert sorted((r.id, r.name) for r in merged.collect()) == [("w", "d"), ("x", "z"), ("y", "c")]
