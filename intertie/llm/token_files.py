@@ -122,7 +122,7 @@ def library_table(text: str) -> tuple[PieceTable, re.Pattern | None]:
                 out += [e.ids for e in got]
             return out
 
-        _TABLES[text] = PieceTable(learn, limit=800_000), special_pattern(json.loads(text))
+        _TABLES[text] = PieceTable(learn, limit=1_200_000), special_pattern(json.loads(text))
     return _TABLES[text]
 
 
@@ -176,7 +176,7 @@ def write_tokens(
         for batch in batches:
             types[4] = pa.list_(batch.schema.field(0).type)
             own = batch.column(0).to_pylist()
-            for first, taken in runs(batch.column(1), 8_000_000):
+            for first, taken in runs(batch.column(1), 16_000_000):
                 ids, counts = table.encode(*spaced_words_of(taken, special))
                 ends = np.cumsum(counts)
                 for i in range(len(taken)):
