@@ -89,8 +89,3 @@ def versus_baseline(ledger: DataFrame, fill_percentile: float = 80.0) -> DataFra
         F.lit(0.0).alias("baseline_market_pnl_24h_pct"),
         F.round(strategy - baseline, 2).alias("strategy_vs_baseline_pnl"),
     )
-
-
-def recommendations_for(ledger: DataFrame, product_id: str, quarter: str | None = None) -> DataFrame:
-    rows = ledger.where(F.col("product_id") == product_id)
-    return rows if quarter is None else rows.where(F.col("quarter") == quarter)

@@ -28,18 +28,41 @@ def portfolio_pnl(positions: DataFrame, excluded: Sequence[str] = CLOSED_STATUSE
     return held.select("*", pnl.alias("unrealized_pnl"), pnl.alias("total_pnl"))
 
 
-def partial_assignment(positions: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Split assigned positions into the assigned part and a remainder, values pro rata.
-
-    ``assignments`` has one ``(srda_id, units_assigned)`` row per position.
-    More units than held changes nothing; all of them changes the status only.
+def partial_assignment(positions: DataFrame, assignments: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Split assigned positions into the assigned part and remainders, values pro rata.
+
+    ``assignments`` has ``(srda_id, units_assigned)`` rows. Those of one
+    position are applied in turn by ``order`` (then by units): each is held
+    against the units the position still has under its id. More than that
+    changes nothing, all of it changes the status only, and less leaves the
+    assigned units under the id and the rest as a remainder, so units always
+    add up. Later remainders of a position are numbered from 2.
     """
-    joined = positions.join(assignments.select("srda_id", "units_assigned"), "srda_id", "left")
-    held, given = F.col("units"), F.col("units_assigned")
+    turns = F.sort_array(F.collect_list(F.struct(*order, F.col("units_assigned").alias("_units"))))
+    given = assignments.where(F.col("units_assigned").isNotNull()).groupBy("srda_id").agg(turns.alias("_turns"))
+    joined = positions.join(given, "srda_id", "left")
+    held = F.col("units").cast("int")
+    none = F.array().cast("array<struct<units:int,status:string>>")
+    state = F.aggregate(
+        F.transform(F.coalesce("_turns", F.array().cast(given.schema["_turns"].dataType)), lambda t: t["_units"].cast("int")),
+        F.struct(held.alias("units"), F.col("status").alias("status"), none.alias("rest")),
+        lambda at, u: F.when(u > at["units"], at)
+        .when(u == at["units"], F.struct(at["units"].alias("units"), F.lit("ASSIGNED").alias("status"), at["rest"].alias("rest")))
+        .otherwise(
+            F.struct(
+                u.alias("units"),
+                F.lit("ASSIGNED").alias("status"),
+                F.concat(
+                    at["rest"], F.array(F.struct((at["units"] - u).alias("units"), at["status"].alias("status")))
+                ).alias("rest"),
+            )
+        ),
+    )
+    applied = joined.withColumn("_at", state)
 
     def part(units, identifier, status):
         def share(name: str):
-            return F.try_divide(F.col(name).cast("double") * units, held)
+            return F.try_divide(F.col(name).cast("double") * units, F.col("units"))
 
         return F.struct(
             identifier.alias("srda_id"), F.col("category_id"), F.col("quarter"), units.cast("int").alias("units"),
@@ -50,19 +73,43 @@ def partial_assignment(positions: DataFrame, assignments: DataFrame) -> DataFram
         )
 
     whole = F.struct(
-        F.col("srda_id"), F.col("category_id"), F.col("quarter"), held.cast("int").alias("units"),
+        F.col("srda_id"), F.col("category_id"), F.col("quarter"), held.alias("units"),
         F.col("acquisition_price").cast("double").alias("acquisition_price"),
         F.col("acquisition_cost").cast("double").alias("acquisition_cost"),
-        F.when(given == held, F.lit("ASSIGNED")).otherwise(F.col("status")).alias("status"),
+        F.col("_at.status").alias("status"),
         F.col("accrued_value").cast("double").alias("accrued_value"),
         F.col("forward_value").cast("double").alias("forward_value"),
     )
-    split = F.array(
-        part(given, F.col("srda_id"), F.lit("ASSIGNED")),
-        part(held - given, F.concat(F.col("srda_id"), F.lit("_remainder")), F.col("status")),
+    remainders = F.transform(
+        "_at.rest",
+        lambda r, i: part(
+            r["units"],
+            F.concat(F.col("srda_id"), F.lit("_remainder"), F.when(i > 0, F.concat(F.lit("_"), (i + 1).cast("string"))).otherwise("")),
+            r["status"],
+        ),
+    )
+    split = F.concat(F.array(part(F.col("_at.units"), F.col("srda_id"), F.col("_at.status"))), remainders)
+    parts = F.when(F.size("_at.rest") > 0, split).otherwise(F.array(whole))
+    return applied.select(F.explode(parts).alias("_p")).select("_p.*")
+
+
+def refused_assignments(positions: DataFrame, assignments: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Assignments of more units than their position has when their turn comes, or of no position at all."""
+    turns = F.sort_array(F.collect_list(F.struct(*order, F.col("units_assigned").alias("_units"))))
+    given = assignments.where(F.col("units_assigned").isNotNull()).groupBy("srda_id").agg(turns.alias("_turns"))
+    held = F.coalesce(F.col("units").cast("int"), F.lit(-1))
+    judged = F.aggregate(
+        "_turns",
+        F.struct(held.alias("units"), F.array().cast(given.schema["_turns"].dataType).alias("refused")),
+        lambda at, t: F.when(
+            t["_units"] > at["units"],
+            F.struct(at["units"].alias("units"), F.concat(at["refused"], F.array(t)).alias("refused")),
+        ).otherwise(F.struct(t["_units"].cast("int").alias("units"), at["refused"].alias("refused"))),
+    )
+    refused = given.join(positions.select("srda_id", "units"), "srda_id", "left").select(
+        "srda_id", F.explode(judged["refused"]).alias("_t")
     )
-    parts = F.when(F.coalesce(given < held, F.lit(False)), split).otherwise(F.array(whole))
-    return joined.select(F.explode(parts).alias("_p")).select("_p.*")
+    return refused.select("srda_id", *[F.col(f"_t.{c}").alias(c) for c in order], F.col("_t._units").alias("units_assigned"))
 
 
 def probability_weighted(scenarios: DataFrame, keys: Sequence[str] = ("category_id", "quarter")) -> DataFrame:

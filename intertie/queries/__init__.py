@@ -30,6 +30,6 @@ REGISTRY = Registry()
 
 
 def load() -> Registry:
-    from . import analytics, files, scalars, series, settlement, sites, streams  # noqa: F401
+    from . import analytics, files, scalars, selections, series, settlement, sites, streams  # noqa: F401
 
     return REGISTRY

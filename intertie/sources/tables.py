@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.network import NETWORK_STATE, demand_reduction_estimate
+from ..functions.network import demand_reduction_estimate
 from ..functions.wind import wind_speed
 from ..operators.residue import load_quarterly_residue
 from ..schemas import NETWORK_CAPACITY, NETWORK_DEFERRAL, RESIDUE_RESULT_MONTHLY
@@ -110,10 +112,6 @@ def opportunities(raw: DataFrame) -> DataFrame:
     ).drop("_wacc", "_depr")
 
 
-def known_networks() -> list[str]:
-    return sorted(NETWORK_STATE)
-
-
 def hourly_wind_at(grid: DataFrame, lat: float, lon: float) -> DataFrame:
     """Series of the grid point nearest to a site, with speeds at 10 m and 100 m.
 
@@ -132,6 +130,6 @@ def hourly_wind_at(grid: DataFrame, lat: float, lon: float) -> DataFrame:
     )
 
 
-def read_limited(df: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows with every column as text."""
-    return df.limit(n).select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+def read_limited(df: DataFrame, n: int, order: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows by ``order`` (any ``n`` without one) with every column as text."""
+    return (df.orderBy(*order) if order else df).limit(n).select(*[F.col(c).cast("string").alias(c) for c in df.columns])
