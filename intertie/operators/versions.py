@@ -38,13 +38,6 @@ def latest_non_null(df: DataFrame, keys: Sequence[str], version: Sequence[str],
     )
 
 
-def latest_by_file(
-    df: DataFrame, keys: Sequence[str], file_time: str, file_sequence: str, file_name: str
-) -> DataFrame:
-    """Latest published row per key: file time, then sequence, then file name."""
-    return latest_version(df, keys, [file_time, file_sequence, file_name])
-
-
 def final_period_rows(
     rows: DataFrame,
     keys: Sequence[str] = ("settlement_date", "period_id", "interconnector_id", "from_region"),

@@ -7,20 +7,23 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.quarters import is_quarter_closed
+from ..functions.quarters import is_quarter_closed, quarter_in_range
 from ..operators import residue, versions
-from ..sources import reports, tables
+from ..sources import catalog, reports, tables
 
 
 def dispatch_quarterly(
     spark: SparkSession, archives: str, start_quarter: str | None = None, end_quarter: str | None = None
 ) -> DataFrame:
-    """Quarterly residue rebuilt from interval archives, every quarter in one job."""
-    rows = reports.read_dispatch_residue_archives(spark, archives)
-    quarterly = residue.interval_bucket_average_then_sum(rows)
-    if start_quarter and end_quarter:
-        from ..functions.quarters import quarter_in_range
+    """Quarterly residue rebuilt from interval archives, every quarter in one job.
 
+    With a range, only archives whose name has a day in it are opened.
+    """
+    ranged = bool(start_quarter and end_quarter)
+    pattern = catalog.dispatch_pattern(start_quarter, end_quarter) if ranged else None
+    rows = reports.read_dispatch_residue_archives(spark, archives, pattern=pattern)
+    quarterly = residue.interval_bucket_average_then_sum(rows)
+    if ranged:
         quarterly = quarterly.where(quarter_in_range("quarter", start_quarter, end_quarter))
     return quarterly
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +70,26 @@ def newest_files(catalog: DataFrame, n: int = 1) -> DataFrame:
     ).limit(n)
 
 
-def newest_names(catalog: DataFrame, n: int = 1) -> DataFrame:
-    """The ``n`` last file names; report names sort by time."""
-    return catalog.orderBy(F.col("source_file").desc()).limit(n)
+def newest_name(spark: SparkSession, path: str, pattern: str = "*") -> str | None:
+    """The last file name below ``path``, found without opening a file; report names end in their time."""
+    return list_files(spark, path, pattern).agg(F.max("source_file")).first()[0]
+
+
+def literal_pattern(name: str) -> str:
+    """A glob that only this file name matches."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", name)
+
+
+def dispatch_pattern(start_quarter: str, end_quarter: str) -> str:
+    """Glob for the dispatch archives of a range of quarters, by the day in their name.
+
+    A day on either side is included, for intervals that end at midnight.
+    """
+    (y0, q0), (y1, q1) = ((int(q[1:5]), int(q[6])) for q in (start_quarter, end_quarter))
+    first = dt.date(y0, 3 * q0 - 2, 1)
+    after = dt.date(y1 + (q1 == 4), 3 * q1 % 12 + 1, 1)
+    months = range(first.year * 12 + first.month - 1, after.year * 12 + after.month - 1)
+    days = [f"{m // 12}{m % 12 + 1:02d}" for m in months] + [
+        d.strftime("%Y%m%d") for d in (first - dt.timedelta(days=1), after)
+    ]
+    return "PUBLIC_DISPATCH_IRSR_{" + ",".join(days) + "}*.[zZ][iI][pP]"

@@ -20,7 +20,7 @@ from ..functions.quarters import CONTRACT_PATTERN, contract_quarter, contract_tr
 from ..operators.versions import first_occurrence
 from ..schemas import FCAS_SERVICES
 from ..session import with_package
-from .catalog import effective_date
+from .catalog import effective_date, literal_pattern, newest_name
 
 STAMP = "yyyy/MM/dd HH:mm:ss"
 BATCH_LINES = 20_000
@@ -412,11 +412,11 @@ def _read_forecast(
     spark, path, prefix: str, width: int, stamp: int, region: int, price: int, source: str, regions, archived, pattern,
     newest_only: bool,
 ) -> DataFrame:
-    lines = _lines(spark, path, [prefix], archived, pattern).where(field_count() >= width)
     if newest_only:
-        # Report names end in their time, so the last name is the newest file; one row.
-        latest = lines.agg(F.max("source_file").alias("source_file"))
-        lines = lines.join(F.broadcast(latest), "source_file", "left_semi")
+        # Chosen by name, so no other file is opened.
+        newest = newest_name(spark, path, pattern or (ARCHIVES if archived else "*"))
+        pattern = literal_pattern(newest) if newest else pattern
+    lines = _lines(spark, path, [prefix], archived, pattern).where(field_count() >= width)
     rows = lines.select("source_file", fields(max(width, stamp + 1)).alias("_f")).select(
         _ntz(_text(stamp)).alias("timestamp"), _text(region).alias("region"),
         _text(price).try_cast("double").alias("price_mwh"), F.lit(source).alias("source"), "source_file",

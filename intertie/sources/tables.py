@@ -80,9 +80,8 @@ def opportunities(raw: DataFrame) -> DataFrame:
     def number(name: str):
         return F.col(name).try_cast("double") if name in raw.columns else F.lit(None).cast("double")
 
-    def words(name: str, limit: int | None = None):
-        value = F.trim(F.coalesce(F.col(name), F.lit(""))) if name in raw.columns else F.lit("")
-        return value if limit is None else F.substring(value, 1, limit)
+    def words(name: str):
+        return F.trim(F.coalesce(F.col(name), F.lit(""))) if name in raw.columns else F.lit("")
 
     network = words("network")
     kept = raw.where(network.isin(*OPPORTUNITY_NETWORKS) & ~network.isin(*REGISTER_NETWORKS))
@@ -90,14 +89,14 @@ def opportunities(raw: DataFrame) -> DataFrame:
     staged = kept.select(
         F.concat(
             F.lit("ena_"),
-            F.substring(F.replace(F.coalesce("asset_code", words("asset_name")), F.lit(" "), F.lit("_")), 1, 40),
+            F.replace(F.coalesce("asset_code", words("asset_name")), F.lit(" "), F.lit("_")),
         ).alias("id"),
         words("asset_name").alias("name"),
         network.alias("dnsp"),
         F.element_at(F.create_map(*entries), network).alias("state"),
         number("latitude").alias("lat"),
         number("longitude").alias("lng"),
-        words("investment_description", 120).alias("constraint_driver"),
+        words("investment_description").alias("constraint_driver"),
         words("constraint_season").alias("peak_season"),
         words("network_element_str").alias("network_element"),
         number("annual_deferral_pool").alias("deferral_value_m"),
@@ -107,7 +106,8 @@ def opportunities(raw: DataFrame) -> DataFrame:
         number("depr_rate").alias("_depr"),
         F.lit(False).alias("is_nna"),
     ).where("lat IS NOT NULL AND lng IS NOT NULL AND name <> ''")
-    return staged.withColumn(
+    # The id is whole, as it tells assets apart; the short one is for display.
+    return staged.withColumn("short_id", F.substring("id", 1, 44)).withColumn(
         "demand_reduction_mw", demand_reduction_estimate("capex_m", "deferral_value_m", F.col("_wacc"), F.col("_depr"))
     ).drop("_wacc", "_depr")
 

@@ -348,3 +348,38 @@ def test_first_loaded_row_of_a_provider_wins(spark):
     second = spark.createDataFrame([(1, "y", "a"), (2, "w", "d")], "line int, id string, name string")
     merged = merge_registers([first, second], load_order=["line"])
     assert sorted((r.id, r.name) for r in merged.collect()) == [("w", "d"), ("x", "z"), ("y", "c")]
+
+
+def test_only_archives_of_the_range_are_opened(spark, tmp_path):
+    import zipfile
+
+    from intertie.plans.settlement import dispatch_quarterly
+    from intertie.sources import catalog
+
+    for day, good in (("20250101", True), ("20250215", True), ("20240630", False), ("20250801", False)):
+        name = tmp_path / f"PUBLIC_DISPATCH_IRSR_{day}.zip"
+        if good:
+            with zipfile.ZipFile(name, "w") as z:
+                stamp = f"{day[:4]}/{day[4:6]}/{day[6:]} 13:05:00"
+                z.writestr("a.csv", f'D,DISPATCH,IRSR,2,"{stamp}",NSW1-QLD1,QLD1,10\n')
+        else:
+            name.write_bytes(b"not opened")
+    assert catalog.dispatch_pattern("C2024Q4", "C2025Q1").count(",") == 7
+    rows = dispatch_quarterly(spark, str(tmp_path), "C2025Q1", "C2025Q1").collect()
+    assert {r.quarter for r in rows} == {"C2025Q1"}
+    read = spark.read.format("binaryFile").option("pathGlobFilter", catalog.dispatch_pattern("C2025Q1", "C2025Q1"))
+    assert read.load(str(tmp_path)).count() == 2
+
+
+def test_ids_with_a_long_common_part_stay_apart(spark):
+    from intertie.operators.network import merge_registers
+    from intertie.sources.tables import opportunities
+
+    long = "x" * 60
+    raw = spark.createDataFrame(
+        [("Energex", long + "1", "a", 1.0, 2.0), ("Energex", long + "2", "b", 1.0, 2.0)],
+        "network string, asset_code string, asset_name string, latitude double, longitude double",
+    )
+    found = opportunities(raw)
+    assert found.select("id").distinct().count() == 2 and found.select("short_id").distinct().count() == 1
+    assert merge_registers([found]).count() == 2
