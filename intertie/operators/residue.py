@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.market import alias_interconnector
 from ..functions.quarters import quarter_label, thirty_minute_floor
+from .joins import null_safe_join
 from .versions import top_per_key
 
 CATEGORY = ("quarter", "interconnector_id", "from_region")
@@ -93,27 +94,28 @@ def final_settlement_summary(
     ``carried`` columns come from the best row itself.
     """
     is_final = F.upper("bill_run_type") == "FINAL"
-    ranked = weeks.select(
-        "*",
-        F.struct(
-            F.when(is_final, -2).otherwise(-1).alias("class"),
-            F.when(is_final, -999)
-            .otherwise(-F.coalesce(F.regexp_extract("bill_run_type", r"(\d+)", 1).try_cast("int"), F.lit(0)))
-            .alias("revision"),
-            (-F.unix_date(F.to_date("effective_date"))).alias("age"),
-            F.col("source_file").alias("file"),
-        ).alias("_priority"),
+    revision = F.when(is_final, 999).otherwise(
+        F.coalesce(F.regexp_extract("bill_run_type", r"(\d+)", 1).try_cast("int"), F.lit(0))
     )
-    weekly = top_per_key(
-        ranked, [*keys, "bill_run_type", "week_no"], [F.col("effective_date").desc(), F.col("source_file")]
+    # Class, revision and date as one number, so the first pass is a hash aggregate that shuffles a row per category.
+    day = F.coalesce(F.unix_date(F.to_date("effective_date")), F.lit(-(1 << 24)))
+    rank = (
+        F.when(is_final, 2).otherwise(1).cast("long") * F.lit(1 << 58)
+        + revision.cast("long") * F.lit(1 << 26) + day.cast("long")
     )
-    cohorts = weekly.groupBy(*keys, "bill_run_type").agg(
-        *[F.sum(m).alias(m) for m in measures],
-        F.min("_priority").alias("_priority"),
-        F.min_by(F.struct(*carried), "_priority").alias("_carried"),
+    ranked = weeks.withColumn("_priority", rank)
+    top = ranked.groupBy(*keys).agg(F.max("_priority").alias("_top"))
+    leading = null_safe_join(ranked, top, keys).where(F.col("_priority") == F.col("_top"))
+    best = top_per_key(leading, keys, ["source_file", "bill_run_type"]).select(
+        *keys, F.col("bill_run_type").alias("_chosen"), F.struct(*carried).alias("_carried")
     )
-    best = top_per_key(cohorts, keys, ["_priority", "bill_run_type"])
-    return best.select(*keys, "bill_run_type", *measures, "_carried.*")
+    chosen = null_safe_join(
+        weeks.select(*keys, "bill_run_type", "week_no", "effective_date", "source_file", *measures), best.drop("_carried"), keys
+    ).where(F.col("bill_run_type") == F.col("_chosen"))
+    weekly = top_per_key(chosen, [*keys, "week_no"], [F.col("effective_date").desc(), "source_file"])
+    sums = weekly.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
+    joined = null_safe_join(sums, best, keys).withColumnRenamed("_chosen", "bill_run_type")
+    return joined.select(*keys, "bill_run_type", *measures, "_carried.*")
 
 
 def load_quarterly_residue(files: DataFrame, file_order: str = "file_seq", value: str = "residue_aud") -> DataFrame:
