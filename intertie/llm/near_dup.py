@@ -82,7 +82,8 @@ def signatures(texts: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndar
 
 def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     """One key for each band of each signature."""
-    parts = signature.view(np.uint64).reshape(len(signature), bands, -1)
+    rows = signature.shape[1] // bands
+    parts = signature.view(np.uint64)[:, : bands * rows].reshape(len(signature), bands, rows)
     key = np.tile(mixed(np.arange(1, bands + 1, dtype=np.uint64)), (len(signature), 1))
     for i in range(parts.shape[2]):
         key = mixed(key ^ parts[:, :, i])
@@ -140,82 +141,83 @@ def classes(
     id_col: str = "doc_id",
     text_col: str = "text",
     least: float = 0.8,
-    size: int = 128,
-    bands: int = 32,
-    small: int = 32,
-    centres: int = 8,
+    size: int = 256,
+    rows: int = 6,
+    outsiders: int = 64,
 ) -> DataFrame:
     """``id_col``, ``digest`` (of the text), ``copy_of`` (least id with the same text) and ``class_id`` (least id of the group) of every row.
 
     A group is a connected set of texts whose similarity is ``least`` or more;
     every pair that shares a band is compared exactly, directly or by its
-    texts being in one group already. With 32 bands of 4, a pair at 0.8 shares
-    none with a probability below 1e-7. A null text counts as empty; texts
+    texts being in one group already. With 42 bands of 6 values, a pair at 0.8
+    shares none with a probability of 3e-6. A null text counts as empty; texts
     without words are grouped with equal texts only. Rows of equal id and text
     get the same answer. A row without an id is compared with none and has no
     class. ``scratch(df)`` writes a table to the shared folder and reads it back.
 
-    Not all pairs of a band are made. The least member of each band meets the
-    others; only bands whose members are not in one group by then go on: the
-    ``centres`` least of them meet the others and leave, until all are in one
-    group or at most ``small`` are left, which meet each other.
+    Not all pairs of a band are made. Its least member meets the others. Only
+    bands whose members are not in one group by then go on: those outside its
+    largest group meet the others, ``outsiders`` of them a turn, unless their
+    similarities to the least member rule it out.
     """
-    if size % bands:
-        raise ValueError("bands divide the signature evenly")
-    rows = docs.select(
+    bands = size // rows
+    if not bands:
+        raise ValueError("a band has no more values than the signature")
+    bodies_of = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).withColumn("digest", F.unhex(F.md5("text")))
-    marked = scratch(signed(rows.where("id IS NOT NULL"), size, bands))
+    marked = scratch(signed(bodies_of.where("id IS NOT NULL"), size, bands))
     # Copies are one node: the least id with the text.
     texts = scratch(marked.groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands")))
     banded = texts.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
     members = scratch(banded.join(shared, "band"))
     wanted = members.select(F.col("node").alias("id")).distinct()
-    bodies = scratch(rows.select("id", "text").join(wanted, "id"))
-
-    checked = links = groups = None
-    turn = 0
+    bodies = scratch(bodies_of.select("id", "text").join(wanted, "id"))
+
+    # The least member of every band meets the others.
+    centre = members.groupBy("band").agg(F.min("node").alias("a"))
+    spokes = members.join(centre, "band").where("node <> a").select("band", "a", F.col("node").alias("b"))
+    found = scratch(compared(spokes.select("a", "b").distinct(), bodies))
+    checked, links = found.select("a", "b"), found.where(F.col("similarity") >= least - 1e-12).select("a", "b")
+    members = scratch(spokes.join(found, ["a", "b"]).select("band", F.col("b").alias("node"), "similarity"))
+    groups = components(links, scratch)
     while True:
-        held = members.withColumn("component", F.col("node")) if groups is None else _in_groups(members, groups)
+        held = _in_groups(members, groups)
+        parts = held.groupBy("band", "component").agg(F.count("*").alias("n"))
+        mixed_bands = parts.groupBy("band").agg(
+            F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main")
+        ).where("parts > 1")
         # Bands whose members are in one group need nothing more.
-        sizes = held.groupBy("band").agg(
-            F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")
-        ).where("lo < hi")
-        unsettled = scratch(held.join(sizes.select("band", "members"), "band"))
+        unsettled = scratch(held.join(mixed_bands.select("band", "main"), "band"))
         if unsettled.isEmpty():
             break
-        # At most so many rows of a band leave a task.
+        # Those outside a band's largest group meet the others and leave; at most so many of a band leave a task.
         order = Window.partitionBy("band").orderBy("node")
-        middle = unsettled.withColumn("rank", F.row_number().over(order)).where(
-            F.col("rank") <= (centres if turn else 1)
-        ).select("band", F.col("node").alias("a"), F.col("component").alias("a_component"))
-        apart = (F.col("a") != F.col("node")) & (F.col("a_component") != F.col("component"))
-        pairs = unsettled.join(middle, "band").where(apart).select("a", F.col("node").alias("b"))
-        few = unsettled.where((F.col("members") <= small) & F.lit(turn > 0))
-        other = few.select("band", F.col("node").alias("a"), F.col("component").alias("a_component"))
-        pairs = pairs.union(few.join(other, "band").where(apart).select("a", F.col("node").alias("b")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = scratch(compared(pairs, bodies))
-        checked = found.select("a", "b") if checked is None else checked.union(found.select("a", "b"))
+        outside = unsettled.where("component <> main").withColumn("rank", F.row_number().over(order)).where(
+            F.col("rank") <= outsiders
+        ).select(
+            "band", F.col("node").alias("a"), F.col("component").alias("a_component"), F.col("similarity").alias("a_near")
+        )
+        # One less similarity is a distance: texts whose distances from the centre differ too much are too far apart.
+        close = F.abs(F.col("similarity") - F.col("a_near")) <= 1 - least + 1e-9
+        pairs = unsettled.join(outside, "band").where((F.col("component") != F.col("a_component")) & close)
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        found = scratch(compared(pairs.join(checked, ["a", "b"], "left_anti"), bodies))
+        checked = checked.union(found.select("a", "b"))
         near = found.where(F.col("similarity") >= least - 1e-12).select("a", "b")
-        links = near if links is None else links.union(near)
-        groups = components(links, scratch)
-        # A centre has met all of its band, and so has every member of a small band after its turn.
-        rest = unsettled.where(F.col("members") > small) if turn else unsettled
-        met = middle.select("band", F.col("a").alias("node"))
-        members = scratch(rest.join(met, ["band", "node"], "left_anti").select("band", "node"))
-        turn += 1
+        if not near.isEmpty():
+            links = links.union(near)
+            groups = components(links, scratch)
+        met = outside.select("band", F.col("a").alias("node"))
+        members = scratch(unsettled.join(met, ["band", "node"], "left_anti").select("band", "node", "similarity"))
 
-    placed = texts.select("digest", "node")
-    placed = placed.withColumn("component", F.col("node")) if groups is None else _in_groups(placed, groups)
+    placed = _in_groups(texts.select("digest", "node"), groups)
     found = marked.select("id", "digest").join(placed, "digest").select(
         F.col("id").alias(id_col), "digest", F.col("node").alias("copy_of"), F.col("component").alias("class_id")
     )
     none = F.lit(None).cast("long")
-    without = rows.where("id IS NULL").select(
+    without = bodies_of.where("id IS NULL").select(
         F.col("id").alias(id_col), "digest", none.alias("copy_of"), none.alias("class_id")
     )
     return found.unionByName(without)

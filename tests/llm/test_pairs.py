@@ -65,7 +65,7 @@ def test_planted_groups_and_false_bands(spark):
     want = brute_classes(planted())
     assert found(near_dup.classes(rows(spark, planted()), scratch)) == want
     # Short bands bring unlike texts together, in groups beyond the small ones.
-    assert found(near_dup.classes(rows(spark, planted()), scratch, size=64, bands=64, small=8)) == want
+    assert found(near_dup.classes(rows(spark, planted()), scratch, size=64, rows=1, outsiders=5)) == want
 
 
 def test_near_dup_awkward_rows(spark):
