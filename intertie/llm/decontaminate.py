@@ -71,10 +71,14 @@ def blocks_of(fingerprint: Column, radius: int) -> Column:
 
 
 def bag_similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays of shingles taken as bags."""
+    """Weighted Jaccard similarity of two arrays of shingles taken as bags.
+
+    Without repeats in either, bags are sets and one hashed intersection gives it.
+    """
     count = lambda bag, s: F.size(F.filter(bag, lambda x: x == s))
-    shared = F.aggregate(
-        F.array_distinct(a), F.lit(0), lambda total, s: total + F.least(count(a, s), count(b, s))
+    single = lambda bag: F.size(F.array_distinct(bag)) == F.size(bag)
+    shared = F.when(single(a) & single(b), F.size(F.array_intersect(a, b))).otherwise(
+        F.aggregate(F.array_distinct(a), F.lit(0), lambda total, s: total + F.least(count(a, s), count(b, s)))
     )
     return shared / (F.size(a) + F.size(b) - shared)
 
@@ -192,7 +196,8 @@ def matches(
     checked = (
         windows.join(near, ["key", "length", "start"])
         .join(known.select("item", "length", "size", "item_shingles"), ["item", "length"])
-        .withColumn("similarity", bag_similarity(shingles_of(F.col("words"), F.col("size")), F.col("item_shingles")))
+        .withColumn("window_shingles", shingles_of(F.col("words"), F.col("size")))
+        .withColumn("similarity", bag_similarity(F.col("window_shingles"), F.col("item_shingles")))
         .where(F.col("similarity") >= least - 1e-12)
     )
     best = checked.groupBy("id", "key", "item").agg(
