@@ -171,12 +171,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counts: kinds 0 and 1 are ordinary and toxic cells, 2 a row's short context plus 1, 3 texts."""
-    tables = np.zeros((2, SYMBOLS << ROW_BITS), np.int64)
+    tables = np.zeros((2, SYMBOLS << ROW_BITS), np.uint32)
     parent = np.zeros(1 << ROW_BITS, np.int64)
     texts = np.zeros(2, np.int64)
     for batch in batches:
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+        for text, label in zip(batch.column(0), batch.column(1)):
             where, short, _ = cells(text.as_py() or "")
+            label = label.as_py()
             np.add.at(tables[label], where, 1)
             parent[where >> 5] = short + 1
             texts[label] += 1
@@ -222,7 +223,9 @@ def train(
     folded = fold(id_col, folds)
     judged = _judged(labels, id_col, label_col).where((folded != held_out) & (folded != calibration))
     judged = judged.withColumn("_label", (F.col("_label") > 0).cast("int"))
-    texts = docs.select(id_col, F.col(text_col).alias("_text")).join(judged, id_col).select("_text", "_label")
+    # Labels grow with the documents: the same plan at every size, not a broadcast while they happen to be few.
+    texts = docs.select(id_col, F.col(text_col).alias("_text")).join(judged.hint("merge"), id_col)
+    texts = texts.select("_text", "_label")
     merged = texts.mapInArrow(_count, PARTIAL).repartition("kind", "chunk").mapInArrow(_merge, PARTIAL)
     tables = np.zeros((2, SYMBOLS << ROW_BITS), np.int64)
     parent = np.zeros(1 << ROW_BITS, np.int64)
@@ -245,9 +248,10 @@ def weigh(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
         for batch in batches:
-            rows = [evidence(t.as_py(), ratio) for t in batch.column(1)]
+            rows = np.array([evidence(t.as_py(), ratio) for t in batch.column(1)]).reshape(-1, EVIDENCE)
+            offsets = pa.array(np.arange(0, rows.size + 1, EVIDENCE, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=schema.names
+                [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))], names=schema.names
             )
 
     return docs.select(id_col, text_col).mapInArrow(work, schema)
