@@ -123,24 +123,27 @@ def labelled_runs(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return samples.select("s.value", "s.secret").where(F.length("value") >= 2)
 
 
-def train(labelled: DataFrame, prior: float = 0.5) -> list[float]:
+def train(labelled: DataFrame, prior: float = 2.0) -> list[float]:
     """Logarithms of the ratio of the two models' transition probabilities, by pair of characters.
 
-    The result has one number for each pair of the alphabet, however many
-    samples there are. Without samples of one kind its model is uniform.
+    A transition counts ``prior`` observations more, spread like the model's
+    characters as a whole. The result has one number for each pair of the
+    alphabet, however many samples there are. Without samples of one kind its model is uniform.
     """
     size = len(ALPHABET)
-    counts = {True: [prior] * (size * size), False: [prior] * (size * size)}
+    counts = {True: [0] * (size * size), False: [0] * (size * size)}
     for row in pair_counts(labelled).collect():
         counts[row.secret][row.a * size + row.b] += row.n
-    ratio = []
-    for a in range(size):
-        rows = {k: v[a * size : (a + 1) * size] for k, v in counts.items()}
-        totals = {k: sum(v) for k, v in rows.items()}
-        ratio += [
-            math.log(rows[True][b] / totals[True]) - math.log(rows[False][b] / totals[False]) for b in range(size)
+    logs = {}
+    for kind, pairs in counts.items():
+        into = [sum(pairs[b::size]) + 0.5 for b in range(size)]
+        share = [n / sum(into) for n in into]
+        out_of = [sum(pairs[a * size : (a + 1) * size]) for a in range(size)]
+        logs[kind] = [
+            math.log((pairs[a * size + b] + prior * share[b]) / (out_of[a] + prior))
+            for a in range(size) for b in range(size)
         ]
-    return ratio
+    return [x - y for x, y in zip(logs[True], logs[False])]
 
 
 def likelihood_ratio(value: Column, ratio: list[float]) -> Column:
