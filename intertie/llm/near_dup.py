@@ -120,11 +120,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(``a``, ``b``, ``similarity``) of pairs of ids, from (``id``, ``text``)."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
-                found = [similarity(x, y) for x, y in zip(bags(batch.column(2)), bags(batch.column(3)))]
+                left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                # A centre's text comes with each of its pairs; its bag is made once.
+                distinct = list(dict.fromkeys(left + right))
+                known = dict(zip(distinct, bags(pa.array(distinct, pa.string()))))
+                found = [similarity(known[x], known[y]) for x, y in zip(left, right)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"]
                 )
