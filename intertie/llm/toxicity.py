@@ -9,9 +9,11 @@ scored by its length-normalised log-likelihood ratio and by how many of its
 words, and how strongly, speak for the toxic model; a logistic curve fitted on
 labels that the counts have not seen turns that into a score.
 
-Contexts are hashed to a fixed number of rows, so the model's size does not
-depend on the corpus; its counts come from every labelled text in the folds
-that are counted.
+Every context of five symbols has counts of its own, in a table whose rows grow
+with what the labelled texts of the counted folds hold. No process holds that
+table: documents are dealt into shards, a shard asks for the distinct runs of
+six symbols in its texts, and gets their log ratios back. Only what belongs to
+contexts of three symbols, at most 2^15, is kept as arrays.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from .quality import fold, sampled
 SYMBOLS = 32
 CONTEXT = 5
 SHORT = 3
-ROW_BITS = 17
-CHUNK = 1 << 16
+#: Parts of the model's table, by the last symbols of a context; a part has 2^21 cells at most.
+PARTS = 512
+#: Cells that a task gathers before it makes them distinct.
+BUFFER = 1 << 21
 STRONG = 3.0
 EVIDENCE = 4
 
@@ -74,26 +78,45 @@ def symbols(text: str) -> np.ndarray:
     return whole[kept]
 
 
-def cells(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each symbol after the first ones: its cell in the count table, the short context, and whether it ends a word."""
-    x = symbols(text)
+def cells(x: np.ndarray) -> np.ndarray:
+    """For each symbol after the first ones: the context before it and the symbol, as one number below 2^30."""
     n = max(0, len(x) - CONTEXT)
-    context = np.zeros(n, np.uint64)
-    for i in range(CONTEXT):
-        context = context * np.uint64(SYMBOLS) + x[i : i + n].astype(np.uint64)
-    rows = (context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ROW_BITS)
-    last = x[CONTEXT : CONTEXT + n]
-    return (rows.astype(np.int64) << 5) + last, (context % np.uint64(SYMBOLS**SHORT)).astype(np.int64), last == 0
+    out = np.zeros(n, np.uint32)
+    for i in range(CONTEXT + 1):
+        out = (out << np.uint32(5)) | x[i : i + n].astype(np.uint32)
+    return out
+
+
+def wrapped(values: np.ndarray) -> bytes:
+    """The bytes of an array behind their number, compressed."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unwrapped(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), kind)
 
 
-def discount(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+def increasing(cell: np.ndarray) -> bytes:
+    """Sorted cells by their differences."""
+    return wrapped(np.diff(cell, prepend=np.uint32(0)))
+
+
+def from_increasing(data: bytes) -> np.ndarray:
+    return np.cumsum(unwrapped(data, "<u4"), dtype=np.uint32)
+
+
+def discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once else 0.5
 
 
+def discount_of(counts: np.ndarray) -> float:
+    return discount(int((counts == 1).sum()), int((counts == 2).sum()))
+
+
 def smoothed(counts: np.ndarray, lower: np.ndarray, strength: float = 0.0) -> np.ndarray:
     """Discounted counts by row, the rest of the mass (and ``strength`` observations more) spread like ``lower``."""
-    d = discount(counts)
+    d = discount_of(counts)
     total = counts.sum(axis=1, keepdims=True)
     kinds = (counts > 0).sum(axis=1, keepdims=True)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -101,15 +124,8 @@ def smoothed(counts: np.ndarray, lower: np.ndarray, strength: float = 0.0) -> np
     return np.where(total + strength > 0, mixed, lower)
 
 
-def log_ratio(ordinary: np.ndarray, toxic: np.ndarray, parent: np.ndarray, strength: float) -> np.ndarray:
-    """Logarithm of the ratio of the two models' probabilities for every cell.
-
-    ``ordinary`` and ``toxic`` have a row for each hashed context; ``parent``
-    is a row's context of ``SHORT`` symbols.
-    """
-    pooled = ordinary + toxic
-    continuation = np.zeros((SYMBOLS**SHORT, SYMBOLS), np.int64)
-    np.add.at(continuation, parent, pooled > 0)
+def shared_by_short(continuation: np.ndarray) -> np.ndarray:
+    """The shared distribution after each context of ``SHORT`` symbols, from continuation counts of these contexts."""
     levels = [continuation]
     for _ in range(SHORT):
         # In how many longer contexts each symbol follows the shorter one.
@@ -117,18 +133,40 @@ def log_ratio(ordinary: np.ndarray, toxic: np.ndarray, parent: np.ndarray, stren
     shared = np.full((1, SYMBOLS), 1 / SYMBOLS)
     for level in levels[::-1]:
         shared = smoothed(level, np.tile(shared, (len(level) // len(shared), 1)))
-    shared = smoothed(pooled, shared[parent])
-    ratio = np.log(smoothed(toxic, shared, strength)) - np.log(smoothed(ordinary, shared, strength))
-    return ratio.ravel().astype(np.float32)
+    return shared
 
 
-def evidence(text: str | None, ratio: np.ndarray) -> list[float]:
-    """Of a whole text: mean log ratio by symbol, log count and share of strong words, strongest word (at most 8)."""
-    where, _, ends = cells(text or "")
-    if not len(where):
+def log_ratios(
+    cell: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, shared: np.ndarray, discounts: list[float], strength: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logarithm of the ratio of the two models' probabilities for every counted cell, and for the others of a context.
+
+    Contexts come whole. Returns the cells' values, the contexts, and the value
+    of symbols that did not follow a context: it is the same for all of them.
+    """
+    contexts, row = np.unique(cell >> 5, return_inverse=True)
+    n = len(contexts)
+
+    def parts(counts: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the counts of cells keep, what their rows give away, and the rows' totals."""
+        kinds = np.bincount(row, counts > 0, n)
+        return np.maximum(counts - d, 0), d * kinds, np.bincount(row, counts, n)
+
+    kept, given, total = parts(ordinary + toxic, discounts[0])
+    lower = (kept + given[row] * shared[contexts[row] % SYMBOLS**SHORT, cell % SYMBOLS]) / total[row]
+    value, other = np.zeros(len(cell)), np.zeros(n)
+    for sign, counts, d in ((1, toxic, discounts[2]), (-1, ordinary, discounts[1])):
+        kept, given, total = parts(counts, d)
+        value += sign * np.log((kept + (strength + given[row]) * lower) / (total[row] + strength))
+        other += sign * np.log((strength + given) / (total + strength))
+    return value.astype(np.float32), contexts, other.astype(np.float32)
+
+
+def evidence(x: np.ndarray, found: np.ndarray) -> list[float]:
+    """Of a whole text's symbols and log ratios: mean by symbol, log count and share of strong words, strongest (at most 8)."""
+    if not len(found):
         return [0.0] * EVIDENCE
-    found = ratio[where]
-    stops = np.flatnonzero(ends)
+    stops = np.flatnonzero(x[CONTEXT:] == 0)
     words = np.add.reduceat(found, np.concatenate([[0], stops[:-1] + 1])) if len(stops) else found.sum(keepdims=True)
     strong = int((words > STRONG).sum())
     return [float(found.mean()), float(np.log1p(strong)), strong / len(words), float(min(words.max(), 8.0))]
@@ -136,7 +174,12 @@ def evidence(text: str | None, ratio: np.ndarray) -> list[float]:
 
 @dataclass
 class Model:
-    ratio: np.ndarray
+    """``counts`` has columns ``cell``, ``ordinary`` and ``toxic``; ``discounts`` are of both classes' sum and of each."""
+
+    counts: DataFrame
+    shared: np.ndarray
+    discounts: list[float]
+    strength: float
     toxic_texts: int
     ordinary_texts: int
 
@@ -147,66 +190,60 @@ def _judged(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return known.groupBy(id_col).agg(F.max(label_col).alias("_label"))
 
 
-PARTIAL = "kind int, chunk int, places binary, counts binary"
+def packed(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with a text's symbols, compressed, as the last column ``symbols`` instead of the text."""
+    kept = [c for c in docs.columns if c != text_col]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("symbols", T.BinaryType())])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wrapped(symbols(t.as_py() or "").astype(np.uint8)) for t in batch.column(len(kept))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(kept)], pa.array(found, pa.binary())], names=schema.names
+            )
 
-def _rows(kind: int, table: np.ndarray, wide: str) -> list[tuple]:
-    """The cells of a table that are not 0, by chunks of cells."""
-    out = []
-    for chunk in range(-(-len(table) // CHUNK)):
-        part = table[chunk * CHUNK : (chunk + 1) * CHUNK]
-        at = np.flatnonzero(part)
-        if len(at):
-            out.append((kind, chunk, at.astype("<u2").tobytes(), part[at].astype(wide).tobytes()))
-    return out
+    return docs.select(*kept, text_col).mapInArrow(work, schema)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    columns = zip(*rows) if rows else [[], [], [], []]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["kind", "chunk", "places", "counts"]
-    )
+COUNTS = "cell int, ordinary long, toxic long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts: kinds 0 and 1 are ordinary and toxic cells, 2 a row's short context plus 1, 3 texts."""
-    tables = np.zeros((2, SYMBOLS << ROW_BITS), np.uint32)
-    parent = np.zeros(1 << ROW_BITS, np.int64)
-    texts = np.zeros(2, np.int64)
+    """Counts of cells by class, made distinct a few texts at a time; cell -1 counts texts."""
+    gathered: tuple[list, list] = ([], [])
+    texts, size = [0, 0], 0
+
+    def drained() -> pa.RecordBatch:
+        each = [np.unique(np.concatenate(g), return_counts=True) if g else (np.zeros(0, np.uint32), np.zeros(0, int)) for g in gathered]
+        n = [len(c) for c, _ in each]
+        none = [np.zeros(k, np.int64) for k in n]
+        columns = [
+            np.concatenate([each[0][0], each[1][0]]).astype(np.int32),
+            np.concatenate([each[0][1], none[1]]),
+            np.concatenate([none[0], each[1][1]]),
+        ]
+        gathered[0].clear(), gathered[1].clear()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "ordinary", "toxic"])
+
     for batch in batches:
-        for text, label in zip(batch.column(0), batch.column(1)):
-            where, short, _ = cells(text.as_py() or "")
-            label = label.as_py()
-            np.add.at(tables[label], where, 1)
-            parent[where >> 5] = short + 1
+        for data, label in zip(batch.column(0), batch.column(1).to_pylist()):
+            own = cells(unwrapped(data.as_py(), "u1"))
+            gathered[label].append(own)
             texts[label] += 1
-    yield _batch(
-        _rows(0, tables[0], "<i8") + _rows(1, tables[1], "<i8") + _rows(2, parent, "<i8") + _rows(3, texts, "<i8")
+            size += len(own)
+            if size >= BUFFER:
+                yield drained()
+                size = 0
+    yield drained()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([-1], pa.int32()), pa.array([texts[0]]), pa.array([texts[1]])], names=["cell", "ordinary", "toxic"]
     )
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by kind and chunk; of short contexts that share a hashed row the largest stays."""
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for kind, chunk, places, counts in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-            table = sums.setdefault((kind, chunk), np.zeros(CHUNK, np.int64))
-            at, values = np.frombuffer(places, "<u2"), np.frombuffer(counts, "<i8")
-            if kind == 2:
-                table[at] = np.maximum(table[at], values)
-            else:
-                table[at] += values
-    out = []
-    for (kind, chunk), table in sums.items():
-        at = np.flatnonzero(table)
-        out.append((kind, chunk, at.astype("<u2").tobytes(), table[at].astype("<i8").tobytes()))
-    yield _batch(out)
-
-
 def train(
     docs: DataFrame,
     labels: DataFrame,
+    scratch,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -217,44 +254,141 @@ def train(
 ) -> Model | None:
     """Counts over all labelled texts outside the held-out and the calibration fold; None if one class has none there.
 
-    Every task adds up its texts in tables of fixed size; only their cells are
-    shuffled, and the merged tables, of fixed size too, go to the driver.
+    Counts are summed in every task before they are shuffled. What goes to the
+    driver are sums of a fixed number: of texts, of cells that occur once and
+    twice, and in how many contexts a symbol follows the same last three.
     """
-    folded = fold(id_col, folds)
-    judged = _judged(labels, id_col, label_col).where((folded != held_out) & (folded != calibration))
-    judged = judged.withColumn("_label", (F.col("_label") > 0).cast("int"))
+    learnt = lambda rows: rows.where((fold(id_col, folds) != held_out) & (fold(id_col, folds) != calibration))
+    judged = learnt(_judged(labels, id_col, label_col)).withColumn("_label", (F.col("_label") > 0).cast("int"))
     # Labels grow with the documents: the same plan at every size, not a broadcast while they happen to be few.
-    texts = docs.select(id_col, F.col(text_col).alias("_text")).join(judged.hint("merge"), id_col)
-    texts = texts.select("_text", "_label")
-    merged = texts.mapInArrow(_count, PARTIAL).repartition("kind", "chunk").mapInArrow(_merge, PARTIAL)
-    tables = np.zeros((2, SYMBOLS << ROW_BITS), np.int64)
-    parent = np.zeros(1 << ROW_BITS, np.int64)
-    seen = np.zeros(CHUNK, np.int64)
-    for row in merged.toLocalIterator():
-        target = {2: parent, 3: seen}.get(row.kind, tables[row.kind % 2])
-        target[np.frombuffer(row.places, "<u2").astype(np.int64) + row.chunk * CHUNK] = np.frombuffer(row.counts, "<i8")
-    if not seen[0] or not seen[1]:
+    texts = packed(learnt(docs.select(id_col, text_col)), text_col).join(judged.hint("merge"), id_col)
+    counted = texts.select("symbols", "_label").mapInArrow(_count, COUNTS)
+    counts = scratch(counted.groupBy("cell").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+    kinds = {"both": F.col("ordinary") + F.col("toxic"), "ordinary": F.col("ordinary"), "toxic": F.col("toxic")}
+    told = counts.agg(
+        F.sum(F.when(F.col("cell") < 0, F.col("ordinary"))),
+        F.sum(F.when(F.col("cell") < 0, F.col("toxic"))),
+        *[F.count(F.when((F.col("cell") >= 0) & (of == n), 1)) for of in kinds.values() for n in (1, 2)],
+    ).first()
+    if not told[0] or not told[1]:
         return None
-    shaped = tables.reshape(2, -1, SYMBOLS)
-    ratio = log_ratio(shaped[0], shaped[1], np.maximum(parent - 1, 0), strength)
-    return Model(ratio, int(seen[1]), int(seen[0]))
-
+    counts = counts.where("cell >= 0")
+    short = SYMBOLS ** (SHORT + 1)
+    continuation = np.zeros(short, np.int64)
+    for row in counts.groupBy((F.col("cell") % short).alias("at")).count().toLocalIterator():
+        continuation[row["at"]] = row["count"]
+    shared = shared_by_short(continuation.reshape(-1, SYMBOLS))
+    discounts = [discount(told[i], told[i + 1]) for i in (2, 4, 6)]
+    return Model(counts, shared, discounts, strength, told[1], told[0])
+
+
+ASKED = "part int, shard int, cells binary, ratios binary, contexts binary, others binary"
+ANSWERS = "shard int, cells binary, ratios binary"
+#: Rows of ``ASKED`` without a shard are the model's.
+MODEL = -1
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [[]] * len(fields)
+    return pa.table({name: pa.array(list(c), kinds[kind]) for (name, kind), c in zip(fields, columns)})
+
+
+def model_parts(model: Model):
+    """Of one part of the contexts: its row of ``ASKED``."""
+    shared = model.counts.sparkSession.sparkContext.broadcast(model.shared)
+    discounts, strength = model.discounts, model.strength
+
+    def work(counts: pa.Table) -> pa.Table:
+        cell, ordinary, toxic = (counts.column(c).to_numpy() for c in ("cell", "ordinary", "toxic"))
+        order = np.argsort(cell)
+        cell = cell[order].astype(np.uint32)
+        value, contexts, other = log_ratios(cell, ordinary[order], toxic[order], shared.value, discounts, strength)
+        row = int(contexts[0]) % PARTS, MODEL, increasing(cell), wrapped(value), increasing(contexts), wrapped(other)
+        return _table([row], ASKED)
+
+    return work
+
+
+def wanted(texts: pa.Table) -> pa.Table:
+    """Of one shard: the distinct cells of its texts, by parts."""
+    known, gathered, size = np.zeros(0, np.uint32), [], 0
+    for data in texts.column("symbols"):
+        gathered.append(cells(unwrapped(data.as_py(), "u1")))
+        size += len(gathered[-1])
+        if size >= BUFFER:
+            known, gathered, size = np.unique(np.concatenate([known, *gathered])), [], 0
+    known = np.unique(np.concatenate([known, *gathered]))
+    part = (known >> 5) % PARTS
+    by = np.argsort(part, kind="stable")
+    known, ends = known[by], np.cumsum(np.bincount(part, minlength=PARTS))
+    shard = texts.column("shard")[0].as_py()
+    spans = [(p, known[a:b]) for p, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())) if b > a]
+    return _table([(p, shard, increasing(own), None, None, None) for p, own in spans], ASKED)
+
+
+def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Log ratios of wanted cells; a part's row of the model comes before what is wanted of it. Unseen contexts give 0."""
+    at, held = None, None
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if row["shard"] == MODEL:
+                at = row["part"]
+                held = (
+                    from_increasing(row["cells"]), unwrapped(row["ratios"], "<f4"),
+                    from_increasing(row["contexts"]), unwrapped(row["others"], "<f4"),
+                )
+                continue
+            cell = from_increasing(row["cells"])
+            found = np.zeros(len(cell), np.float32)
+            if row["part"] == at:
+                # The cells of contexts come last, so counted ones take their own values.
+                for keys, values, asked in ((held[2], held[3], cell >> 5), (held[0], held[1], cell)):
+                    where = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                    found = np.where(keys[where] == asked, values[where], found)
+            out.append((row["shard"], row["cells"], wrapped(found)))
+        yield from _table(out, ANSWERS).to_batches()
+
+
+def weighed_texts(schema: T.StructType):
+    """Of one shard: ``schema``, an id and the evidence of its text, from the log ratios the shard has asked for."""
+
+    def work(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.uint32)
+        keys = np.concatenate([none, *[from_increasing(c.as_py()) for c in answers.column("cells")]])
+        values = np.concatenate([none.astype("<f4"), *[unwrapped(c.as_py(), "<f4") for c in answers.column("ratios")]])
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        rows = []
+        for data in texts.column("symbols"):
+            x = unwrapped(data.as_py(), "u1")
+            rows.append(evidence(x, values[np.searchsorted(keys, cells(x))]))
+        rows = pa.array(rows, pa.list_(pa.float64()))
+        return pa.table([texts.column(0), rows], names=schema.names)
+
+    return work
+
+
+def weigh(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 32_000_000
+) -> DataFrame:
+    """``id_col`` and ``evidence`` (array of double) of every row; a null text counts as empty.
 
-def weigh(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``evidence`` (array of double) of every row; a null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
+    Shards follow from the size of the texts, about ``shard_bytes`` each; what
+    is shuffled is every text once, and the distinct cells of shards.
+    """
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    shard = F.pmod(F.xxhash64(id_col, text_col), F.lit(shards)).cast("int")
+    dealt = packed(docs.select(id_col, shard.alias("shard"), text_col), text_col).repartition("shard")
+    asked = dealt.groupBy("shard").applyInArrow(wanted, ASKED)
+    part = F.pmod(F.shiftright("cell", 5), F.lit(PARTS))
+    table = model.counts.groupBy(part.alias("part")).applyInArrow(model_parts(model), ASKED)
+    answers = table.union(asked).repartition("part").sortWithinPartitions("part", "shard").mapInArrow(answered, ANSWERS)
     schema = T.StructType([docs.schema[id_col], T.StructField("evidence", T.ArrayType(T.DoubleType()))])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = shared.value
-        for batch in batches:
-            rows = np.array([evidence(t.as_py(), ratio) for t in batch.column(1)]).reshape(-1, EVIDENCE)
-            offsets = pa.array(np.arange(0, rows.size + 1, EVIDENCE, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))], names=schema.names
-            )
-
-    return docs.select(id_col, text_col).mapInArrow(work, schema)
+    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(weighed_texts(schema), schema)
 
 
 def logistic(rows: np.ndarray, label: np.ndarray, decay: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -295,7 +429,7 @@ def report(
         value.alias("score"),
         (value >= 0.5).cast("int").alias("predicted"),
     )
-    model = train(docs, labels, id_col, text_col, label_col, folds, held_out, calibration)
+    model = train(docs, labels, scratch, id_col, text_col, label_col, folds, held_out, calibration)
     if model is None:
         return out(docs, F.lit(0.0))
     weighed = scratch(weigh(docs, model, id_col, text_col))

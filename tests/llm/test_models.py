@@ -95,3 +95,89 @@ def test_smoothed_probabilities_add_up():
     counts = np.array([[5, 1, 0, 0], [0, 0, 0, 0], [2, 2, 1, 1]])
     out = toxicity.smoothed(counts, np.full((3, 4), 0.25), 2.0)
     assert np.allclose(out.sum(axis=1), 1)
+
+
+def random_letters(n, size, seed=4):
+    """Texts with so many contexts that few recur, as in a large corpus."""
+    rng = random.Random(seed)
+    texts = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size))) for i in range(n)]
+    return texts, [(i, 1, int(rng.random() < 0.4)) for i, _ in texts]
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
+    texts, labels = random_letters(120, 3000)
+    table = spark.createDataFrame(labels, LABELS)
+    a, b = (
+        {r.doc_id: r.score for r in toxicity.report(docs, table, scratch).collect()}
+        for docs in (rows(spark, texts).coalesce(1), rows(spark, texts[::-1]).repartition(7))
+    )
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-6 for i in a)
+
+
+def exact_evidence(texts, labels, known):
+    """Plain version of the toxicity model's evidence: dictionaries over whole contexts."""
+    counts, seen = ({}, {}), set()
+    for i, text in texts:
+        x = toxicity.symbols(text).tolist()
+        for k in range(len(x) - 5) if i in known else ():
+            own = counts[labels[i]].setdefault(tuple(x[k : k + 5]), {})
+            own[x[k + 5]] = own.get(x[k + 5], 0) + 1
+            seen.add((*x[k : k + 5], x[k + 5]))
+    off = lambda values: (lambda a, b: a / (a + 2 * b) if a else 0.5)(values.count(1), values.count(2))
+    both = {}
+    for table in counts:
+        for c, row in table.items():
+            for s, v in row.items():
+                own = both.setdefault(c, {})
+                own[s] = own.get(s, 0) + v
+    levels, grams = {}, {g[2:] for g in seen}
+    follow = {}
+    for g in seen:
+        own = follow.setdefault(g[2:5], {})
+        own[g[5]] = own.get(g[5], 0) + 1
+    levels[3] = follow
+    for size in (2, 1, 0):
+        longer, levels[size] = grams, {}
+        grams = {g[1:] for g in longer}
+        for g in longer:
+            own = levels[size].setdefault(g[1:-1], {})
+            own[g[-1]] = own.get(g[-1], 0) + 1
+    discounts = {n: off([v for row in t.values() for v in row.values()]) for n, t in levels.items()}
+    pooled, by_class = off([v for r in both.values() for v in r.values()]), [
+        off([v for r in t.values() for v in r.values()]) for t in counts
+    ]
+
+    def mix(row, s, d, lower, strength=0.0):
+        total = sum(row.values())
+        return (max(row.get(s, 0) - d, 0) + (strength + d * len(row)) * lower) / (total + strength) if total + strength else lower
+
+    def shared(c, s, size=3):
+        lower = shared(c[1:], s, size - 1) if size else 1 / 32
+        return mix(levels[size].get(c, {}), s, discounts[size], lower)
+
+    out = []
+    for i, text in texts:
+        x, found = toxicity.symbols(text), []
+        for k in range(len(x) - 5):
+            c, s = tuple(x[k : k + 5].tolist()), int(x[k + 5])
+            lower = mix(both.get(c, {}), s, pooled, shared(c[2:], s))
+            o, t = (mix(counts[n].get(c, {}), s, by_class[n], lower, 30.0) for n in (0, 1))
+            found.append(np.log(t) - np.log(o))
+        out.append((i, toxicity.evidence(x, np.array(found))))
+    return out
+
+
+def test_every_context_has_its_own_counts(spark):
+    texts, labels = random_letters(40, 400, 5)
+    more, tags = planted(60)
+    texts += [(100 + i, t) for i, t in more] + [(500, ""), (501, "a"), (502, "unseen ünlike 你好 contexts")]
+    labels += [(100 + i, q, t) for i, q, t in tags]
+    known = {i: t for i, _, t in labels}
+    learnt = {i for i in known if zlib.crc32(str(i).encode()) % 5 > 1}
+    docs = rows(spark, texts)
+    model = toxicity.train(docs, spark.createDataFrame(labels, LABELS), scratch)
+    want = dict(exact_evidence(texts, known, learnt))
+    for shard_bytes in (3000, 10**7):
+        found = {r.doc_id: r.evidence for r in toxicity.weigh(docs, model, shard_bytes=shard_bytes).collect()}
+        assert found.keys() == want.keys()
+        assert all(np.allclose(found[i], want[i], atol=1e-4) for i in want)
