@@ -4,12 +4,13 @@
    The documents' least phrases are counted; those in two documents at least are recurring.
 2. Documents are dealt into shards. The recurring phrases of a shard's documents are compiled into an Aho-Corasick
    automaton, one letter for each word, and all documents of the shard run through it. Only windows around a hit can
-   recur; their hashes go on, under their least phrase, once for each shard.
+   recur; their hashes go on, in groups by hash, once for each shard.
 3. The first document of each such window is found, and sent back to the shards that have the window again.
 4. Each shard removes the words of windows that an earlier document has.
 
-No group of documents that share a passage is ever brought together: what is
-shuffled is at most one row for each phrase, shard and run of windows.
+No group of documents that share a passage or a phrase is ever brought
+together: a group by hash gets an entry for each of its windows and shard that
+has it, and there are as many groups as keep it about as large as a few shards.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .word_hashes import ODD, ODD_INVERSE, grams, hashed_words, sliding_min
+from .word_hashes import ODD, ODD_INVERSE, grams, hashed_words, mixed, sliding_min
 
 PHRASE = 6
 LETTER_BITS = 10
@@ -115,85 +116,92 @@ class Phrases:
         return grams(words, self.window), sliding_min(at, self.window - PHRASE + 1)
 
 
-WINDOWS = "phrase long, shard int, lo long, hi long, hashes binary"
+def wrapped(*columns: np.ndarray) -> bytes:
+    """Equally long columns behind their length, byte places apart, compressed."""
+    raw = b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def candidate_windows(window: int):
-    """Of one shard: rows of ``WINDOWS``, runs of windows under one phrase, with the least and largest id that has them."""
+def unwrapped(data: bytes, *kinds: str) -> list[np.ndarray]:
+    n, widths = int.from_bytes(data[:8], "little"), [np.dtype(k).itemsize for k in kinds]
+    raw, out, at = np.frombuffer(pa.decompress(data[8:], n * sum(widths), "zstd", asbytes=True), np.uint8), [], 0
+    for kind, width in zip(kinds, widths):
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
+
+
+WINDOWS = "bucket int, shard int, entries binary"
+#: Of a window: its hash, 16 bits of its least phrase, the least id that has it, and how far the largest is from that.
+ENTRY = "<u8", "<u2", "<i8", "<i8"
+
+
+def spans(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal keys begin and end."""
+    edges = np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1
+    return list(zip([0, *edges.tolist()], [*edges.tolist(), len(sorted_keys)])) if len(sorted_keys) else []
+
+
+def candidate_windows(window: int, buckets: int):
+    """Of one shard: its windows that can recur, each once, with the least and largest id that has it, by bucket."""
 
     def work(docs: pa.Table, phrases: pa.Table) -> pa.Table:
-        found: dict[tuple[int, bytes], list[int]] = {}
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         shard = None
         if docs.num_rows and phrases.num_rows:
             shard = docs.column("shard")[0].as_py()
             compiled = Phrases(phrases.column("phrase").to_numpy(), window)
-            ids = docs.column("id").to_pylist()
+            ids = docs.column("id").to_numpy()
             for chunk_start in range(0, docs.num_rows, 500):
                 texts = docs.column("text").slice(chunk_start, 500).combine_chunks()
                 for i, words in enumerate(per_text(texts), chunk_start):
                     hashes, least = compiled.windows(words)
-                    if not len(hashes):
-                        continue
-                    cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]])
-                    for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                        if least[start] != NONE:
-                            key = int(least[start]), hashes[start:end].tobytes()
-                            seen = found.setdefault(key, [ids[i], ids[i]])
-                            seen[0], seen[1] = min(seen[0], ids[i]), max(seen[1], ids[i])
-        n = len(found)
+                    hit = least != NONE
+                    if hit.any():
+                        marks = mixed(least[hit]).astype(np.uint16)
+                        found.append((hashes[hit], marks, np.full(len(marks), ids[i], np.int64)))
+        rows = []
+        if found:
+            hashes, marks, owner = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((marks, hashes, hashes % np.uint64(buckets)))
+            hashes, marks, owner = hashes[order], marks[order], owner[order]
+            starts = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (marks[1:] != marks[:-1])])
+            lo, hi = np.minimum.reduceat(owner, starts), np.maximum.reduceat(owner, starts)
+            hashes, marks = hashes[starts], marks[starts]
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            rows = [(int(bucket[a]), wrapped(hashes[a:b], marks[a:b], lo[a:b], hi[a:b] - lo[a:b])) for a, b in spans(bucket)]
         return pa.table(
             {
-                "phrase": pa.array(np.array([k[0] for k in found], np.uint64).view(np.int64)),
-                "shard": pa.array([shard] * n, pa.int32()),
-                "lo": pa.array([v[0] for v in found.values()], pa.int64()),
-                "hi": pa.array([v[1] for v in found.values()], pa.int64()),
-                "hashes": pa.array([k[1] for k in found], pa.binary()),
+                "bucket": pa.array([r[0] for r in rows], pa.int32()),
+                "shard": pa.array([shard] * len(rows), pa.int32()),
+                "entries": pa.array([r[1] for r in rows], pa.binary()),
             }
         )
 
     return work
 
 
-FIRSTS = "shard int, hashes binary, firsts binary"
-
-
-def first_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within a partition by phrase: for every shard the windows that an earlier document has, and that document."""
-    tables = [pa.Table.from_batches([b]) for b in batches]
-    if not tables:
-        return
-    rows = pa.concat_tables(tables).combine_chunks()
-    packed = rows.column("hashes").combine_chunks() if rows.num_rows else pa.array([], pa.binary())
-    if isinstance(packed, pa.ChunkedArray):
-        packed = pa.concat_arrays(packed.chunks)
-    lengths = pa.compute.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // 8
-    hashes = np.frombuffer(b"".join(packed.to_pylist()), np.uint64)
-    owner = np.repeat(np.arange(rows.num_rows), lengths)
-    phrase, lo, hi = (rows.column(c).to_numpy() for c in ("phrase", "lo", "hi"))
-    order = np.lexsort((phrase[owner], hashes))
-    h, o = hashes[order], owner[order]
-    p = phrase[o]
-    fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (p[1:] != p[:-1])]) if len(h) else np.zeros(0, bool)
-    starts = np.flatnonzero(fresh)
-    if not len(starts):
-        return
-    first = np.minimum.reduceat(lo[o], starts)
-    earliest = np.empty(len(h), np.int64)
-    earliest[order] = first[np.cumsum(fresh) - 1]
-    again = earliest < hi[owner]
-    shards = rows.column("shard").to_numpy()
-    used, h, e = shards[owner[again]], hashes[again], earliest[again]
-    by = np.argsort(used, kind="stable")
-    used, h, e = used[by], h[by], e[by]
-    cuts = np.concatenate([[0], np.flatnonzero(used[1:] != used[:-1]) + 1, [len(used)]]) if len(used) else np.zeros(1, int)
-    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([used[a] for a, _ in spans], pa.int32()),
-            pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
-            pa.array([e[a:b].tobytes() for a, b in spans], pa.binary()),
-        ],
-        names=["shard", "hashes", "firsts"],
+FIRSTS = "shard int, firsts binary"
+
+
+def first_documents(rows: pa.Table) -> pa.Table:
+    """Of one bucket: for every shard the windows that an earlier document has, and that document."""
+    each = [unwrapped(e.as_py(), *ENTRY) for e in rows.column("entries")]
+    hashes, marks, lo, apart = (np.concatenate(c) for c in zip(*each))
+    shards = np.repeat(rows.column("shard").to_numpy(), [len(e[0]) for e in each])
+    order = np.lexsort((marks, hashes))
+    hashes, marks, lo, hi, shards = hashes[order], marks[order], lo[order], (lo + apart)[order], shards[order]
+    fresh = np.r_[True, (hashes[1:] != hashes[:-1]) | (marks[1:] != marks[:-1])]
+    first = np.minimum.reduceat(lo, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+    again = np.flatnonzero(first < hi)
+    again = again[np.argsort(shards[again], kind="stable")]
+    hashes, first, shards = hashes[again], first[again], shards[again]
+    cuts = spans(shards)
+    return pa.table(
+        {
+            "shard": pa.array([int(shards[a]) for a, _ in cuts], pa.int32()),
+            "firsts": pa.array([wrapped(hashes[a:b], first[a:b]) for a, b in cuts], pa.binary()),
+        }
     )
 
 
@@ -201,8 +209,9 @@ def remove_windows(window: int):
     """Of one shard: every document's words without those of windows that an earlier document has."""
 
     def work(docs: pa.Table, firsts: pa.Table) -> pa.Table:
-        hashes = np.frombuffer(b"".join(firsts.column("hashes").to_pylist()), np.uint64)
-        first = np.frombuffer(b"".join(firsts.column("firsts").to_pylist()), np.int64)
+        each = [unwrapped(f.as_py(), "<u8", "<i8") for f in firsts.column("firsts")]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *[e[0] for e in each]])
+        first = np.concatenate([np.zeros(0, np.int64), *[e[1] for e in each]])
         order = np.lexsort((first, hashes))
         hashes, first = hashes[order], first[order]
         ids = docs.column("id").to_pylist()
@@ -280,9 +289,9 @@ def remove_repeats(
     by_shard = dealt.groupBy("shard")
     windows = (
         dealt.where("id IS NOT NULL").groupBy("shard").cogroup(recurring.groupBy("shard"))
-        .applyInArrow(candidate_windows(window), WINDOWS)
+        .applyInArrow(candidate_windows(window, -(-shards // 4)), WINDOWS)
     )
-    firsts = scratch(windows.repartition("phrase").mapInArrow(first_documents, FIRSTS))
+    firsts = scratch(windows.groupBy("bucket").applyInArrow(first_documents, FIRSTS))
     left = by_shard.cogroup(firsts.groupBy("shard")).applyInArrow(
         remove_windows(window), "id long, n_words long, n_removed long, kept string"
     )

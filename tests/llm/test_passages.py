@@ -3,6 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from intertie.llm import passages
 from intertie.llm.queries import op3_passages
 
@@ -53,3 +56,35 @@ def test_awkward_rows(spark):
     assert found(passages.remove_repeats(rows(spark, awkward()), scratch)) == brute(awkward())
     assert found(passages.remove_repeats(rows(spark, awkward()), scratch, window=6)) == brute(awkward(), 6)
     assert passages.remove_repeats(rows(spark, []), scratch).count() == 0
+
+
+def common_line(n):
+    """Different documents around one line that all of them have."""
+    rng = random.Random(3)
+    fresh = lambda k: [f"v{rng.randrange(10**6)}" for _ in range(k)]
+    line = fresh(12)
+    return [(i, " ".join(fresh(60) + line + fresh(60))) for i in range(n)]
+
+
+def test_windows_of_a_common_phrase_do_not_meet():
+    texts, buckets = common_line(200), 16
+    table = pa.table(
+        {
+            "id": pa.array([i for i, _ in texts], pa.int64()),
+            "text": pa.array([t for _, t in texts]),
+            "shard": pa.array([7] * len(texts), pa.int32()),
+        }
+    )
+    tokens = next(passages.per_text(table.column("text").slice(0, 1).combine_chunks()))
+    common = passages.orders(passages.letters(tokens))[60:67]
+    found = passages.candidate_windows(50, buckets)(table, pa.table({"phrase": pa.array(common.view(np.int64))}))
+    sizes = [len(passages.unwrapped(e, *passages.ENTRY)[0]) for e in found.column("entries").to_pylist()]
+    assert len(sizes) == buckets and sum(sizes) > 200 * 40 and max(sizes) < 2 * sum(sizes) / buckets
+
+
+def test_common_line_in_different_documents(spark):
+    texts = common_line(60)
+    texts += [(100 + i, " ".join(t.split()[i : 100 + i])) for i, t in texts[:20]]
+    texts += [(-5, texts[3][1]), (2**62, texts[4][1]), (-(2**62), texts[4][1])]
+    for shard_bytes in (500, 5000, 10**7):
+        assert found(passages.remove_repeats(rows(spark, texts), scratch, shard_bytes=shard_bytes)) == brute(texts)
