@@ -24,11 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quality import fold, sampled
+from .quality import fold
 
 SYMBOLS = 32
 CONTEXT = 5
@@ -240,6 +240,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def withheld(id_col: str, folds: int, calibration: int, share: float) -> Column:
+    """Whether an id is among that share of the calibration fold, chosen by a hash of the id, that fits the curve."""
+    chosen = F.pmod(F.xxhash64(id_col, F.lit("c")), F.lit(1_000_000)) < int(share * 1_000_000)
+    return (fold(id_col, folds) == calibration) & chosen
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -251,14 +257,15 @@ def train(
     held_out: int = 0,
     calibration: int = 1,
     strength: float = 30.0,
+    share: float = 1.0,
 ) -> Model | None:
-    """Counts over all labelled texts outside the held-out and the calibration fold; None if one class has none there.
+    """Counts over all labelled texts but the held-out fold and ``share`` of the calibration fold; None if a class has none.
 
     Counts are summed in every task before they are shuffled. What goes to the
     driver are sums of a fixed number: of texts, of cells that occur once and
     twice, and in how many contexts a symbol follows the same last three.
     """
-    learnt = lambda rows: rows.where((fold(id_col, folds) != held_out) & (fold(id_col, folds) != calibration))
+    learnt = lambda rows: rows.where((fold(id_col, folds) != held_out) & ~withheld(id_col, folds, calibration, share))
     judged = learnt(_judged(labels, id_col, label_col)).withColumn("_label", (F.col("_label") > 0).cast("int"))
     # Labels grow with the documents: the same plan at every size, not a broadcast while they happen to be few.
     texts = packed(learnt(docs.select(id_col, text_col)), text_col).join(judged.hint("merge"), id_col)
@@ -420,7 +427,7 @@ def report(
 
     ``scratch(df)`` writes a table to the shared folder and reads it back. At
     most about ``most`` labelled rows of the calibration fold, chosen by a hash
-    of their ids, fit the curve. Without toxic or ordinary labels to learn
+    of their ids, fit the curve; the others are counted. Without toxic or ordinary labels to learn
     from all scores are 0. Null ids and empty or null texts get a score too.
     """
     out = lambda rows, value: rows.select(
@@ -429,13 +436,13 @@ def report(
         value.alias("score"),
         (value >= 0.5).cast("int").alias("predicted"),
     )
-    model = train(docs, labels, scratch, id_col, text_col, label_col, folds, held_out, calibration)
+    judged = _judged(labels, id_col, label_col).where(fold(id_col, folds) == calibration)
+    share = min(1.0, most / max(1, judged.count()))
+    model = train(docs, labels, scratch, id_col, text_col, label_col, folds, held_out, calibration, share=share)
     if model is None:
         return out(docs, F.lit(0.0))
     weighed = scratch(weigh(docs, model, id_col, text_col))
-    judged = _judged(labels, id_col, label_col).where(fold(id_col, folds) == calibration)
-    n = judged.count()
-    pairs = weighed.join(sampled(judged, id_col, min(1.0, most / max(1, n)), "c"), id_col).toPandas()
+    pairs = weighed.join(judged.where(withheld(id_col, folds, calibration, share)), id_col).toPandas()
     if pairs["_label"].nunique() > 1:
         weights, bias = logistic(np.stack(pairs["evidence"].to_numpy()), (pairs["_label"] > 0).to_numpy(float))
     else:

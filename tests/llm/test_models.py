@@ -181,3 +181,15 @@ def test_every_context_has_its_own_counts(spark):
         found = {r.doc_id: r.evidence for r in toxicity.weigh(docs, model, shard_bytes=shard_bytes).collect()}
         assert found.keys() == want.keys()
         assert all(np.allclose(found[i], want[i], atol=1e-4) for i in want)
+
+
+def test_calibration_labels_beyond_the_sample_are_counted(spark, monkeypatch):
+    texts, labels = planted(300)
+    models, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    docs, table = rows(spark, texts), spark.createDataFrame(labels, LABELS)
+    assert toxicity.report(docs, table, scratch, most=20).count() == 300
+    parts = [zlib.crc32(str(i).encode()) % 5 for i, _ in texts]
+    sample = quality.sampled(docs.where(quality.fold("doc_id", 5) == 1), "doc_id", 20 / parts.count(1), "c").count()
+    assert 0 < sample < parts.count(1)
+    assert models[0].toxic_texts + models[0].ordinary_texts == 300 - parts.count(0) - sample
