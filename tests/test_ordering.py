@@ -11,7 +11,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from intertie.operators import network, ordering, portfolio, signals, versions, wind
-from intertie.operators.joins import size_checked_join
 from intertie.operators.market import average_rank, percentile_rank, share_at_or_below
 
 
@@ -229,15 +228,6 @@ def test_nearest_factor_everywhere_on_the_globe(spark):
     assert hits > 100 and got[999].factor == 1.0
 
 
-def test_join_beyond_the_broadcast_limit(spark):
-    left = spark.range(200).select("id", (F.col("id") % 7).alias("k"))
-    right = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    small = size_checked_join(left, right, ["k"], "left")
-    large = size_checked_join(left, right, ["k"], "left", max_rows=2)
-    assert sorted(small.collect()) == sorted(large.collect())
-    assert small.count() == 200
-
-
 def test_scenarios_of_any_number(spark):
     rng = random.Random(11)
     rows = [(f"c{i % 4}", "q", float(rng.randrange(100))) for i in range(62)]
