@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, with_package
-from . import bpe, decontaminate, near_dup, passages, quality, secret_scan, sharding, token_files, top_k, toxicity
+from . import bpe, byte_bpe, decontaminate, near_dup, passages, quality, secret_scan, sharding, token_files, top_k, toxicity
 from .registry import REGISTRY
 
 
@@ -27,6 +27,15 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@REGISTRY.add("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = byte_bpe.round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @REGISTRY.add("op6_token_files")
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
