@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, with_package
-from . import bpe, byte_bpe, decontaminate, near_dup, passages, quality, secret_scan, sharding, token_files, top_k, toxicity
+from . import bpe, byte_bpe, decontaminate, manifest_sql, merkle, near_dup, passages, quality, secret_scan, sharding, token_files, top_k, toxicity, turn_trie
 from .registry import REGISTRY
 
 
@@ -116,3 +116,67 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "benchmark"), lambda df: written(df, "benchmark")
     )
     return found.select("doc_id", "item_id", "similarity", "start")
+
+
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@REGISTRY.add("op12_merkle", manifest_sql.audit_sql())
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    plain = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    leaf = merkle.digest_of(plain)
+    tampered = merkle.digest_of([*plain[:-1], F.translate("text", CAPITALS, SMALL)])
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    save = lambda df: written(df, "merkle")
+    manifest = merkle.build(
+        docs, save, F.col("lang"), F.col("doc_id"), leaf, F.when(third, tampered).otherwise(leaf)
+    )
+    return merkle.audit(manifest, save).withColumnRenamed("id", "doc_id")
+
+
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+         strlen(coalesce(text, '')) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+convs AS (
+  SELECT c, {manifest_sql.crc32_sql("c::VARCHAR")} % 9 AS h, c - ((c % 5) + 5) % 5 AS base FROM sizes),
+rebuilt AS (
+  SELECT v.c, t.p, t.k, t.bytes FROM convs v JOIN t ON t.c = v.base AND t.p <= v.h
+  UNION ALL
+  SELECT v.c, t.p - v.h + least(v.h, coalesce(b.n, 0)), t.k, t.bytes
+  FROM convs v JOIN t ON t.c = v.c AND t.p > v.h LEFT JOIN sizes b ON b.c = v.base),
+prefixes AS (
+  SELECT c, p AS depth, bytes, list(k) OVER (PARTITION BY c ORDER BY p) AS turns FROM rebuilt
+  UNION ALL SELECT c, 0, 0, [] FROM convs),
+lengths AS (SELECT c, max(depth) AS len FROM prefixes GROUP BY c),
+nodes AS (
+  SELECT turns, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+         coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE depth = len), '') AS ends
+  FROM prefixes JOIN lengths USING (c) GROUP BY turns, depth),
+kids AS (
+  SELECT turns[1:depth - 1] AS turns, depth - 1 AS depth, count(*) AS n_children
+  FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+known AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (turns, depth)),
+ancestry AS (
+  SELECT unnest(range(0, depth + 1)) AS level, turns, n_children, (n_convs - 1) * bytes AS saved FROM known),
+sums AS (
+  SELECT turns[1:level] AS turns, level AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+         sum(saved)::BIGINT AS saved_tokens
+  FROM ancestry GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens,
+       sha256(n.ends) AS ends_sha256
+FROM known n JOIN sums s USING (turns, depth)
+LEFT JOIN known p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.turns = n.turns[1:n.depth - 1]"""
+
+
+@REGISTRY.add("op13_turn_trie", TRIE_SQL)
+def op13_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    save = lambda df: written(df, "trie")
+    found = turn_trie.sequences(table(spark, folder, "conversations"), save)
+    own = F.col("conv_id")
+    head = (F.crc32(own.cast("string")) % 9).cast("int")
+    return turn_trie.trie(turn_trie.rebuilt(found, own - F.pmod(own, F.lit(5)), head, 8), save)
