@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import EARTH_RADIUS_KM as EARTH_KM
 from ..functions.geo import KM_PER_DEGREE, haversine_km
 from ..functions.network import (
     contract_term,
@@ -76,82 +78,110 @@ def nearest_factor(
     keys: Sequence[str] = ("region",),
     factor: str = "factor",
     default: float = 1.0,
-    cell_km: Sequence[float] = (5.0, 25.0),
     tie_break: Sequence[str] = (),
+    leaf: int = 16,
 ) -> DataFrame:
     """Factor of the nearest reference of the same region within ``max_km``, else ``default``.
 
-    Distinct locations are matched on a grid: each location meets only the
-    references of its own and adjoining cells. A hit inside one cell width is
-    final; what is left moves on to a coarser grid, up to ``max_km``. Copies of
-    a location are collapsed before and restored after, so the search never
-    pairs a point with a whole region.
+    References are held in cubes of space (so neither poles nor the date line
+    matter), and cubes of more than ``leaf`` references are cut until none is.
+    A distinct location starts with the cubes that ``max_km`` reaches. In each
+    turn it keeps those that can hold something nearer than the nearest one it
+    knows of; small ones are compared, large ones cut. So a location meets a
+    few cubes a turn however many references stand close together, and copies
+    of a location are collapsed before and restored after.
     """
     where = [*keys, "latitude", "longitude"]
     rank = F.struct(*(tie_break or [factor]))
-    refs = (
+    refs = _in_space(
         references.where(F.col(factor).isNotNull())
         .groupBy(*where)
-        .agg(F.min(F.struct(rank.alias("rank"), F.col(factor).alias("factor"))).alias("_ref"))
-        .withColumnsRenamed({"latitude": "_lat", "longitude": "_lon"})
-    )
-    open_points = points.select(*where).where("latitude IS NOT NULL AND longitude IS NOT NULL").distinct()
+        .agg(F.min(F.struct(rank.alias("rank"), F.col(factor).alias("factor"))).alias("_ref")),
+        "latitude", "longitude",
+    ).withColumnsRenamed({"latitude": "_lat", "longitude": "_lon"})
+    spots = points.select(*where).where("latitude IS NOT NULL AND longitude IS NOT NULL").distinct()
+    spots = _in_space(spots, "latitude", "longitude")
+    reach = 2 * EARTH_KM * math.sin(min(max_km, math.pi * EARTH_KM) / (2 * EARTH_KM)) * (1 + 1e-9) + 1e-6
+    level = max(0, math.floor(math.log2(2 * EARTH_KM / reach)))
+    # Cubes as wide as the reach: those around a location's own are all it can need.
+    offsets = F.array(*[F.lit(d) for d in ((-1, 0, 1) if level else (0,))])
+    placed = refs.select("*", *_cube(level, *SPACE))
+    open_spots = spots.withColumn("_known", F.lit(reach)).select("*", *_cube(level, *SPACE))
+    for axis in CUBE:
+        open_spots = open_spots.withColumn("_d", F.explode(offsets)).withColumn(axis, F.col(axis) + F.col("_d")).drop("_d")
     found: DataFrame | None = None
-    widths = [w for w in cell_km if w < max_km] + [max_km]
-    for width in widths:
-        hits = materialised(_nearest_within(open_points, refs, keys, width))
-        if width < max_km:
-            open_points = open_points.join(hits.select(*where), where, "left_anti")
+    while True:
+        cubes = placed.groupBy(*keys, *CUBE).agg(
+            F.count(F.lit(1)).alias("_n"), F.min(F.struct("_x", "_y", "_z")).alias("_one")
+        )
+        met = open_spots.join(cubes, [*keys, *CUBE])
+        side = 2 * EARTH_KM / 2**level
+        gap = [
+            F.greatest(F.lit(0.0), F.col(c) * side - EARTH_KM - F.col(x), F.col(x) - (F.col(c) + 1) * side + EARTH_KM)
+            for c, x in zip(CUBE, SPACE)
+        ]
+        met = met.withColumn("_least", _length(gap)).withColumn(
+            "_most", _length([F.col(f"_one.{x}") - F.col(x) for x in SPACE])
+        )
+        nearest = met.groupBy(*where).agg(F.least(F.min("_most"), F.min("_known")).alias("_best"))
+        candidates = materialised(
+            met.join(nearest, where).where(F.col("_least") <= F.col("_best") * (1 + 1e-9) + 1e-6)
+            .select(*where, *SPACE, F.col("_best").alias("_known"), *CUBE, "_n")
+        )
+        near = candidates.where(F.col("_n") <= leaf).select(*where, *CUBE).join(placed.select(
+            *keys, *CUBE, "_lat", "_lon", "_ref"), [*keys, *CUBE])
+        distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
+        hits = near.withColumn("_d", distance).where(F.col("_d") <= max_km).groupBy(*where).agg(
+            F.min(F.struct(F.col("_d").alias("km"), F.col("_ref").alias("ref"))).alias("_hit")
+        )
         found = hits if found is None else found.unionByName(hits)
-    joined = points.join(found, list(where), "left")
+        large = candidates.where(F.col("_n") > leaf)
+        if level >= DEEPEST or large.isEmpty():
+            break
+        # The cubes that are still wanted, and their references, go down two levels.
+        wanted = large.select(*keys, *CUBE).distinct()
+        placed = materialised(placed.join(wanted, [*keys, *CUBE], "left_semi").drop(*CUBE).select("*", *_cube(level + 2, *SPACE)))
+        quarters = F.array(*[F.lit(d) for d in range(4)])
+        open_spots = large.select(*where, *SPACE, "_known", *CUBE)
+        for axis in CUBE:
+            open_spots = open_spots.withColumn("_d", F.explode(quarters)).withColumn(axis, F.col(axis) * 4 + F.col("_d")).drop("_d")
+        level += 2
+        if level >= DEEPEST:
+            # Below a millimetre nothing is cut any more.
+            leaf = 1 << 62
+    best = found.groupBy(*where).agg(F.min("_hit").alias("_best")).select(
+        *where, F.col("_best.ref.factor").alias("_factor"), F.col("_best.km").alias("_km")
+    )
+    joined = points.join(best, list(where), "left")
     return joined.select(
         *points.columns, F.coalesce(F.col("_factor"), F.lit(default)).alias(factor), F.col("_km").alias("distance_km")
     )
 
 
-def _nearest_within(points: DataFrame, refs: DataFrame, keys: Sequence[str], width_km: float) -> DataFrame:
-    """Nearest reference not farther than ``width_km``, via cells at least that wide in both directions."""
-    lat_step = width_km / KM_PER_DEGREE * 1.01
-    # Longitude cells follow the latitude band: wide enough for a partner one band nearer the pole.
-    def band(lat):
-        return F.floor(lat / lat_step)
+SPACE, CUBE = ("_x", "_y", "_z"), ("_cx", "_cy", "_cz")
+#: Cubes of this level are narrower than a millimetre.
+DEEPEST = 34
 
-    def lon_step(row):
-        edge = F.greatest(F.abs(row * lat_step), F.abs((row + 1) * lat_step)) + lat_step
-        return F.when(edge >= 88.0, F.lit(360.0)).otherwise(F.lit(lat_step) / F.cos(F.radians(edge)))
 
-    def lon_cells(step):
-        """Cells round the globe; the last one takes the remainder, so none is narrower than ``step``."""
-        return F.greatest(F.floor(F.lit(360.0) / step), F.lit(1))
+def _in_space(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Kilometres from the centre of the earth along three axes."""
+    phi, theta = F.radians(lat), F.radians(lon)
+    return df.withColumns({
+        "_x": EARTH_KM * F.cos(phi) * F.cos(theta), "_y": EARTH_KM * F.cos(phi) * F.sin(theta), "_z": EARTH_KM * F.sin(phi),
+    })
 
-    def cell(lon, step):
-        wrapped = F.pmod(lon + 180.0, F.lit(360.0))
-        return F.least(F.floor(wrapped / step), lon_cells(step) - 1)
 
-    # A reference enters the bands around its own, so a point only needs its own band and adjoining columns.
-    spread = refs.select(
-        "*", F.explode(F.array(*[band(F.col("_lat")) + d for d in (-1, 0, 1)])).alias("_row")
-    )
-    spread = spread.withColumn("_step", lon_step(F.col("_row")))
-    home = cell(F.col("_lon"), F.col("_step"))
-    count = lon_cells(F.col("_step"))
-    spread = spread.select(
-        "*",
-        F.explode(F.array_distinct(F.array(*[F.pmod(home + d, count) for d in (-1, 0, 1)]))).alias("_col"),
-    ).drop("_step")
-    placed = points.withColumn("_row", band(F.col("latitude")))
-    placed = placed.withColumn("_col", cell(F.col("longitude"), lon_step(F.col("_row"))))
-    near = placed.join(spread, [*keys, "_row", "_col"])
-    distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
-    best = (
-        near.withColumn("_d", distance)
-        .where(F.col("_d") <= width_km)
-        .groupBy(*keys, "latitude", "longitude")
-        .agg(F.min(F.struct(F.col("_d").alias("km"), F.col("_ref").alias("ref"))).alias("_best"))
-    )
-    return best.select(
-        *keys, "latitude", "longitude", F.col("_best.ref.factor").alias("_factor"), F.col("_best.km").alias("_km")
-    )
+def _cube(level: int, *axes: str) -> list[Column]:
+    """The cube of a level that holds a place; the surface belongs to the last one."""
+    side = 2 * EARTH_KM / 2**level
+    return [
+        F.greatest(F.lit(0), F.least(F.lit(2**level - 1), F.floor((F.col(x) + EARTH_KM) / side))).cast("long").alias(c)
+        for x, c in zip(axes, CUBE)
+    ]
+
+
+def _length(parts: Sequence[Column]) -> Column:
+    return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
 
 
 def combined_loss_factor(points: DataFrame, transmission: DataFrame, distribution: DataFrame, max_km: float = 100.0) -> DataFrame:

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.market import alias_interconnector
 from ..functions.quarters import quarter_label, thirty_minute_floor
-from .joins import null_safe_join
-from .versions import top_per_key
 
 CATEGORY = ("quarter", "interconnector_id", "from_region")
 
@@ -97,25 +95,23 @@ def final_settlement_summary(
     revision = F.when(is_final, 999).otherwise(
         F.coalesce(F.regexp_extract("bill_run_type", r"(\d+)", 1).try_cast("int"), F.lit(0))
     )
-    # Class, revision and date as one number, so the first pass is a hash aggregate that shuffles a row per category.
+    # The earlier in this order, the better: the latest date, then the first file name.
     day = F.coalesce(F.unix_date(F.to_date("effective_date")), F.lit(-(1 << 24)))
-    rank = (
-        F.when(is_final, 2).otherwise(1).cast("long") * F.lit(1 << 58)
-        + revision.cast("long") * F.lit(1 << 26) + day.cast("long")
+    newest = F.struct((-day).alias("age"), "source_file")
+    # Within a run type the latest file of a week is also the week's best row, so one winner serves both questions.
+    row = F.struct(newest.alias("newest"), F.struct(*measures).alias("measures"), F.struct(*carried).alias("carried"))
+    weekly = weeks.groupBy(*keys, "bill_run_type", "week_no").agg(F.min_by(row, newest).alias("_row"))
+    runs = weekly.groupBy(*keys, "bill_run_type").agg(
+        *[F.sum(f"_row.measures.{m}").alias(m) for m in measures],
+        F.min(F.struct("_row.newest", "_row.carried")).alias("_best"),
     )
-    ranked = weeks.withColumn("_priority", rank)
-    top = ranked.groupBy(*keys).agg(F.max("_priority").alias("_top"))
-    leading = null_safe_join(ranked, top, keys).where(F.col("_priority") == F.col("_top"))
-    best = top_per_key(leading, keys, ["source_file", "bill_run_type"]).select(
-        *keys, F.col("bill_run_type").alias("_chosen"), F.struct(*carried).alias("_carried")
+    order = F.struct(
+        F.when(is_final, 0).otherwise(1).alias("class"), (-revision).alias("revision"), F.col("_best.newest"), "bill_run_type"
     )
-    chosen = null_safe_join(
-        weeks.select(*keys, "bill_run_type", "week_no", "effective_date", "source_file", *measures), best.drop("_carried"), keys
-    ).where(F.col("bill_run_type") == F.col("_chosen"))
-    weekly = top_per_key(chosen, [*keys, "week_no"], [F.col("effective_date").desc(), "source_file"])
-    sums = weekly.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
-    joined = null_safe_join(sums, best, keys).withColumnRenamed("_chosen", "bill_run_type")
-    return joined.select(*keys, "bill_run_type", *measures, "_carried.*")
+    chosen = runs.groupBy(*keys).agg(
+        F.min_by(F.struct("bill_run_type", *measures, F.col("_best.carried").alias("carried")), order).alias("_run")
+    )
+    return chosen.select(*keys, "_run.bill_run_type", *[F.col(f"_run.{m}").alias(m) for m in measures], "_run.carried.*")
 
 
 def load_quarterly_residue(files: DataFrame, file_order: str = "file_seq", value: str = "residue_aud") -> DataFrame:

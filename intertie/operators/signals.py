@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialised
-from .ordering import OWN, globally_ordered, halo_window, running, with_halo
-from .versions import top_per_key
+from ..session import with_package
+from .ordering import CHUNK, INDEX, OWN, globally_ordered, running, with_halo
+from .versions import latest_point, top_per_key
 
 
 def trend_signal(delta: Column, flat_band: float, saturation: float) -> Column:
@@ -19,13 +24,88 @@ def trend_signal(delta: Column, flat_band: float, saturation: float) -> Column:
     )
 
 
-def _frame_quantile(values: Column, fraction: float) -> Column:
-    """Linear quantile of a frame's values, sorted in an array; frames are bounded by their row count."""
-    place = (F.size(values) - 1) * F.lit(fraction)
-    low, high = F.floor(place), F.ceil(place)
-    at_low = F.try_element_at(values, (low + 1).cast("int"))
-    at_high = F.try_element_at(values, (high + 1).cast("int"))
-    return at_low + (at_high - at_low) * (place - low)
+class _Frames(BaseIndexer):
+    """Row frames ``start[i]`` to ``end[i]``; both never go back."""
+
+    def __init__(self, start: np.ndarray, end: np.ndarray) -> None:
+        super().__init__()
+        self.start, self.end = start, end
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.start, self.end
+
+
+def _runs(rows: pa.Table, keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For every row the first row of its key's run and the row after the last."""
+    n = rows.num_rows
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for key in keys:
+        codes = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    starts = np.flatnonzero(new)
+    lengths = np.diff(np.append(starts, n))
+    return np.repeat(starts, lengths), np.repeat(starts + lengths, lengths)
+
+
+def _frame_values(v: np.ndarray, start: np.ndarray, width: int, end: np.ndarray) -> np.ndarray:
+    """Values of short frames, one row each, missing ones NaN."""
+    place = start[:, None] + np.arange(width)
+    return np.where(place < end[:, None], v[np.minimum(place, len(v) - 1)], np.nan)
+
+
+FRAME_COLUMNS = {
+    "_n_ahead": "long", "_max": "double", "_min": "double", "_mean": "double", "_high": "double",
+    "_n_recent": "long", "_std": "double", "_n_day": "long", "_low": "double",
+}
+
+
+def _frames(
+    chunks: DataFrame, columns: Sequence[str], keys: Sequence[str], lookahead: int, lookback: int, backcast: int,
+    high: float, low: float,
+) -> DataFrame:
+    """``columns`` and the frame values of every own row of chunks with their halo.
+
+    Order statistics slide along the frames: a value enters and one leaves for
+    every row, so no frame is gathered or sorted.
+    """
+    own = [chunks.schema[c] for c in columns]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), *(f"{n} {t}" for n, t in FRAME_COLUMNS.items())])
+
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(INDEX)
+        n = rows.num_rows
+        first, after = _runs(rows, keys)
+        v = rows.column("_v").to_numpy().astype(float)
+        at = np.arange(n)
+        series = pd.Series(v)
+
+        def quantile(start: np.ndarray, end: np.ndarray, fraction: float) -> np.ndarray:
+            return series.rolling(_Frames(start, end), min_periods=1).quantile(fraction).to_numpy()
+
+        ahead = at + 1, np.minimum(at + 1 + lookahead, after)
+        recent = np.maximum(first, at - lookback), at + 1
+        day = np.maximum(first, at - backcast), at + 1
+        with warnings.catch_warnings():
+            # Frames without values give NaN, which is what is wanted.
+            warnings.simplefilter("ignore", RuntimeWarning)
+            later = _frame_values(v, ahead[0], lookahead, ahead[1])
+            found = [
+                ahead[1] - ahead[0], np.nanmax(later, axis=1), np.nanmin(later, axis=1), np.nanmean(later, axis=1),
+                quantile(*ahead, high), recent[1] - recent[0],
+                np.nanstd(_frame_values(v, recent[0], lookback + 1, recent[1]), axis=1),
+                day[1] - day[0], quantile(*day, low),
+            ]
+        arrays = [pa.array(f, pa.int64()) if t == "long" else pa.array(f, pa.float64(), from_pandas=True)
+                  for f, t in zip(found, FRAME_COLUMNS.values())]
+        table = rows.select(list(columns))
+        for name, array in zip(FRAME_COLUMNS, arrays):
+            table = table.append_column(name, array)
+        return table.filter(rows.column(OWN))
+
+    with_package(chunks.sparkSession)
+    kept = chunks.select(*dict.fromkeys([CHUNK, INDEX, OWN, "_v", *columns, *keys]))
+    return kept.groupBy(CHUNK).applyInArrow(work, schema)
 
 
 def price_signals(
@@ -50,7 +130,7 @@ def price_signals(
 
     Frames count rows. The series is cut into chunks with a halo of
     ``backcast`` rows before and ``lookahead`` rows after, so one long series
-    spreads over the cluster.
+    spreads over the cluster. Chunks are handed to workers as Arrow tables.
     """
     narrow = prices.select(*dict.fromkeys([*keys, ts, price, *tie_break]))
     ordered = globally_ordered(narrow, [*keys, ts, *tie_break])
@@ -58,24 +138,12 @@ def price_signals(
     value = F.col(price).cast("double")
     value = F.when(~F.isnan(value), value)
     chunks = chunks.withColumn("_v", value)
-    ahead = halo_window(keys, 1, lookahead)
-    recent = halo_window(keys, -lookback, 0)
-    day = halo_window(keys, -backcast, 0)
     v = F.col("_v")
-    staged = chunks.select(
-        *narrow.columns, "_v", OWN,
-        F.count(F.lit(1)).over(ahead).alias("_n_ahead"),
-        F.max(v).over(ahead).alias("_max"),
-        F.min(v).over(ahead).alias("_min"),
-        F.avg(v).over(ahead).alias("_mean"),
-        F.sort_array(F.collect_list(v).over(ahead)).alias("_ahead"),
-        F.count(F.lit(1)).over(recent).alias("_n_recent"),
-        F.stddev_pop(v).over(recent).alias("_std"),
-        F.count(F.lit(1)).over(day).alias("_n_day"),
-        F.sort_array(F.collect_list(v).over(day)).alias("_day"),
-    ).where(OWN)
-    high = _frame_quantile(F.col("_ahead"), discharge_percentile / 100.0)
-    low = _frame_quantile(F.col("_day"), charge_percentile / 100.0)
+    staged = _frames(
+        chunks, [*narrow.columns, "_v"], keys, lookahead, lookback, backcast, discharge_percentile / 100.0,
+        charge_percentile / 100.0,
+    )
+    high, low = F.col("_high"), F.col("_low")
     static = max(0.0, (discharge_threshold + charge_threshold) / 2.0)
     has_ahead = F.col("_n_ahead") > 0
     delta = F.col("_mean") - v
@@ -113,24 +181,25 @@ def overlay_forecast(
 ) -> DataFrame:
     """Replace signals by those of all forecast points later than the row, where there are at least two.
 
-    Both inputs go into one descending order and aggregates run along it, which
-    replaces the comparison of every row with every forecast point.
+    What follows each forecast time is summed once along the order of the
+    times; a row then looks up the last of them that it has reached. Signals
+    are neither ordered nor stored. ``tie_break`` is not needed any more.
     """
-    # Ordering reads its input twice (a sample, then the rows), and signals are expensive to compute.
-    signals = materialised(signals)
     point = F.col(price).cast("double")
-    right = forecast.select(*keys, F.col(ts).alias("_ts"), F.lit(1).alias("_kind"), point.alias("_point"))
-    left = signals.select(
-        *keys, F.col(ts).alias("_ts"), F.lit(0).alias("_kind"), F.struct(*tie_break, F.lit(0).alias("_t")).alias("_tie"),
-        F.struct(*[F.col(c) for c in signals.columns]).alias("_row"),
+    exact = point.cast("decimal(28,8)")
+    times = forecast.where(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("_time")).agg(
+        F.count(point).alias("_c"), F.sum(exact).alias("_e"), F.max(point).alias("_h"), F.min(point).alias("_l")
     )
-    both = left.unionByName(right, allowMissingColumns=True)
-    both = both.withColumn("_exact", F.col("_point").cast("decimal(28,8)"))
-    ordered = globally_ordered(both, [*keys, F.col("_ts").desc(), F.col("_kind"), F.col("_tie"), F.col("_point")])
-    later = running(
-        ordered, keys,
-        {"_n": ("count", "_point"), "_s": ("sum", "_exact"), "_max": ("max", "_point"), "_min": ("min", "_point")},
-    ).where("_kind = 0")
+    folds = {"_n": ("sum", "_c"), "_s": ("sum", "_e"), "_max": ("max", "_h"), "_min": ("min", "_l")}
+    ordered = globally_ordered(times, [*keys, F.col("_time").desc()])
+    later = running(ordered, keys, folds, inclusive=False).select(*keys, "_time", *folds)
+    # A row before the first time has all of them ahead.
+    whole = ordered.groupBy(*keys).agg(*[
+        {"sum": F.sum, "max": F.max, "min": F.min}[fold](c).alias(name) for name, (fold, c) in folds.items()
+    ])
+    points = later.unionByName(whole.withColumn("_time", F.lit(None).cast(later.schema["_time"].dataType)))
+    looked = latest_point(signals, points.select(*keys, "_time", F.struct(*folds).alias("_found")), keys, ts, "_time", "_found")
+    later = looked.select(F.struct(*signals.columns).alias("_row"), "_found.*")
     enough = F.col("_n") >= 2
     mean = F.col("_s").cast("double") / F.col("_n")
     replaced = {

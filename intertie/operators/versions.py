@@ -61,27 +61,62 @@ def as_of_join(
 ) -> DataFrame:
     """Latest definition at or before each fact, per key; facts without one keep NULLs.
 
-    Facts and definitions are put into one global order and the last definition
-    is carried forward, so the cost is one sort of both inputs: no pair of a
-    fact and an older definition is ever produced and no key is gathered on one
-    task. Equal times: the definition counts; of equal definitions the highest
-    ``tie_break`` wins.
+    Facts are neither ordered nor stored: they look the definition up
+    (:func:`latest_point`). Equal times: the definition counts; of equal
+    definitions the highest ``tie_break`` wins.
     """
-    value = F.struct(*[F.col(v) for v in values])
-    right = definitions.dropna(subset=[*keys, definition_time]).select(
-        *keys, F.col(definition_time).alias("_time"), F.lit(0).alias("_kind"),
-        F.struct(*tie_break).alias("_tie") if tie_break else F.lit(0).alias("_tie"),
-        value.alias("_value"),
+    value = F.struct(*[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)])
+    known = definitions.dropna(subset=[*keys, definition_time])
+    points = known.groupBy(*keys, F.col(definition_time).alias("_time")).agg(
+        (F.max_by(value, F.struct(*tie_break)) if tie_break else F.first(value)).alias("_found")
     )
-    left = facts.select(
-        *keys, F.col(fact_time).alias("_time"), F.lit(1).alias("_kind"),
-        F.struct(*[F.col(c) for c in facts.columns]).alias("_fact"),
-        F.struct(*fact_order).alias("_fact_order") if fact_order else F.lit(0).alias("_fact_order"),
-    )
-    both = left.unionByName(right, allowMissingColumns=True)
-    ordered = globally_ordered(both, [*keys, "_time", "_kind", "_tie", "_fact_order"])
-    filled = running(ordered, keys, {"_found": ("last", "_value")}).where("_kind = 1")
-    return filled.select("_fact.*", *[F.col(f"_found.{v}").alias(v) for v in values])
+    found = latest_point(facts, points, keys, fact_time, "_time", "_found")
+    rest = [c for c in facts.columns if c not in values]
+    return found.select(*rest, *[F.col(f"_found._v{i}").alias(v) for i, v in enumerate(values)])
+
+
+def latest_point(
+    rows: DataFrame, points: DataFrame, keys: Sequence[str], time: str, point_time: str, value: str, fanout: int = 64
+) -> DataFrame:
+    """``rows`` with the ``value`` of the last point of their key whose time is not after theirs; NULL if there is none.
+
+    A point whose time is NULL precedes all times. Times are distinct within a
+    key, apart from what may be picked at random. Points become a search tree:
+    leaves of ``fanout`` points, and above them nodes that hold where their
+    children begin. A row takes one equi-join for each level, with one row on
+    the other side, so nothing is multiplied, a hot key can be split by
+    adaptive execution, and a small tree is broadcast. The number of levels is
+    the logarithm of the largest number of points of a key.
+    """
+    ordered = globally_ordered(points.select(*keys, point_time, value), [*keys, F.col(point_time).asc_nulls_first()])
+    ranked = running(ordered, keys, {"_upto": ("count", F.lit(1))}).withColumn("_rank", F.col("_upto") - 1)
+    most = ranked.agg(F.max("_rank")).first()[0] or 0
+    levels = 1
+    while fanout**levels <= most:
+        levels += 1
+    on = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    # A column name that neither side can have.
+    reached = rows.withColumn("_block_", F.lit(0).cast("long"))
+    not_after = lambda x: x["begins"].isNull() | (x["begins"] <= F.col(time))
+    for level in range(levels - 1, -1, -1):
+        step = fanout**level
+        entry = F.struct(F.col(point_time).alias("begins"), *([] if level else [F.col(value).alias("value")]))
+        nodes = ranked.where(F.col("_rank") % step == 0).groupBy(
+            *on, F.floor(F.col("_rank") / (step * fanout)).alias("_node")
+        ).agg(F.sort_array(F.collect_list(F.struct("_rank", entry.alias("entry")))).alias("_sorted"))
+        nodes = nodes.select(*[f"_k{i}" for i in range(len(keys))], "_node", F.col("_sorted.entry").alias("_entries"))
+        meets = F.col("_block_") == F.col("_node")
+        for i, key in enumerate(keys):
+            meets = meets & (F.col(key) == F.col(f"_k{i}"))
+        joined = reached.join(nodes, meets, "left")
+        place = F.size(F.filter("_entries", not_after))
+        if level:
+            block = F.when(place > 0, F.col("_block_") * fanout + place - 1)
+            reached = joined.select(*rows.columns, block.alias("_block_"))
+        else:
+            found = F.when(place > 0, F.get("_entries", place - 1)["value"])
+            reached = joined.select(*rows.columns, found.alias(value))
+    return reached
 
 
 def as_of_date(

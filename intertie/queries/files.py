@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import residue
 from ..operators.joins import wanted_minus_existing
 from ..session import scratch_path
-from ..sources import catalog, reports, sinks, tables
+from ..sources import archives, catalog, reports, sinks, tables
 from . import REGISTRY
 from . import roles as R
 from .settlement import CERTIFY_SQL, _certified
@@ -503,3 +503,140 @@ def newest_files(spark, folder):
         ).alias("source_file")
     ).distinct()
     return catalog.newest_files(catalog.file_catalog(names), 3).select("source_file")
+
+
+def _archives(spark, path, df, *parts, label="PUBLIC_REPORT", header=None, cut=False) -> str:
+    """Report lines in nested archives, written by the tasks; returns the folder."""
+    lines = df.select(F.concat_ws(",", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("value"))
+    archives.write_archives(lines, path, label, header, cut)
+    return path
+
+
+def _residue_archives(spark, folder) -> str:
+    """Values of 5 and more in whole archives, smaller ones in archives cut short, and archives of another report."""
+    path = scratch_path(spark, "archives")
+    rows = R.intervals(spark, folder)
+    line = [
+        "D", "DISPATCH", "IRSR", "2", _stamp("trading_interval"), F.col("interconnector_id"), F.col("from_region"),
+        F.col("residue_aud"),
+    ]
+    _archives(spark, path, rows.where("residue_aud >= 5"), *line, label="PUBLIC_DISPATCH_IRSR_20240101")
+    _archives(spark, path, rows.where("residue_aud < 5"), *line, label="PUBLIC_DISPATCH_IRSR_20240102", cut=True)
+    return _archives(spark, path, rows, "D", "DISPATCH", "OTHER", "2", F.col("from_region"), label="PUBLIC_OTHER_20240101")
+
+
+@REGISTRY.add("read_residue_archives", REGISTRY.sql["read_residue_report"])
+def read_residue_archives(spark, folder):
+    read = reports.read_dispatch_residue_archives(spark, _residue_archives(spark, folder))
+    return read.groupBy(
+        "interconnector_id", "from_region", F.date_trunc("day", "trading_interval").cast("timestamp_ntz").alias("day")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("residue_aud").cast("double").alias("residue_aud"))
+
+
+@REGISTRY.add(
+    "archive_outcomes",
+    f"""
+    WITH {R.INTERVALS_SQL}
+    SELECT 'ok' AS outcome, CAST(count_if(residue_aud >= 5) AS BIGINT) AS n_lines FROM intervals
+    UNION ALL SELECT 'empty', 0 UNION ALL SELECT 'corrupt', 0
+    """,
+)
+def archive_outcomes(spark, folder):
+    found = archives.archive_outcomes(spark, _residue_archives(spark, folder), ["D,DISPATCH,IRSR,2,"])
+    return found.groupBy("outcome").agg(F.sum("n_lines").alias("n_lines"))
+
+
+@REGISTRY.add("read_surplus_archives", REGISTRY.sql["read_surplus_report"])
+def read_surplus_archives(spark, folder):
+    rows = R.table(spark, folder, "lineitem")
+    path = _archives(
+        spark, scratch_path(spark, "archives"), rows, "D", "SETTLEMENTS", "IRSURPLUS", "1", _stamp("l_shipdate"),
+        F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_linestatus"), "0", "0",
+        F.col("l_extendedprice").cast("decimal(18,2)"),
+    )
+    read = reports.read_interval_surplus(spark, path)
+    return read.groupBy(F.col("period_id").cast("long").alias("period_id"), "interconnector_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum(F.col("surplus_aud").cast("decimal(18,2)")).cast("double"), 2).alias("surplus_aud"),
+    )
+
+
+@REGISTRY.add("read_billing_archives", REGISTRY.sql["read_billing_runs"])
+def read_billing_archives(spark, folder):
+    path = _archives(
+        spark, scratch_path(spark, "archives"), R.table(spark, folder, "orders"), "D", "BILLING", "RUNTRK", "1",
+        F.extract(F.lit("YEAROFWEEK"), F.col("o_orderdate")), F.weekofyear("o_orderdate"), F.expr("o_custkey % 30"),
+        F.concat(F.lit('"'), F.lower("o_orderpriority"), F.lit('"')),
+    )
+    return reports.read_billing_runs(spark, path).groupBy(
+        F.col("contract_year").cast("long").alias("contract_year"), F.col("week_no").cast("long").alias("week_no"), "status"
+    ).agg(F.count(F.lit(1)).alias("n"), F.max("bill_run_no").cast("long").alias("last_run"))
+
+
+@REGISTRY.add("read_price_archives", REGISTRY.sql["read_price_report"])
+def read_price_archives(spark, folder):
+    """Prices by the header of their own archive; columns stand elsewhere than in files without one."""
+    price = F.col("value").cast("decimal(18,2)")
+    path = _archives(
+        spark, scratch_path(spark, "archives"), R.prices(spark, folder), "D", "DISPATCH", "PRICE", "5", F.col("region"), price,
+        _stamp("timestamp"), price, "",
+        header="I,DISPATCH,PRICE,5,REGIONID,RRP,SETTLEMENTDATE,RAISE6SECRRP,LOWER1SECRRP",
+    )
+    read = reports.read_dispatch_prices(spark, path, ["view", "click"])
+    return read.select("region", "timestamp", "price_mwh", "fcas_raise_6sec_aud_per_mw", "fcas_lower_1sec_aud_per_mw")
+
+
+@REGISTRY.add("read_monthly_archives", REGISTRY.sql["read_residue_monthly"])
+def read_monthly_archives(spark, folder):
+    path = _archives(
+        spark, scratch_path(spark, "archives"), R.auction(spark, folder), "D", "IRAUCTION", "RESIDUE_PUBLIC_DATA", "1",
+        F.col("contract_id"), "1", F.col("interconnector_id"), F.col("from_region"), F.col("units_offered"),
+        F.col("units_sold"), F.col("clearing_price"), "", "x", label="PUBLIC_RESIDUE_202401",
+    )
+    read = reports.read_residue_results_raw(spark, path)
+    return read.where("mmsdm_month = '202401'").groupBy("quarter", "tranche").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("units_sold").alias("units_sold"),
+        F.sum(F.col("clearing_price").cast("decimal(18,2)")).cast("double").alias("clearing_price"),
+    )
+
+
+@REGISTRY.add(
+    "read_newest_forecasts",
+    """
+    WITH f AS (SELECT event_type AS region, date_trunc('hour', ts) AS h, CAST(max(value) AS DECIMAL(18,2)) AS p FROM events GROUP BY ALL)
+    SELECT 'p5min_5min' AS source, region, count(*) AS n, CAST(sum(p) AS DOUBLE) AS price FROM f
+    WHERE h >= (SELECT max(h) - INTERVAL 5 DAY FROM f) GROUP BY ALL
+    UNION ALL SELECT 'predispatch_30min', region, count(*), CAST(sum(p) AS DOUBLE) FROM f
+    WHERE region = 'view' AND h >= (SELECT max(h) - INTERVAL 5 DAY FROM f) GROUP BY ALL
+    """,
+)
+def read_newest_forecasts(spark, folder):
+    """Forecasts of the last days in one file, as one publication has them; an older file is left closed."""
+    hours = R.table(spark, folder, "events").groupBy(
+        F.col("event_type").alias("region"), F.date_trunc("hour", "ts").alias("hour")
+    ).agg(F.max("value").cast("decimal(18,2)").alias("price"))
+    hours = spark.read.schema(hours.schema).parquet(_stored(spark, hours))
+    last = hours.agg(F.max("hour").alias("last"))
+    # A publication holds five days of hours of a few regions.
+    recent = hours.join(F.broadcast(last), F.expr("hour >= last - INTERVAL 5 DAYS")).drop("last").coalesce(1)
+    near = scratch_path(spark, "near")
+    far = scratch_path(spark, "far")
+    for stamp, rows in (("202401010000", hours), ("202401020000", recent)):
+        _archives(
+            spark, near, rows, "D", "P5MIN", "REGIONSOLUTION", "1", "x", "x", _stamp("hour"), F.col("region"), F.col("price"), "0",
+            label=f"PUBLIC_P5MIN_{stamp}",
+        )
+        _archives(
+            spark, far, rows, "D", "PREDISPATCH", "REGION_PRICES", "1", "x", "x", F.col("region"), "x", "x", F.col("price"),
+            *["0"] * 18, _stamp("hour"), label=f"PUBLIC_PREDISPATCH_{stamp}",
+        )
+    both = reports.read_p5min_forecast(spark, near).unionByName(reports.read_predispatch_forecast(spark, far, ["view"]))
+    return both.groupBy("source", "region").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("price_mwh").cast("decimal(18,2)")).cast("double").alias("price")
+    )
+
+
+def _stored(spark, df) -> str:
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return path

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources import archives, reports
 from ..streaming import jobs
 from . import REGISTRY
 from . import roles as R
@@ -114,3 +115,58 @@ def resolve_revisions(spark, folder):
     return jobs.resolve_revisions(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select(
         "o_custkey", "o_orderkey", "o_totalprice"
     )
+
+
+def _catch_up(query) -> None:
+    """Everything that has landed, and the windows that it completes; then the query is stopped."""
+    query.processAllAvailable()
+    query.stop()
+
+
+def _landed(spark, folder, rows, query_of, *parts, label) -> str:
+    """The table that a stream over archives makes when it is stopped after half of them and started again."""
+    middle = R.table(spark, folder, "events").agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("_middle"))
+    halves = rows.join(F.broadcast(middle))
+    landing, out, state = (scratch_path(spark, name) for name in ("landing", "table", "state"))
+    value = F.concat_ws(",", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("value")
+    for number, half in enumerate((halves.where("ts <= _middle"), halves.where("ts > _middle"))):
+        archives.write_archives(half.select(value), landing, f"{label}_{number}")
+        _catch_up(query_of(landing, out, state))
+    return out
+
+
+@REGISTRY.add("stream_residue_archives", REGISTRY.sql["stream_residue_30min"])
+def stream_residue_archives(spark, folder):
+    """Half-hour means over landed archives; the second run goes on from the checkpoint of the first."""
+    rows = R.table(spark, folder, "events").select(
+        "ts", F.col("event_type").alias("ic"), F.expr("CASE WHEN user_id % 2 = 0 THEN 'N1' ELSE 'S1' END").alias("region"),
+        F.col("value").cast("decimal(18,2)").alias("residue"),
+    )
+
+    def query(landing, out, state):
+        read = reports.stream_dispatch_residue_archives(spark, landing)
+        return jobs.to_table(jobs.stream_residue_30min(read), out, state, interval="0 seconds")
+
+    stamp = F.date_format("ts", "yyyy/MM/dd HH:mm:ss")
+    out = _landed(
+        spark, folder, rows, query, "D", "DISPATCH", "IRSR", "2", stamp, F.col("ic"), F.col("region"), F.col("residue"),
+        label="PUBLIC_DISPATCH_IRSR",
+    )
+    return spark.read.parquet(out).withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+
+
+@REGISTRY.add("stream_price_archives", REGISTRY.sql["stream_dedup"])
+def stream_price_archives(spark, folder):
+    """One row per region and minute over landed archives, each archive read once over both runs."""
+    rows = R.table(spark, folder, "events").select("ts", "event_type")
+
+    def query(landing, out, state):
+        read = reports.stream_dispatch_prices(spark, landing).select("region", "timestamp")
+        return jobs.to_table(jobs.stream_prices(read), out, state, interval="0 seconds")
+
+    minute = F.date_format(F.date_trunc("minute", "ts"), "yyyy/MM/dd HH:mm:ss")
+    out = _landed(
+        spark, folder, rows, query, "D", "DISPATCH", "PRICE", "5", minute, "1", F.col("event_type"), "1", "0", "10", "x", "x",
+        label="PUBLIC_DISPATCHIS",
+    )
+    return spark.read.parquet(out).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))

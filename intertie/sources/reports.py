@@ -1,17 +1,13 @@
 """Market report files (``C``/``I``/``D`` lines), plain or in (nested) zip archives.
 
-Plain files are read with the splittable text source. Archives are unpacked by
-the tasks that read them; everything after the unpacking is Spark SQL.
+Plain files are read with the splittable text source, archives with the data
+source of :mod:`.archives`; everything after that is Spark SQL.
 """
 
 from __future__ import annotations
 
-import io
-import zipfile
-import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +15,10 @@ from ..functions.market import auction_id, result_status, safe_decimal, safe_int
 from ..functions.quarters import CONTRACT_PATTERN, contract_quarter, contract_tranche
 from ..operators.versions import first_occurrence
 from ..schemas import FCAS_SERVICES
-from ..session import with_package
+from .archives import ARCHIVES, archive_outcomes, read_archive_lines, stream_archive_lines  # noqa: F401 - outcomes go with the readers
 from .catalog import effective_date, literal_pattern, newest_name
 
 STAMP = "yyyy/MM/dd HH:mm:ss"
-BATCH_LINES = 20_000
 
 # Positions of price fields in the dispatch-price record, used for files without a header row.
 PRICE_POSITIONS = {
@@ -53,83 +48,6 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
-#: Archives by name, in either case.
-ARCHIVES = "*.[zZ][iI][pP]"
-
-
-def _members(content: bytes, prefixes: tuple[str, ...], faults: list[str]) -> Iterator[str]:
-    """Wanted lines of the CSV members of an archive, archives inside included; what cannot be read is a fault."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-        names = archive.namelist()
-    except zipfile.BadZipFile as error:
-        faults.append(str(error))
-        return
-    with archive:
-        for name in names:
-            lowered = name.lower()
-            try:
-                if lowered.endswith(".zip"):
-                    yield from _members(archive.read(name), prefixes, faults)
-                elif lowered.endswith(".csv"):
-                    with archive.open(name) as handle:
-                        for raw in io.TextIOWrapper(handle, encoding="utf-8", errors="ignore"):
-                            line = raw.strip()
-                            if line.startswith(prefixes):
-                                yield line
-            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as error:
-                faults.append(f"{name}: {error}")
-
-
-def _archives(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    files = (
-        with_package(spark).read.format("binaryFile")
-        .option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    )
-    return files.select("content", F.element_at(F.split("path", "/"), -1).alias("source_file"), F.col("path").alias("source_path"))
-
-
-def read_archive_lines(spark: SparkSession, path: str, prefixes: Sequence[str], pattern: str = ARCHIVES) -> DataFrame:
-    """Lines starting with one of ``prefixes`` from (nested) zip archives, one archive per input row.
-
-    An archive or member that cannot be read gives the lines before its fault;
-    :func:`archive_outcomes` tells which archives have one.
-    """
-    wanted = tuple(prefixes)
-
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, place, content in zip(frame["source_file"], frame["source_path"], frame["content"]):
-                batch: list[str] = []
-                for line in _members(bytes(content), wanted, []):
-                    batch.append(line)
-                    if len(batch) == BATCH_LINES:
-                        yield pd.DataFrame({"value": batch, "source_file": name, "source_path": place})
-                        batch = []
-                if batch:
-                    yield pd.DataFrame({"value": batch, "source_file": name, "source_path": place})
-
-    return _archives(spark, path, pattern).mapInPandas(unpack, "value string, source_file string, source_path string")
-
-
-def archive_outcomes(spark: SparkSession, path: str, prefixes: Sequence[str], pattern: str = ARCHIVES) -> DataFrame:
-    """One row per archive: ``ok``, ``empty`` (no wanted line) or ``corrupt``, the wanted lines read, and its faults."""
-    wanted = tuple(prefixes)
-
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name, place, content in zip(frame["source_file"], frame["source_path"], frame["content"]):
-                faults: list[str] = []
-                count = sum(1 for _ in _members(bytes(content), wanted, faults))
-                outcome = "corrupt" if faults else "ok" if count else "empty"
-                rows.append((name, place, outcome, count, "; ".join(faults)))
-            yield pd.DataFrame(rows, columns=["source_file", "source_path", "outcome", "n_lines", "faults"])
-
-    schema = "source_file string, source_path string, outcome string, n_lines long, faults string"
-    return _archives(spark, path, pattern).mapInPandas(judge, schema)
-
-
 def _lines(spark: SparkSession, path: str, prefixes: Sequence[str], archived: bool, pattern: str | None) -> DataFrame:
     """Wanted lines; for plain files the prefix test runs before anything is parsed."""
     if archived:
@@ -321,7 +239,19 @@ def read_header_driven_report(
 
 def read_dispatch_residue_archives(spark: SparkSession, path: str, archived: bool = True, pattern: str | None = None) -> DataFrame:
     """Interval residue rows; lines whose value is not a number are skipped."""
-    lines = _lines(spark, path, ["D,DISPATCH,IRSR,2,"], archived, pattern).where(field_count() >= 8)
+    return _residue_rows(_lines(spark, path, [RESIDUE_PREFIX], archived, pattern))
+
+
+def stream_dispatch_residue_archives(spark: SparkSession, path: str, pattern: str = ARCHIVES) -> DataFrame:
+    """The same as a stream over archives as they land."""
+    return _residue_rows(stream_archive_lines(spark, path, [RESIDUE_PREFIX], pattern))
+
+
+RESIDUE_PREFIX = "D,DISPATCH,IRSR,2,"
+
+
+def _residue_rows(lines: DataFrame) -> DataFrame:
+    lines = lines.where(field_count() >= 8)
     return (
         lines.select("source_file", fields(8).alias("_f"))
         .select(
@@ -394,11 +324,28 @@ def read_dispatch_prices(
             spark, path, "DISPATCH,PRICE", list(PRICE_HEADERS.values()), archived, pattern
         ).withColumnsRenamed({v: k for k, v in PRICE_HEADERS.items()})
     else:
-        width = max(PRICE_POSITIONS.values()) + 1
-        lines = _lines(spark, path, ["D,DISPATCH,PRICE,"], archived, pattern).where(field_count() >= 12)
-        raw = lines.select("source_file", fields(width).alias("_f")).select(
-            "source_file", *[_text(i).alias(name) for name, i in PRICE_POSITIONS.items()]
-        )
+        raw = _placed_prices(_lines(spark, path, [PRICE_PREFIX], archived, pattern))
+    return _price_rows(raw, regions)
+
+
+def stream_dispatch_prices(
+    spark: SparkSession, path: str, regions: Sequence[str] | None = None, pattern: str = ARCHIVES
+) -> DataFrame:
+    """Prices at their usual positions as a stream over archives as they land."""
+    return _price_rows(_placed_prices(stream_archive_lines(spark, path, [PRICE_PREFIX], pattern)), regions)
+
+
+PRICE_PREFIX = "D,DISPATCH,PRICE,"
+
+
+def _placed_prices(lines: DataFrame) -> DataFrame:
+    width = max(PRICE_POSITIONS.values()) + 1
+    return lines.where(field_count() >= 12).select("source_file", fields(width).alias("_f")).select(
+        "source_file", *[_text(i).alias(name) for name, i in PRICE_POSITIONS.items()]
+    )
+
+
+def _price_rows(raw: DataFrame, regions: Sequence[str] | None) -> DataFrame:
     if regions:
         raw = raw.where(F.col("region").isin(*regions))
     rows = raw.select(
