@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import with_package
 from .ordering import CHUNK, INDEX, OWN, globally_ordered, running, with_halo
-from .versions import latest_point, top_per_key
+from .versions import look_up, top_per_key
 
 
 def trend_signal(delta: Column, flat_band: float, saturation: float) -> Column:
@@ -182,23 +182,21 @@ def overlay_forecast(
     """Replace signals by those of all forecast points later than the row, where there are at least two.
 
     What follows each forecast time is summed once along the order of the
-    times; a row then looks up the last of them that it has reached. Signals
-    are neither ordered nor stored. ``tie_break`` is not needed any more.
+    times; a row then looks up the first of them that is later. Signals are
+    neither ordered nor stored. ``tie_break`` is not needed any more.
     """
     point = F.col(price).cast("double")
     exact = point.cast("decimal(28,8)")
     times = forecast.where(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("_time")).agg(
         F.count(point).alias("_c"), F.sum(exact).alias("_e"), F.max(point).alias("_h"), F.min(point).alias("_l")
     )
+    # From the last time backwards, so that every time knows what follows from it on.
     folds = {"_n": ("sum", "_c"), "_s": ("sum", "_e"), "_max": ("max", "_h"), "_min": ("min", "_l")}
     ordered = globally_ordered(times, [*keys, F.col("_time").desc()])
-    later = running(ordered, keys, folds, inclusive=False).select(*keys, "_time", *folds)
-    # A row before the first time has all of them ahead.
-    whole = ordered.groupBy(*keys).agg(*[
-        {"sum": F.sum, "max": F.max, "min": F.min}[fold](c).alias(name) for name, (fold, c) in folds.items()
-    ])
-    points = later.unionByName(whole.withColumn("_time", F.lit(None).cast(later.schema["_time"].dataType)))
-    looked = latest_point(signals, points.select(*keys, "_time", F.struct(*folds).alias("_found")), keys, ts, "_time", "_found")
+    ranked = running(ordered, keys, {**folds, "_upto": ("count", F.lit(1))}).select(
+        *keys, "_time", F.struct(*folds).alias("_found"), (F.col("_upto") - 1).alias("_rank")
+    )
+    looked = look_up(signals, ranked, keys, ts, "_time", "_found", lambda begins, t: begins > t)
     later = looked.select(F.struct(*signals.columns).alias("_row"), "_found.*")
     enough = F.col("_n") >= 2
     mean = F.col("_s").cast("double") / F.col("_n")

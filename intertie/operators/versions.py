@@ -7,11 +7,12 @@ key does not travel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialised
 from .ordering import as_columns, globally_ordered, running
 
 
@@ -80,16 +81,29 @@ def latest_point(
 ) -> DataFrame:
     """``rows`` with the ``value`` of the last point of their key whose time is not after theirs; NULL if there is none.
 
-    A point whose time is NULL precedes all times. Times are distinct within a
-    key, apart from what may be picked at random. Points become a search tree:
-    leaves of ``fanout`` points, and above them nodes that hold where their
-    children begin. A row takes one equi-join for each level, with one row on
-    the other side, so nothing is multiplied, a hot key can be split by
-    adaptive execution, and a small tree is broadcast. The number of levels is
-    the logarithm of the largest number of points of a key.
+    Times of points are distinct within a key. Only the points are ordered.
     """
-    ordered = globally_ordered(points.select(*keys, point_time, value), [*keys, F.col(point_time).asc_nulls_first()])
+    ordered = globally_ordered(points.select(*keys, point_time, value), [*keys, point_time])
     ranked = running(ordered, keys, {"_upto": ("count", F.lit(1))}).withColumn("_rank", F.col("_upto") - 1)
+    return look_up(rows, ranked, keys, time, point_time, value, lambda begins, t: begins <= t, fanout)
+
+
+def look_up(
+    rows: DataFrame, ranked: DataFrame, keys: Sequence[str], time: str, point_time: str, value: str,
+    passed: Callable[[Column, Column], Column], fanout: int = 64,
+) -> DataFrame:
+    """``rows`` with the ``value`` of the last point of their key, by ``_rank``, that they have passed; NULL if there is none.
+
+    ``passed(point time, row time)`` holds for the first points of a key and
+    for none after them; ``_rank`` counts a key's points from 0. Points become
+    a search tree: leaves of ``fanout`` (a power of two) points, and above them
+    nodes that hold where their children begin. A row takes one equi-join for
+    each level, with one row on the other side, so nothing is multiplied, rows
+    are neither ordered nor stored, adaptive execution can split a hot key, and
+    a small tree is broadcast. The number of levels is the logarithm of the
+    largest number of points of a key.
+    """
+    ranked = materialised(ranked.select(*keys, point_time, value, "_rank"))
     most = ranked.agg(F.max("_rank")).first()[0] or 0
     levels = 1
     while fanout**levels <= most:
@@ -97,7 +111,8 @@ def latest_point(
     on = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     # A column name that neither side can have.
     reached = rows.withColumn("_block_", F.lit(0).cast("long"))
-    not_after = lambda x: x["begins"].isNull() | (x["begins"] <= F.col(time))
+    # How many entries a row has passed, found by halving.
+    strides = [fanout >> i for i in range(1, fanout.bit_length())] + [1]
     for level in range(levels - 1, -1, -1):
         step = fanout**level
         entry = F.struct(F.col(point_time).alias("begins"), *([] if level else [F.col(value).alias("value")]))
@@ -109,7 +124,14 @@ def latest_point(
         for i, key in enumerate(keys):
             meets = meets & (F.col(key) == F.col(f"_k{i}"))
         joined = reached.join(nodes, meets, "left")
-        place = F.size(F.filter("_entries", not_after))
+
+        def halved(place: Column, stride: Column) -> Column:
+            begins = F.get("_entries", place + stride - 1)["begins"]
+            goes_on = (place + stride <= F.size("_entries")) & passed(begins, F.col(time))
+            return F.when(goes_on, place + stride).otherwise(place)
+
+        joined = joined.withColumn("_place_", F.aggregate(F.array(*map(F.lit, strides)), F.lit(0), halved))
+        place = F.col("_place_")
         if level:
             block = F.when(place > 0, F.col("_block_") * fanout + place - 1)
             reached = joined.select(*rows.columns, block.alias("_block_"))
