@@ -140,6 +140,74 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(work, "a long, b long, similarity double")
 
 
+def close_pairs(nodes: DataFrame, texts: DataFrame, scratch, least: float) -> DataFrame:
+    """Pairs (``a``, ``b``) of nodes of different ``component`` that may have the similarity ``least``; none that has is missing.
+
+    Shingles are put in order, the rarest first. Bags of ``x`` and ``y``
+    shingles, counted with their repeats, can be close only if they have
+    ``least / (1 + least) * (x + y)`` in common. So the first shingle that both
+    have stands early enough in both orders to leave that many behind it; a
+    shingle that only one text has takes up room but is never looked for.
+    Near copies that differ everywhere begin with shingles of their own and
+    meet none.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 200):
+                batch = whole.slice(first, 200)
+                found = bags(batch.column(2))
+                sizes = np.array([int(counts.sum()) for _, counts in found], np.int64)
+                tokens = []
+                for items, counts in found:
+                    # The second of equal shingles is another token than the first.
+                    turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    tokens.append(mixed(np.repeat(items, counts) ^ mixed(turn.astype(np.uint64))))
+                place = np.repeat(np.arange(batch.num_rows), sizes)
+                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+                for start in range(0, len(flat), 200_000):
+                    own = pa.array(place[start : start + 200_000])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(own), batch.column(1).take(own),
+                            pa.array(sizes).take(own), pa.array(flat[start : start + 200_000].view(np.int64)),
+                        ],
+                        names=["node", "component", "size", "token"],
+                    )
+
+    bodies = nodes.join(texts.withColumnRenamed("id", "node"), "node").select("node", "component", "text")
+    tokens = scratch(bodies.mapInArrow(work, "node long, component long, size long, token long"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1")
+    known = tokens.join(common, "token")
+    own = Window.partitionBy("node")
+    ranked = known.withColumn("rank", F.row_number().over(own.orderBy("texts", "token"))).withColumn(
+        "shared", F.count("*").over(own)
+    )
+    # Counted from 0; what only this text has comes first.
+    placed = ranked.select(
+        "node", "component", "size", "token", (F.col("size") - F.col("shared") + F.col("rank") - 1).alias("at")
+    )
+    share = least / (1 + least)
+    whole = lambda x: F.ceil(x - 1e-9)
+    placed = scratch(placed.where(F.col("at") <= F.col("size") - whole(least * F.col("size"))))
+    short = placed.where(F.col("at") <= F.col("size") - whole(2 * share * F.col("size")))
+    x = short.select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "size", "at")])
+    y = placed.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "component", "size", "at")])
+    # The shorter one, or of equal ones that with the smaller id, looks for the other.
+    in_turn = (F.col("x_size") < F.col("y_size")) | (
+        (F.col("x_size") == F.col("y_size")) & (F.col("x_node") < F.col("y_node"))
+    )
+    behind = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
+    enough = behind >= whole(share * (F.col("x_size") + F.col("y_size")))
+    met = x.join(
+        y, (x.token == y.token) & in_turn & enough & (F.col("x_component") != F.col("y_component"))
+        & (F.col("x_size") >= least * F.col("y_size") - 1e-9),
+    )
+    return met.select(
+        F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")
+    ).distinct()
+
+
 def classes(
     docs: DataFrame,
     scratch,
@@ -148,7 +216,6 @@ def classes(
     least: float = 0.8,
     size: int = 256,
     rows: int = 6,
-    outsiders: int = 64,
 ) -> DataFrame:
     """``id_col``, ``digest`` (of the text), ``copy_of`` (least id with the same text) and ``class_id`` (least id of the group) of every row.
 
@@ -160,10 +227,10 @@ def classes(
     get the same answer. A row without an id is compared with none and has no
     class. ``scratch(df)`` writes a table to the shared folder and reads it back.
 
-    Not all pairs of a band are made. Its least member meets the others. Only
-    bands whose members are not in one group by then go on: those outside its
-    largest group meet the others, ``outsiders`` of them a turn, unless their
-    similarities to the least member rule it out.
+    Not all pairs of a band are made. Of its members the one that shares most
+    bands with others, as the texts in the middle of a group do, meets the
+    rest. The members of bands that are not in one group by then look for
+    texts of other groups by :func:`close_pairs`, which loses none.
     """
     bands = size // rows
     if not bands:
@@ -172,54 +239,41 @@ def classes(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).withColumn("digest", F.unhex(F.md5("text")))
     marked = scratch(signed(bodies_of.where("id IS NOT NULL"), size, bands))
-    # Copies are one node: the least id with the text.
-    texts = scratch(marked.groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands")))
+    # Copies are one node; its number is fixed by writing it.
+    texts = scratch(
+        marked.groupBy("digest").agg(F.min("id").alias("copy_of"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
     banded = texts.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     members = scratch(banded.join(shared, "band"))
-    wanted = members.select(F.col("node").alias("id")).distinct()
-    bodies = scratch(bodies_of.select("id", "text").join(wanted, "id"))
-
-    # The least member of every band meets the others.
-    centre = members.groupBy("band").agg(F.min("node").alias("a"))
-    spokes = members.join(centre, "band").where("node <> a").select("band", "a", F.col("node").alias("b"))
-    found = scratch(compared(spokes.select("a", "b").distinct(), bodies))
-    checked, links = found.select("a", "b"), found.where(F.col("similarity") >= least - 1e-12).select("a", "b")
-    members = scratch(spokes.join(found, ["a", "b"]).select("band", F.col("b").alias("node"), "similarity"))
+    wanted = members.select("node").distinct().join(texts.select("node", "digest", F.col("copy_of").alias("id")), "node")
+    bodies = bodies_of.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"])
+    bodies = scratch(bodies.select(F.col("node").alias("id"), "text"))
+
+    # One member of every band, that with most company, meets the others.
+    company = members.groupBy("node").agg(F.sum("members").alias("company"))
+    centre = members.join(company, "node").groupBy("band").agg(
+        (-F.max(F.struct("company", (-F.col("node")).alias("least")))["least"]).alias("a")
+    )
+    spokes = members.select("band", "node").join(centre, "band").where("node <> a")
+    spokes = spokes.select("a", F.col("node").alias("b")).distinct()
+    near = F.col("similarity") >= least - 1e-12
+    links = scratch(compared(spokes, bodies).where(near).select("a", "b"))
     groups = components(links, scratch)
-    while True:
-        held = _in_groups(members, groups)
-        parts = held.groupBy("band", "component").agg(F.count("*").alias("n"))
-        mixed_bands = parts.groupBy("band").agg(
-            F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main")
-        ).where("parts > 1")
-        # Bands whose members are in one group need nothing more.
-        unsettled = scratch(held.join(mixed_bands.select("band", "main"), "band"))
-        if unsettled.isEmpty():
-            break
-        # Those outside a band's largest group meet the others and leave; at most so many of a band leave a task.
-        order = Window.partitionBy("band").orderBy("node")
-        outside = unsettled.where("component <> main").withColumn("rank", F.row_number().over(order)).where(
-            F.col("rank") <= outsiders
-        ).select(
-            "band", F.col("node").alias("a"), F.col("component").alias("a_component"), F.col("similarity").alias("a_near")
-        )
-        # One less similarity is a distance: texts whose distances from the centre differ too much are too far apart.
-        close = F.abs(F.col("similarity") - F.col("a_near")) <= 1 - least + 1e-9
-        pairs = unsettled.join(outside, "band").where((F.col("component") != F.col("a_component")) & close)
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        found = scratch(compared(pairs.join(checked, ["a", "b"], "left_anti"), bodies))
-        checked = checked.union(found.select("a", "b"))
-        near = found.where(F.col("similarity") >= least - 1e-12).select("a", "b")
-        if not near.isEmpty():
-            links = links.union(near)
-            groups = components(links, scratch)
-        met = outside.select("band", F.col("a").alias("node"))
-        members = scratch(unsettled.join(met, ["band", "node"], "left_anti").select("band", "node", "similarity"))
-
-    placed = _in_groups(texts.select("digest", "node"), groups)
+    held = _in_groups(members.select("band", "node"), groups)
+    several = held.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    unsettled = scratch(held.join(several.select("band"), "band", "left_semi").select("node", "component").distinct())
+    pairs = scratch(close_pairs(unsettled, bodies, scratch, least))
+    more = scratch(compared(pairs, bodies).where(near).select("a", "b"))
+    if not more.isEmpty():
+        groups = components(links.unionByName(more), scratch)
+
+    placed = _in_groups(texts.select("digest", "copy_of", "node"), groups)
+    named = placed.groupBy("component").agg(F.min("copy_of").alias("class_id"))
+    placed = placed.join(named, "component").select("digest", "copy_of", "class_id")
     found = marked.select("id", "digest").join(placed, "digest").select(
-        F.col("id").alias(id_col), "digest", F.col("node").alias("copy_of"), F.col("component").alias("class_id")
+        F.col("id").alias(id_col), "digest", "copy_of", "class_id"
     )
     none = F.lit(None).cast("long")
     without = bodies_of.where("id IS NULL").select(
@@ -241,10 +295,13 @@ def one_of_each(docs: DataFrame, scratch, id_col: str = "doc_id", text_col: str
     Of rows of equal id and text one stays.
     """
     found = classes(docs, scratch, id_col, text_col, **settings)
+    # Names that no column of the documents has.
+    free = max((len(c) for c in docs.columns), default=0) * "_" + "_"
+    mark, digest, key = f"{free}m", f"{free}d", f"{free}k"
     kept = found.where(F.col(id_col) == F.col("class_id")).select(
-        F.col(id_col).alias("_id"), F.col("digest").alias("_digest")
+        F.col(id_col).alias(key), F.col("digest").alias(digest)
     ).distinct()
-    marked = docs.withColumn("_text_digest", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    same = (F.col(id_col) == F.col("_id")) & (F.col("_text_digest") == F.col("_digest"))
-    first = marked.join(kept, same, "left_semi").dropDuplicates([id_col, "_text_digest"]).drop("_text_digest")
+    marked = docs.withColumn(mark, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    same = (F.col(id_col) == F.col(key)) & (F.col(mark) == F.col(digest))
+    first = marked.join(kept, same, "left_semi").dropDuplicates([id_col, mark]).drop(mark)
     return first.unionByName(docs.where(F.col(id_col).isNull()))

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from intertie.llm import components, decontaminate, near_dup
 from intertie.llm.queries import op7_near_dup, op8_decontaminate, table
@@ -65,7 +66,49 @@ def test_planted_groups_and_false_bands(spark):
     want = brute_classes(planted())
     assert found(near_dup.classes(rows(spark, planted()), scratch)) == want
     # Short bands bring unlike texts together, in groups beyond the small ones.
-    assert found(near_dup.classes(rows(spark, planted()), scratch, size=64, rows=1, outsiders=5)) == want
+    assert found(near_dup.classes(rows(spark, planted()), scratch, size=64, rows=1)) == want
+
+
+def edited(n: int):
+    """A large group of copies edited at random, more or less: many are close to none."""
+    rng = random.Random(12)
+    root = [f"r{i}" for i in range(150)]
+    texts = []
+    for i in range(n):
+        own = list(root)
+        for _ in range(rng.choice([0, 1, 2, 4, 6, 9])):
+            own[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        texts.append((i, " ".join(own)))
+    return texts
+
+
+def test_large_group_of_unlike_copies(spark):
+    texts = edited(300)
+    want = brute_classes(texts)
+    assert len({c for _, _, c in want}) > 50
+    assert found(near_dup.classes(rows(spark, texts), scratch)) == want
+
+
+def test_pairs_met_grow_with_the_links(spark):
+    """Texts that share half of their words and nothing rarer meet in no pair."""
+    texts = edited(200)
+    bodies = spark.createDataFrame(texts, "id long, text string")
+    nodes = bodies.select(F.col("id").alias("node"), F.col("id").alias("component"))
+    got = {(r.a, r.b) for r in near_dup.close_pairs(nodes, bodies, scratch, 0.8).collect()}
+    bags = near_dup.bags(pa.array([t for _, t in texts]))
+    close = {(a, b) for b in range(200) for a in range(b) if near_dup.similarity(bags[a], bags[b]) >= 0.8}
+    assert close <= got
+
+
+def test_two_texts_under_one_id_and_clashing_columns(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [(5, base), (5, "quite another text of more words"), (6, base), (6, base), (7, base + " end")]
+    got = sorted((r.doc_id, r.copy_of, r.class_id) for r in near_dup.classes(rows(spark, texts), scratch).collect())
+    assert got == [(5, 5, 5), (5, 5, 5), (6, 5, 5), (6, 5, 5), (7, 7, 5)]
+    named = rows(spark, texts).withColumnsRenamed({"ids": "_id", "score": "_digest", "shard": "_text_digest"})
+    left = near_dup.one_of_each(named, scratch)
+    assert left.columns == named.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted({(5, texts[0][1]), (5, texts[1][1])})
 
 
 def test_near_dup_awkward_rows(spark):
