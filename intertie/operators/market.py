@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.market import fill_rate
 from ..session import materialised
-from .ordering import neighbour, value_positions
+from .ordering import globally_ordered, neighbour, running, value_positions
 
 
 def safe_corr(a: str | Column, b: str | Column) -> Column:
@@ -32,8 +32,8 @@ def market_frame(auction: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(df: DataFrame, value: str, name: str, measure: Column, source: DataFrame | None = None) -> DataFrame:
-    places = value_positions(df if source is None else source, [], value)
+def _ranked(df: DataFrame, value: str, name: str, measure: Column) -> DataFrame:
+    places = value_positions(df, [], value)
     return df.join(places.select(value, measure.alias(name)), [value], "left")
 
 
@@ -46,9 +46,27 @@ def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return _ranked(df, value, name, _mean_rank() / F.col("total") * 100.0)
 
 
-def average_rank(df: DataFrame, value: str, name: str, source: DataFrame | None = None) -> DataFrame:
-    """Average rank of ``value``; ``source`` is a cheaper table holding the same values."""
-    return _ranked(df, value, name, _mean_rank(), source)
+def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Average rank of ``value``."""
+    return _ranked(df, value, name, _mean_rank())
+
+
+def with_ranks(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Average ranks of several columns, ``names`` giving each its output; NULL values have none.
+
+    The distinct values of all columns go through one order together, by
+    column and value, and one running count.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("_column"), F.col(c).alias("_value")) for i, c in enumerate(names)])
+    values = df.select(F.explode(cells).alias("_cell")).select("_cell.*").where(F.col("_value").isNotNull())
+    counts = values.groupBy("_column", "_value").agg(F.count(F.lit(1)).alias("n"))
+    ordered = globally_ordered(counts, ["_column", "_value"])
+    placed = running(ordered, ["_column"], {"upto": ("sum", "n")})
+    ranks = materialised(placed.select("_column", "_value", _mean_rank().alias("_rank")))
+    for i, (column, name) in enumerate(names.items()):
+        own = ranks.where(F.col("_column") == i).select(F.col("_value").alias(f"_value_{i}"), F.col("_rank").alias(name))
+        df = df.join(own, F.col(column) == F.col(f"_value_{i}"), "left").drop(f"_value_{i}")
+    return df
 
 
 def share_at_or_below(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -61,11 +79,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pea
     """Long table (a, b, corr); one aggregation for all pairs."""
     used = list(columns)
     if method == "spearman":
-        # Every column is ranked on its own, so the few columns needed are read many times.
-        source = df = materialised(df.select(*columns))
-        for column in columns:
-            df = average_rank(df, column, f"_rank_{column}", source)
         used = [f"_rank_{c}" for c in columns]
+        df = with_ranks(df.select(*columns), dict(zip(columns, used)))
     names = dict(zip(used, columns))
     pairs = [(a, b) for i, a in enumerate(used) for b in used[i:]]
     sums = df.agg(*[safe_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.market import category_id
 from .versions import top_per_key
 
 
@@ -39,14 +40,29 @@ def union_by_key(
 
 
 def products_of(auction: DataFrame) -> DataFrame:
-    """Products that auction rows speak of: interconnector, source region and contract, with the most units offered."""
+    """Products that auction rows speak of: one per interconnector, source region and contract.
+
+    With the ids, the region at the other end (empty where the interconnector
+    has no two ends), the quarter and tranche of the contract, the most units
+    offered and the share that one of them is (0 where none is).
+    """
     keys = ["interconnector_id", "from_region", "contract_id"]
-    return auction.groupBy(*keys).agg(F.max("units_offered").alias("max_units"), F.min("quarter").alias("quarter"))
+    found = auction.groupBy(*keys).agg(
+        F.max("units_offered").alias("max_units"), F.min("quarter").alias("quarter"), F.min("tranche_no").alias("tranche_no")
+    )
+    ends = F.split("interconnector_id", "-", 2)
+    other = F.when(F.size(ends) < 2, F.lit("")).when(F.col("from_region") == F.get(ends, 0), F.get(ends, 1)).otherwise(F.get(ends, 0))
+    return found.select(
+        F.concat_ws("_", "interconnector_id", "contract_id", "from_region").alias("product_id"),
+        category_id("interconnector_id", "from_region").alias("unit_category_id"), *keys, other.alias("to_region"),
+        "quarter", "tranche_no", F.lit("PRIMARY").alias("allocation_type"), "max_units",
+        F.when(F.col("max_units") != 0, 1.0 / F.col("max_units")).otherwise(F.lit(0.0)).alias("unit_proportion"),
+    )
 
 
 def calendar_of(auction: DataFrame) -> DataFrame:
-    """One auction event per contract: its quarter, tranche and how many products it offers."""
-    products = products_of(auction).groupBy("contract_id").agg(
-        F.min("quarter").alias("quarter"), F.count(F.lit(1)).alias("products"), F.sum("max_units").alias("max_units")
+    """One auction event per contract: its id, quarter and tranche, how many products it offers and their units."""
+    return products_of(auction).groupBy("contract_id").agg(
+        F.concat(F.first("contract_id"), F.lit("_v1")).alias("auction_id"), F.min("quarter").alias("quarter"),
+        F.min("tranche_no").alias("tranche_no"), F.count(F.lit(1)).alias("products"), F.sum("max_units").alias("max_units"),
     )
-    return products

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calibration, portfolio, selection
+from ..session import scratch_path
 from ..sources import reports, tables
 from . import REGISTRY
 from . import roles as R
-from .files import _report
 from .settlement import CONFIG, SCORES_SQL, _backtest
 
 
@@ -25,30 +25,40 @@ def select_by_fields(spark, folder):
     return rows.select("contract_id", "from_region", "units_offered", "order_key", "part_key", "supp_key")
 
 
-@REGISTRY.add(
-    "auction_products",
-    f"""
-    WITH {R.AUCTION_SQL}
-    SELECT interconnector_id, from_region, contract_id, max(units_offered) AS max_units, min(quarter) AS quarter
-    FROM auction GROUP BY ALL
-    """,
-)
+PRODUCTS_SQL = f"""
+    WITH {R.AUCTION_SQL},
+    g AS (SELECT interconnector_id, from_region, contract_id, CAST(max(units_offered) AS BIGINT) AS max_units, min(quarter) AS quarter,
+                 CAST(min(tranche_no) AS BIGINT) AS tranche_no FROM auction GROUP BY ALL),
+    products AS (
+      SELECT interconnector_id || '_' || contract_id || '_' || from_region AS product_id,
+             interconnector_id || '_' || from_region AS unit_category_id, interconnector_id, from_region, contract_id,
+             CASE WHEN from_region = split_part(interconnector_id, '-', 1) THEN split_part(interconnector_id, '-', 2)
+                  ELSE split_part(interconnector_id, '-', 1) END AS to_region,
+             quarter, tranche_no, 'PRIMARY' AS allocation_type, max_units,
+             CASE WHEN max_units <> 0 THEN 1.0::DOUBLE / max_units ELSE 0 END AS unit_proportion FROM g)
+    """
+
+
+@REGISTRY.add("auction_products", PRODUCTS_SQL + "SELECT * FROM products")
 def auction_products(spark, folder):
-    return selection.products_of(R.auction(spark, folder))
+    return _whole(selection.products_of(R.auction(spark, folder)))
 
 
 @REGISTRY.add(
     "auction_calendar",
-    f"""
-    WITH {R.AUCTION_SQL},
-    p AS (SELECT interconnector_id, from_region, contract_id, max(units_offered) AS m, min(quarter) AS quarter
-          FROM auction GROUP BY ALL)
-    SELECT contract_id, min(quarter) AS quarter, count(*) AS products, CAST(sum(m) AS BIGINT) AS max_units
-    FROM p GROUP BY contract_id
+    PRODUCTS_SQL
+    + """
+    SELECT contract_id, contract_id || '_v1' AS auction_id, min(quarter) AS quarter, min(tranche_no) AS tranche_no,
+           count(*) AS products, CAST(sum(max_units) AS BIGINT) AS max_units
+    FROM products GROUP BY contract_id
     """,
 )
 def auction_calendar(spark, folder):
-    return selection.calendar_of(R.auction(spark, folder))
+    return _whole(selection.calendar_of(R.auction(spark, folder)))
+
+
+def _whole(df):
+    return df.withColumns({c: F.col(c).cast("long") for c in ("tranche_no", "max_units")})
 
 
 UNION_SQL = """
@@ -100,16 +110,65 @@ def read_limited(spark, folder):
     """,
 )
 def ingest_summary(spark, folder):
-    """The audit of one report file, whose name is left out. All rows go to one file, as one report has them."""
-    rows = R.auction(spark, folder).coalesce(1)
-    path = _report(
-        spark, rows, "D", "RESIDUE_PUBLIC_DATA", "", "1", F.col("contract_id"), F.lit(1), F.col("interconnector_id"),
-        F.col("from_region"), F.col("units_offered"), F.col("units_sold"), F.col("clearing_price"), "0",
+    """The audits of all report files, put together; a contract is in one file."""
+    return reports.ingest_summary(spark, _auction_files(spark, folder), "*.txt").agg(
+        F.sum("snapshot_rows").alias("rows"), F.sum("products_loaded").alias("products"),
+        F.sum("events_loaded").alias("events"), F.min("quarter").alias("first_quarter"),
+    )
+
+
+def _auction_files(spark, folder) -> str:
+    """One report file for each contract, written in parallel, each with the time of its report in its first line."""
+    rows = R.auction(spark, folder).select(
+        "contract_id", F.lit(1).alias("_at"),
+        F.concat_ws(
+            ",", F.lit("D,RESIDUE_PUBLIC_DATA,,1"), "contract_id", F.lit("1"), "interconnector_id", "from_region",
+            F.col("units_offered").cast("string"), F.col("units_sold").cast("string"), F.col("clearing_price").cast("string"),
+            F.lit("0"),
+        ).alias("value"),
+    )
+    stamp = F.date_format(F.max("ship_date"), "yyyy/MM/dd HH:mm:ss")
+    heads = R.auction(spark, folder).groupBy("contract_id").agg(
+        F.concat(F.lit('C,NEM,SRRES,NEMMCO,PUBLIC,"'), stamp, F.lit('"')).alias("value")
     )
-    return reports.ingest_summary(spark, path, "*.txt").select(
-        F.col("snapshot_rows").alias("rows"), F.col("products_loaded").alias("products"),
-        F.col("events_loaded").alias("events"), F.col("quarter").alias("first_quarter"),
+    lines = rows.unionByName(heads.select("contract_id", F.lit(0).alias("_at"), "value"))
+    path = scratch_path(spark, "auctions")
+    ordered = lines.repartition("contract_id").sortWithinPartitions("contract_id", "_at")
+    ordered.select("contract_id", "value").write.partitionBy("contract_id").text(path)
+    return path
+
+
+@REGISTRY.add(
+    "ingest_files",
+    f"""
+    WITH {R.AUCTION_SQL}
+    SELECT quarter, CAST(tranche_no AS BIGINT) AS tranche_no, count(*) AS snapshot_rows,
+           count(DISTINCT (interconnector_id, from_region)) AS products_loaded, CAST(1 AS BIGINT) AS events_loaded,
+           date_trunc('second', max(ship_date))::TIMESTAMP AS report_datetime
+    FROM auction GROUP BY contract_id, quarter, tranche_no
+    """,
+)
+def ingest_files(spark, folder):
+    """The audit of every report file with the time of its report."""
+    audits = reports.ingest_summary(spark, _auction_files(spark, folder), "*.txt")
+    return audits.drop("source_file").withColumn("tranche_no", F.col("tranche_no").cast("long"))
+
+
+@REGISTRY.add(
+    "auction_version_times",
+    f"""
+    WITH {R.AUCTION_SQL},
+    t AS (SELECT contract_id, date_trunc('second', max(ship_date))::TIMESTAMP AS auction_datetime FROM auction GROUP BY 1)
+    SELECT DISTINCT contract_id || '_v01_' || interconnector_id || '_' || from_region AS result_id, auction_datetime
+    FROM auction JOIN t USING (contract_id)
+    """,
+)
+def auction_version_times(spark, folder):
+    """Versioned results with the report time that stands in the first line of their file."""
+    read = reports.read_auction_results_versioned(
+        spark, _auction_files(spark, folder), "*.txt", ["clearing_price", "units_cleared", "units_offered"]
     )
+    return read.select("result_id", "auction_datetime")
 
 
 @REGISTRY.add(

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.network import contract_economics
 from ..operators import graph, joins, network, portfolio, text, validation
+from ..session import scratch_path
+from ..sources import tables
 from . import REGISTRY
 from . import roles as R
 
@@ -277,6 +279,73 @@ def asset_latest(spark, folder):
     )
 
 
+@REGISTRY.add("read_network_assets", REGISTRY.sql["asset_latest"])
+def read_network_assets(spark, folder):
+    """The three network tables written as CSV and read back; a figure that is no number counts as missing."""
+    history = R.table(spark, folder, "orders").groupBy(
+        F.expr("concat('A', o_custkey)").alias("asset_code"), F.year("o_orderdate").alias("year")
+    ).agg(F.max("o_totalprice").alias("v"), F.min("o_totalprice").alias("w"))
+    place = [F.lit("x").alias(c) for c in ("asset_name", "network", "state")] + [
+        F.lit(0.0).alias(c) for c in ("latitude", "longitude")
+    ]
+    deferral = history.select("asset_code", *place, F.expr("v * 0.5D").alias("annual_deferral_aud"), "year")
+    capacity = history.select(
+        "asset_code", *place, F.col("v").alias("capacity"), F.col("w").alias("load"),
+        F.expr("(v - w * 10) * 100").alias("available_capacity"), "year",
+    )
+    investment = R.sites(spark, folder).withColumns({
+        "capacity_mva": F.lit("n/a"), "peak_demand_mva": F.lit(""),
+        "available_mva": F.coalesce(F.col("available_mva").cast("string"), F.lit("unknown")),
+    })
+    paths = []
+    for table in (investment, deferral, capacity):
+        paths.append(scratch_path(spark, "network"))
+        table.write.option("header", "true").csv(paths[-1])
+    return network.assets_with_latest(*tables.read_network_assets(spark, *paths)).select(
+        "asset_code", "annual_deferral_aud", "capacity_mva", "peak_demand_mva", "available_mva"
+    )
+
+
+@REGISTRY.add(
+    "validate_positions",
+    """
+    WITH p AS (SELECT o_orderkey, o_custkey % 7 - 1 AS units_held, o_totalprice - 50000.0 AS price FROM orders),
+    m AS (SELECT o_orderkey, concat_ws('|', CASE WHEN units_held < 0 THEN 'units_held must be >= 0' END,
+                 CASE WHEN price < 0 THEN 'acquisition_price_per_unit must be >= 0' END) AS messages FROM p)
+    SELECT * FROM m WHERE messages <> ''
+    """,
+)
+def validate_positions(spark, folder):
+    rows = R.table(spark, folder, "orders").select(
+        "o_orderkey", F.expr("o_custkey % 7 - 1").alias("units_held"),
+        F.expr("o_totalprice - 50000D").alias("acquisition_price_per_unit"),
+    )
+    failing = validation.failing_rows(rows, validation.position_rules(), ["o_orderkey"])
+    return failing.withColumn("messages", F.array_join("messages", "|"))
+
+
+@REGISTRY.add(
+    "validate_inputs",
+    """
+    WITH p AS (SELECT o_orderkey, (o_orderkey % 12) / 10.0 AS c, (o_custkey % 13 - 1) / 10.0 AS r,
+                      CASE WHEN o_custkey % 5 > 0 THEN (o_custkey % 11) / 10.0 END AS l FROM orders),
+    m AS (SELECT o_orderkey, concat_ws('|', CASE WHEN NOT (c > 0 AND c < 1) THEN 'confidence_level must be between 0 and 1' END,
+                 CASE WHEN NOT (r >= 0 AND r < 1) THEN 'model_risk_discount must be in [0, 1)' END,
+                 CASE WHEN NOT coalesce(l >= 0 AND l < 1, false) THEN 'liquidity_discount must be in [0, 1)' END) AS messages FROM p)
+    SELECT * FROM m WHERE messages <> ''
+    """,
+)
+def validate_inputs(spark, folder):
+    """Valuation inputs out of their ranges; a missing one counts as out of range."""
+    rows = R.table(spark, folder, "orders").select(
+        "o_orderkey", F.expr("(o_orderkey % 12) / 10D").alias("confidence_level"),
+        F.expr("(o_custkey % 13 - 1) / 10D").alias("model_risk_discount"),
+        F.expr("CASE WHEN o_custkey % 5 > 0 THEN (o_custkey % 11) / 10D END").alias("liquidity_discount"),
+    )
+    failing = validation.failing_rows(rows, validation.input_rules(), ["o_orderkey"])
+    return failing.withColumn("messages", F.array_join("messages", "|"))
+
+
 ECONOMICS_SQL = f"""{ASSETS_SQL},
 e1 AS (
   SELECT *, aug_cost_aud / 1000000.0 AS deferrable_m,
