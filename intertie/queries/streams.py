@@ -80,9 +80,7 @@ def stream_latest_snapshot(spark, folder):
     snapshot = jobs.latest_snapshot(rows, ["region"], ["ts", "event_id"])
     path = scratch_path(spark, "snapshot")
     _drain(jobs.snapshot_to_table(snapshot, path, scratch_path(spark, "state"), trigger_now=True))
-    written = spark.read.parquet(path)
-    newest = written.agg(F.max("batch").alias("batch"))
-    return written.join(F.broadcast(newest), "batch", "left_semi").select("region", "event_id", "value")
+    return jobs.read_snapshot(spark, path).select("region", "event_id", "value")
 
 
 @REGISTRY.add(

@@ -44,14 +44,28 @@ def existing_rows(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def ledger_rows(spark: SparkSession, path: str, schema, quarters: Sequence[str | None]) -> DataFrame:
+    """Rows of the ledger in the given quarters; no file of another quarter is opened."""
+    known = [q for q in quarters if q is not None]
+    wanted = F.col("quarter").isin(*known) if known else F.lit(False)
+    return existing_rows(spark, path, schema).where(wanted | F.col("quarter").isNull() if None in quarters else wanted)
+
+
 def append_recommendations(df: DataFrame, path: str, key: Sequence[str] = LEDGER_KEY) -> None:
     """Append rows whose key the ledger does not hold yet, so that a repeated run adds nothing.
 
-    Key parts that are NULL are equal to each other.
+    Key parts that are NULL are equal to each other. The ledger is partitioned
+    by quarter, which is part of the key, and an append reads the quarters of
+    its own rows only; there are four labels a year, so the driver may hold them.
     """
+    if "quarter" not in key:
+        raise ValueError("the quarter is part of a ledger's key")
     spark = df.sparkSession
     fresh = first_occurrence(df, list(key), [c for c in df.columns if c not in key])
-    exclude_existing(fresh, existing_rows(spark, path, df.schema), list(key), null_safe=True).write.mode("append").parquet(path)
+    quarters = [r[0] for r in df.select("quarter").distinct().collect()]
+    existing = ledger_rows(spark, path, df.schema, quarters)
+    new = exclude_existing(fresh, existing, list(key), null_safe=True)
+    new.write.mode("append").partitionBy("quarter").parquet(path)
 
 
 def reconciliation_report(

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.quarters import quarter_label
 from ..operators.versions import latest_version
+from ..sources.archives import file_system
 from ..sources.sinks import LEDGER_KEY, append_recommendations
 
 
@@ -85,12 +87,37 @@ def to_table(
     return _start(writer.outputMode("append"), trigger_now, interval)
 
 
+def snapshot_batches(path: str) -> list[int]:
+    """Batches of a snapshot table that are complete, in order; the file a finished write leaves is what publishes one."""
+    system, root = file_system(path)
+    if system.get_file_info(root).type != FileType.Directory:
+        return []
+    folders = [f.path for f in system.get_file_info(FileSelector(root)) if f.base_name.startswith("batch=")]
+    marks = system.get_file_info([f"{folder}/_SUCCESS" for folder in folders])
+    return sorted(int(f.rsplit("=", 1)[1]) for f, mark in zip(folders, marks) if mark.type == FileType.File)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The last published batch of a snapshot table; a batch that is being written is not seen."""
+    batches = snapshot_batches(path)
+    if not batches:
+        raise ValueError(f"no snapshot has been published at {path}")
+    return spark.read.parquet(f"{path}/batch={batches[-1]}")
+
+
 def snapshot_to_table(
-    stream: DataFrame, path: str, checkpoint: str, trigger_now: bool = False, interval: str = "5 minutes"
+    stream: DataFrame, path: str, checkpoint: str, trigger_now: bool = False, interval: str = "5 minutes", keep: int = 2
 ) -> StreamingQuery:
-    """Rewrite a small snapshot table from each batch of a complete-mode aggregate."""
+    """Write the table of a complete-mode aggregate anew with each batch and publish it at once.
+
+    The last ``keep`` batches stay, so a reader of the one before can end; a
+    batch that runs again replaces its own folder.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        system, root = file_system(path)
+        for old in snapshot_batches(path)[:-keep]:
+            system.delete_dir(f"{root}/batch={old}")
 
     writer = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint)
     return _start(writer, trigger_now, interval)

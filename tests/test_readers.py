@@ -383,3 +383,40 @@ def test_ids_with_a_long_common_part_stay_apart(spark):
     found = opportunities(raw)
     assert found.select("id").distinct().count() == 2 and found.select("short_id").distinct().count() == 1
     assert merge_registers([found]).count() == 2
+
+
+def test_appends_read_their_own_quarters_only(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = [(f"t{i}", "p", f"C2025Q{i % 4 + 1}" if i % 5 else None, i, i) for i in range(40)]
+    frame = spark.createDataFrame(rows, "timestamp string, product_id string, quarter string, tranche int, value int")
+    sinks.append_recommendations(frame, path)
+    sinks.append_recommendations(frame.where("quarter = 'C2025Q2' OR quarter IS NULL"), path)
+    assert spark.read.parquet(path).count() == 40
+    pruned = sinks.ledger_rows(spark, path, frame.schema, ["C2025Q2", None])
+    assert {f.rsplit("/", 2)[1] for f in (r[0] for r in pruned.select(F.input_file_name()).distinct().collect())} == {
+        "quarter=C2025Q2", "quarter=__HIVE_DEFAULT_PARTITION__",
+    }
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    with pytest.raises(ValueError):
+        sinks.append_recommendations(frame, path, ["timestamp"])
+
+
+def test_globs_of_archive_names():
+    from intertie.sources.archives import glob_expression
+
+    for pattern, yes, no in (
+        ("*.[zZ][iI][pP]", "a.ZiP", "a.zip.x"), ("P_{20,21}*.zip", "P_21x.zip", "P_22.zip"), ("a\\*b", "a*b", "axb"),
+        ("[!x]?", "ab", "xb"), ("a.b", "a.b", "acb"),
+    ):
+        assert glob_expression(pattern).fullmatch(yes) and not glob_expression(pattern).fullmatch(no)
+
+
+def test_a_large_archive_is_read_by_many_tasks(spark, tmp_path):
+    from intertie.sources import archives
+
+    lines = spark.range(60_000).selectExpr("concat('D,DISPATCH,IRSR,2,', id, repeat(md5(cast(cast(id AS string) AS binary)), 3)) AS value").coalesce(1)
+    assert archives.write_archives(lines, str(tmp_path), "PUBLIC_X") == 60_000
+    read = reports.read_archive_lines(spark, str(tmp_path), ["D,DISPATCH"], part_bytes=150_000)
+    assert read.rdd.getNumPartitions() > 4
+    assert read.select("value").distinct().count() == 60_000 and read.count() == 60_000
