@@ -14,8 +14,10 @@ from intertie.session import with_package
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model does not reject; the model learns from the labels' own folds."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, out="_quality")
-    return scored.where("_quality >= 0.5").select(*docs.columns)
+    # A name that no column of the documents has.
+    own = "_" * (1 + max(map(len, docs.columns)))
+    scored = quality.score(docs, model, out=own)
+    return scored.where(F.col(own) >= 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
