@@ -8,7 +8,7 @@ which must not fall below zero. The share of good texts is estimated.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 #: Shares of the 128 ASCII characters, other bytes, and the figures of ``shape``.
 BYTES = 129
 SHAPES = 12
@@ -69,30 +71,104 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, decay: float = 1e-4) -> Model:
-    """Minimise the non-negative risk with the logistic loss by full-batch Adam steps."""
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
-    p = np.clip((positive - mean) / scale, -8, 8).astype(np.float64)
-    u = np.clip((unlabelled - mean) / scale, -8, 8).astype(np.float64)
-    w = np.zeros(p.shape[1] + 1)
+def standard(rows: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Rows at the scale of the model, with a last column of ones for the bias."""
+    z = np.clip((rows - mean) / scale, -8, 8).astype(np.float64)
+    return np.c_[z, np.ones(len(z))]
+
+
+def moments(rows: np.ndarray) -> np.ndarray:
+    """Number, sum and sum of squares of rows."""
+    wide = rows.astype(np.float64)
+    return np.concatenate([[len(wide)], wide.sum(axis=0), (wide**2).sum(axis=0)])
+
+
+def curvature(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sum of rows, gradient and second derivatives of the loss of rows taken as negative."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+    return np.concatenate([x.sum(axis=0), p @ x, ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+
+
+def losses(x: np.ndarray, trials: np.ndarray) -> np.ndarray:
+    """Number of rows, and for every trial the sums of their losses as negative and as positive."""
+    z = x @ trials.T
+    return np.concatenate([[len(x)], np.logaddexp(0, z).sum(axis=0), np.logaddexp(0, -z).sum(axis=0)])
+
+
+#: Shares of a step that are tried.
+STEPS = np.array([1.0, 0.5, 0.25, 0.1, 0.03, 0.0])
+
+
+def minimise(positive: Callable, unlabelled: Callable, prior: float, rounds: int = 12, decay: float = 1e-4) -> Model | None:
+    """Minimise the non-negative risk with the logistic loss.
+
+    ``positive`` and ``unlabelled`` take a function of rows and give the sum of
+    its results over all rows of the class. The loss of a row as positive less
+    that as negative is linear, so the unbiased risk is convex; Newton steps
+    lead down it, cut short by the non-negative risk: of some shares of a step
+    the one with the least is taken, and none of it when the risk of the
+    unlabelled rows as negative would fall below what the good ones add.
+    """
+    found = unlabelled(moments)
+    count, width = found[0], len(found) // 2
+    if not count or not positive(moments)[0]:
+        return None
+    mean = found[1 : width + 1] / count
+    scale = np.sqrt(np.maximum(found[width + 1 :] / count - mean**2, 0)) + 1e-3
+    w = np.zeros(width + 1)
     w[-1] = np.log(prior / (1 - prior))
-    p, u = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for step in range(1, rounds + 1):
-        zp, zu = p @ w, u @ w
-        as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # Gradients of log(1 + exp(-z)) and log(1 + exp(z)).
-        good = p.T @ (sigmoid(zp) - 1) / len(p) * prior
-        rest = u.T @ sigmoid(zu) / len(u) - prior * (p.T @ sigmoid(zp) / len(p))
-        # Where the negative risk falls below zero, a step takes it back up.
-        slope = good + rest if as_negative >= 0 else -rest
-        slope = slope + decay * np.append(w[:-1], 0)
-        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-        w -= 0.03 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    ridge = np.append(np.full(width, decay), 1e-9)
+    good = positive(lambda rows: np.append(len(rows), standard(rows, mean, scale).sum(axis=0)))
+    good_mean = good[1:] / good[0]
+    for _ in range(rounds):
+        sums = unlabelled(lambda rows: curvature(standard(rows, mean, scale), w))
+        slope = sums[width + 1 : 2 * width + 2] / count - prior * good_mean + ridge * w
+        second = sums[2 * width + 2 :].reshape(width + 1, width + 1) / count + np.diag(ridge)
+        step = np.linalg.solve(second, slope)
+        trials = w - STEPS[:, None] * step
+        risk_p = positive(lambda rows: losses(standard(rows, mean, scale), trials))
+        risk_u = unlabelled(lambda rows: losses(standard(rows, mean, scale), trials))
+        k = len(STEPS)
+        rest = risk_u[1 : k + 1] / count - prior * risk_p[1 : k + 1] / risk_p[0]
+        risk = prior * risk_p[k + 1 :] / risk_p[0] + np.maximum(rest, 0) + (ridge * trials**2).sum(axis=1) / 2
+        # A negative rest is what the non-negative risk keeps from being fitted.
+        best = int(np.argmin(np.where(rest >= 0, risk, np.inf))) if (rest >= 0).any() else k - 1
+        if risk[-1] - risk[best] < 1e-9:
+            break
+        w = trials[best]
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, **settings) -> Model | None:
+    """:func:`minimise` over rows at hand."""
+    return minimise(lambda f: f(positive), lambda f: f(unlabelled), prior, **settings)
+
+
+def summed(rows: DataFrame) -> Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray]:
+    """Sums over the ``features`` of all rows: each task adds its own up, the rest is an aggregate by position."""
+
+    def total(function: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = function(np.zeros((0, FEATURES), np.float32))
+            for batch in batches:
+                flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+                matrix = flat.reshape(-1, FEATURES)
+                for first in range(0, len(matrix), 4096):
+                    own = own + function(matrix[first : first + 4096])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int32()), pa.array(own)], names=["place", "value"])
+
+        parts = rows.select("features").mapInArrow(work, "place int, value double")
+        # Decimal sums do not depend on the order in which tasks end.
+        exact = F.sum(F.col("value").cast("decimal(38,12)")).cast("double")
+        found = parts.groupBy("place").agg(exact.alias("value")).toArrow()
+        size = len(function(np.zeros((0, FEATURES), np.float32)))
+        out = np.zeros(size)
+        out[found.column("place").to_numpy()] = found.column("value").to_numpy()
+        return out
+
+    return total
+
+
 def fold(id_col: str, parts: int) -> Column:
     """CRC-32 of the id's decimal text, modulo ``parts``; a null id has none."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
@@ -127,15 +203,15 @@ def train(
     label_col: str = "quality",
     folds: int = 3,
     held_out: int = 1,
-    most: int = 12_000,
 ) -> Model | None:
     """A model from labels outside the held-out fold; None if no text there is labelled as good.
 
-    The class prior is the share of good ones among all of those labels. At
-    most about ``most`` good texts and as many unlabelled ones, chosen by a
-    hash of their ids, are used for fitting; they fit in the driver. An id
-    labelled more than once is good if all its labels are. Unlabelled texts are
-    taken from all of ``docs``, whatever their labels.
+    The class prior is the share of good ones among all of those labels. An id
+    labelled more than once is good if all its labels are. All texts with a
+    good label count as positive and all rows of ``docs`` as unlabelled,
+    whatever their labels, ids of null included; a repeated row counts each
+    time. Features are written once to the shared folder and summed there in
+    every round; the driver holds sums only. No rows give no model.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col, folds) != held_out))
     judged = known.groupBy(id_col).agg(F.min(label_col).alias("_label"))
@@ -143,24 +219,16 @@ def train(
     if not good:
         return None
     prior = min(0.99, max(0.01, good / total))
-    n = docs.agg(F.count("*")).first()[0]
-    trusted = sampled(judged.where("_label = 1").select(id_col), id_col, min(1.0, most / good), "p")
-    # The sample is bounded by ``most``, so its ids may be sent to every task.
-    texts = docs.select(id_col, text_col).join(F.broadcast(trusted), id_col, "left_semi")
-    positive = _matrix(featured(texts, id_col, text_col))
-    unlabelled = _matrix(
-        featured(sampled(docs.select(id_col, text_col), id_col, min(1.0, most / max(1, n)), "u"), id_col, text_col)
-    )
-    if not len(positive) or not len(unlabelled):
-        return None
-    return fit(positive, unlabelled, prior)
+    every = _kept(featured(docs, id_col, text_col), "features")
+    trusted = _kept(every.join(judged.where("_label = 1").select(id_col), id_col, "left_semi"), "good-features")
+    return minimise(summed(trusted), summed(every), prior)
 
 
-def _matrix(rows: DataFrame) -> np.ndarray:
-    """Features of the rows of a bounded sample, in an order of their own."""
-    found = rows.select("features").toArrow().column(0).combine_chunks()
-    matrix = found.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES) if len(found) else np.zeros((0, FEATURES))
-    return matrix[np.lexsort(matrix.T)] if len(matrix) else matrix
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -91,6 +91,50 @@ def test_risk_with_unlabelled_negatives():
     assert (model.scores(good) >= 0.5).mean() > 0.9 and (model.scores(bad) < 0.5).mean() > 0.9
 
 
+def test_training_equals_sums_at_hand(spark):
+    """Risk and scores from sums in tasks are those of plain gradient descent over all rows."""
+    texts, labels = planted(150)
+    texts = texts + texts[:20] + [(None, "of no id")]
+    docs = rows(spark, texts)
+    model = quality.train(docs.repartition(5), spark.createDataFrame(labels, LABELS))
+    known = {i: q for i, q, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    every = np.stack([quality.features(t) for _, t in texts])
+    good = np.stack([quality.features(t) for i, t in texts if known.get(i) == 1])
+    prior = min(0.99, max(0.01, sum(known.values()) / len(known)))
+    plain = quality.fit(good, every, prior)
+    assert model.prior == plain.prior == prior
+    assert np.allclose(model.scores(every), plain.scores(every), atol=1e-4)
+
+    def risk(weights, bias):
+        z = lambda x: np.clip((x - every.mean(0)) / (every.std(0) + 1e-3), -8, 8) @ weights + bias
+        loss = lambda x: np.logaddexp(0, x).mean()
+        rest = loss(z(every)) - prior * loss(z(good))
+        return prior * loss(-z(good)) + max(0.0, rest), rest
+
+    found, rest = risk(plain.weights, plain.bias)
+    assert rest >= -1e-9 and found < risk(np.zeros(quality.FEATURES), np.log(prior / (1 - prior)))[0]
+
+
+def test_no_move_leads_below_the_least_risk():
+    """Where the rest stays above zero, the non-negative risk of the model is the least around it."""
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(0.4, 1, (900, 4)), rng.normal(-0.4, 1, (600, 4))
+    trusted, every, prior = good[:400], np.r_[good[400:], bad], 0.45
+    model = quality.fit(trusted, every, prior)
+
+    def risk(weights, bias):
+        z = lambda x: np.clip((x - model.mean) / model.scale, -8, 8) @ weights + bias
+        loss = lambda x: np.logaddexp(0, x).mean()
+        rest = loss(z(every)) - prior * loss(z(trusted))
+        return prior * loss(-z(trusted)) + max(0.0, rest), rest
+
+    least, rest = risk(model.weights, model.bias)
+    assert rest > 0.05
+    for size in (0.003, 0.03, 0.3, 3):
+        for move in rng.normal(0, size, (100, 5)):
+            assert risk(model.weights + move[:4], model.bias + move[4])[0] > least - 1e-4
+
+
 def test_smoothed_probabilities_add_up():
     counts = np.array([[5, 1, 0, 0], [0, 0, 0, 0], [2, 2, 1, 1]])
     out = toxicity.smoothed(counts, np.full((3, 4), 0.25), 2.0)
