@@ -55,6 +55,27 @@ def spaced_words_of(texts: pa.Array, special: re.Pattern | None = None) -> tuple
     return _flat([[t] if whole(t) else SPACED.findall(t) for t in texts.to_pylist()])
 
 
+#: A run of letters and digits, as the Arrow library finds it, and its end marked.
+RUN, MARKED, MARK = r"([\p{L}\p{N}]+)", "\\1\x1f", "\x1f"
+
+
+def run_ends_of(texts: pa.Array, special: re.Pattern | None = None) -> tuple[pa.Array, np.ndarray]:
+    """Parts that together are a text, each ending with a run of letters and digits or with the text, by Arrow kernels.
+
+    Fewer and longer than :func:`spaced_words_of` gives, and cut for the same
+    reason. A text with a special token or with characters outside ``SETTLED``
+    is one part. Parts can be empty.
+    """
+    if pc.any(pc.match_substring_regex(texts, SEPARATORS.pattern)).as_py():
+        return spaced_words_of(texts, special)
+    whole = pc.match_substring_regex(texts, SETTLED.pattern)
+    if special is not None:
+        whole = pc.or_(whole, pc.match_substring_regex(texts, special.pattern))
+    marked = pc.replace_substring_regex(texts, pattern=RUN, replacement=MARKED)
+    parts = pc.split_pattern(pc.if_else(whole, texts, marked), MARK)
+    return parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def special_pattern(config: dict) -> re.Pattern | None:
     """Matches any special token of a tokenizer file, the longest first."""
     tokens = config.get("added_tokens") or []

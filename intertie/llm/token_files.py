@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .pieces import PieceTable, read_config, runs, spaced_words_of, special_pattern
+from .pieces import PieceTable, read_config, run_ends_of, runs, special_pattern
 
 MAGIC = b"PFR1"
 HEADER = struct.Struct("<4sIII")
+#: Blocks that are packed or unpacked together.
+SLICE = 256
 INDEX = np.dtype([("offset", "<u8"), ("base", "<u4"), ("exceptions", "<u4"), ("width", "<u4")])
 
 
@@ -37,37 +39,45 @@ def pack(values: np.ndarray, block: int = 1024, share: float = 0.95) -> bytes:
     """One segment of unsigned 32-bit ``values``; ``share`` of a block's differences fit the packed width."""
     if not 1 <= block <= 65536:
         raise ValueError("a block has 1 to 65536 values")
-    values = np.asarray(values, np.int64)
+    values = np.asarray(values, np.uint32)
     n = len(values)
     blocks = -(-n // block)
-    padded = np.zeros(blocks * block, np.int64)
-    padded[:n] = values
-    if n:
-        padded[n:] = values[-1]
-    grid = padded.reshape(blocks, block)
     index = np.zeros(blocks, INDEX)
-    index["base"] = grid.min(axis=1) if blocks else 0
-    rest = grid - index["base"][:, None].astype(np.int64)
+    bodies: list[bytes] = []
+    # So many blocks at a time that their bits take some megabytes.
+    for first in range(0, blocks, SLICE):
+        own = values[first * block : (first + SLICE) * block]
+        bodies += _packed(own, index[first : first + SLICE], block, share)
+    sizes = np.fromiter(map(len, bodies), np.int64, blocks)
+    index["offset"] = HEADER.size + INDEX.itemsize * blocks + np.cumsum(sizes) - sizes
+    return HEADER.pack(MAGIC, block, n, blocks) + index.tobytes() + b"".join(bodies)
+
+
+def _packed(values: np.ndarray, index: np.ndarray, block: int, share: float) -> list[bytes]:
+    """Bodies of consecutive blocks; their entries of the index are filled in, apart from the offset."""
+    blocks = len(index)
+    padded = np.full(blocks * block, values[-1], np.uint32)
+    padded[: len(values)] = values
+    grid = padded.reshape(blocks, block)
+    index["base"] = grid.min(axis=1)
+    rest = grid - index["base"][:, None]
     rank = min(block - 1, int(np.ceil(share * block)) - 1)
-    typical = np.partition(rest, rank, axis=1)[:, rank] if blocks else np.zeros(0, np.int64)
+    typical = np.partition(rest, rank, axis=1)[:, rank].astype(np.int64)
     index["width"] = np.ceil(np.log2(typical + 1.0)).astype(np.int64)
-    over = rest >= (np.int64(1) << index["width"].astype(np.int64))[:, None]
+    over = rest.astype(np.int64) >= (np.int64(1) << index["width"].astype(np.int64))[:, None]
     index["exceptions"] = over.sum(axis=1)
     bodies: list[bytes] = [b""] * blocks
     for width in np.unique(index["width"]).tolist():
         rows = np.flatnonzero(index["width"] == width)
-        shifts = np.arange(width, dtype=np.int64)
-        kept = np.where(over[rows], 0, rest[rows])
-        bits = ((kept[:, :, None] >> shifts) & 1).astype(np.uint8).reshape(len(rows), block * width)
-        packed = np.packbits(bits, axis=1, bitorder="little")
+        kept = np.where(over[rows], 0, rest[rows]).astype("<u4").reshape(-1, 1)
+        bits = np.unpackbits(kept.view(np.uint8), axis=1, count=width, bitorder="little")
+        packed = np.packbits(bits.reshape(len(rows), block * width), axis=1, bitorder="little")
         for row, body in zip(rows.tolist(), packed):
             outside = np.flatnonzero(over[row])
             bodies[row] = (
                 body.tobytes() + outside.astype("<u2").tobytes() + rest[row, outside].astype("<u4").tobytes()
             )
-    sizes = np.fromiter(map(len, bodies), np.int64, blocks)
-    index["offset"] = HEADER.size + INDEX.itemsize * blocks + np.cumsum(sizes) - sizes
-    return HEADER.pack(MAGIC, block, n, blocks) + index.tobytes() + b"".join(bodies)
+    return bodies
 
 
 def unpack(segment: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -80,23 +90,31 @@ def unpack(segment: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
         return np.zeros(0, np.uint32)
     first, last = start // block, -(-stop // block)
     index = np.frombuffer(segment, INDEX, blocks, HEADER.size)[first:last]
-    grid = np.zeros((len(index), block), np.int64)
+    grid = np.concatenate([
+        _unpacked(segment, index[i : i + SLICE], block) for i in range(0, len(index), SLICE)
+    ])
+    return grid.ravel()[start - first * block : stop - first * block]
+
+
+def _unpacked(segment: bytes, index: np.ndarray, block: int) -> np.ndarray:
+    grid = np.zeros((len(index), block), np.uint32)
     for width in np.unique(index["width"]).tolist():
         rows = np.flatnonzero(index["width"] == width)
         size = -(-block * width // 8)
         raw = np.zeros((len(rows), size), np.uint8)
         for i, row in enumerate(rows.tolist()):
             raw[i] = np.frombuffer(segment, np.uint8, size, int(index["offset"][row]))
-        bits = np.unpackbits(raw, axis=1, count=block * width, bitorder="little").reshape(len(rows), block, width)
-        for bit in range(width):
-            grid[rows] += bits[:, :, bit].astype(np.int64) << bit
+        bits = np.unpackbits(raw, axis=1, count=block * width, bitorder="little").reshape(len(rows) * block, width)
+        wide = np.zeros((len(bits), 4), np.uint8)
+        packed = np.packbits(bits, axis=1, bitorder="little")
+        wide[:, : packed.shape[1]] = packed
+        grid[rows] = wide.view("<u4").reshape(len(rows), block)
     for row in np.flatnonzero(index["exceptions"]).tolist():
         count = int(index["exceptions"][row])
         at = int(index["offset"][row]) + -(-block * int(index["width"][row]) // 8)
         places = np.frombuffer(segment, "<u2", count, at)
         grid[row, places] = np.frombuffer(segment, "<u4", count, at + 2 * count)
-    grid += index["base"].astype(np.int64)[:, None]
-    return grid.ravel()[start - first * block : stop - first * block].astype(np.uint32)
+    return grid + index["base"][:, None]
 
 
 _TABLES: dict[str, tuple[PieceTable, re.Pattern | None]] = {}
@@ -141,7 +159,7 @@ def write_tokens(
     a segment: whole documents until there are ``segment_ids`` ids, their keys
     and lengths, and ``start``, the ids before it in the same file. A null
     text counts as empty; null keys come first; rows of equal key are ordered
-    by their text. Other columns are left out.
+    by a hash of their text, then the text. Other columns are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_config(vocabulary))
     schema = T.StructType(
@@ -177,7 +195,7 @@ def write_tokens(
             types[4] = pa.list_(batch.schema.field(0).type)
             own = batch.column(0).to_pylist()
             for first, taken in runs(batch.column(1), 16_000_000):
-                ids, counts = table.encode(*spaced_words_of(taken, special))
+                ids, counts = table.encode(*run_ends_of(taken, special))
                 ends = np.cumsum(counts)
                 for i in range(len(taken)):
                     keys.append(own[first + i])
@@ -191,7 +209,9 @@ def write_tokens(
         if keys:
             yield close()
 
-    ordered = docs.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
+    # Rows of one key are spread by a hash of their text; the sample of range bounds must not hold texts.
+    keys = [F.col(id_col), F.xxhash64(text_col)]
+    ordered = docs.select(id_col, text_col).repartitionByRange(*keys).sortWithinPartitions(*keys, text_col)
     ordered.mapInArrow(work, schema).write.mode("overwrite").parquet(path)
 
 

@@ -124,3 +124,33 @@ def test_spaced_parts_are_the_text():
     ends = np.cumsum(counts)
     assert ["".join(parts[e - n : e].to_pylist()) for n, e in zip(counts, ends)] == texts
     assert scratch is not None
+
+
+def test_large_segments_take_little_memory():
+    """Ten million ids are packed some blocks at a time, and read back in part and whole."""
+    import tracemalloc
+
+    ids = np.random.default_rng(2).integers(0, 50_000, 10_000_000).astype(np.int32)
+    tracemalloc.start()
+    segment = token_files.pack(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert (token_files.unpack(segment, 4_999_990, 5_300_007) == ids[4_999_990:5_300_007]).all()
+    assert (token_files.unpack(segment) == ids).all()
+
+
+def test_parts_by_arrow_are_cut_where_the_library_cuts():
+    from intertie.llm.pieces import run_ends_of
+
+    library = Tokenizer.from_file(BYTE)
+    texts = strings()
+    parts, counts = run_ends_of(pa.array(texts))
+    parts, at = parts.to_pylist(), 0
+    for text, n in zip(texts, counts.tolist()):
+        own = parts[at : at + n]
+        at += n
+        assert "".join(own) == text
+        ids = [i for p in own for i in library.encode(p, add_special_tokens=False).ids]
+        if "<|endoftext|>" not in text:
+            assert ids == library.encode(text, add_special_tokens=False).ids, text
