@@ -26,6 +26,7 @@ from .pieces import (
     CHARACTER_BYTE,
     Cutter,
     PieceTable,
+    flat_ids,
     read_config,
     runs,
     spaced_words_of,
@@ -177,7 +178,7 @@ class Codec:
         self.merges: PairMerges | None = None
         known: dict[str, list[int]] = {}
 
-        def learn(parts: list[str]) -> list[list[int]]:
+        def learn(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if len(known) > 150_000:
                 known.clear()
             if self.merges is None:
@@ -191,7 +192,8 @@ class Codec:
                         found = known[piece] = special.get(piece) or self.merges.encode_piece(piece)
                     ids += found
                 out.append(ids)
-            return out
+            ids_of_all, lengths = flat_ids(out)
+            return ids_of_all, np.cumsum(lengths) - lengths, lengths
 
         self.table = PieceTable(learn, limit=400_000)
         names = self.config["model"]["vocab"] | self.cutter.special

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .pieces import SETTLED, PieceTable, runs, spaced_words_of
+from .pieces import SETTLED, PieceTable, flat_ids, runs, spaced_words_of
 
 NEVER = 1 << 60
 
@@ -205,7 +205,7 @@ class ByteCodec:
         self.split = Splitter(pattern)
         pieces: dict[str, list[int]] = {}
 
-        def learn(parts: list[str]) -> list[list[int]]:
+        def learn(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if len(pieces) > 150_000:
                 pieces.clear()
             out = []
@@ -217,7 +217,8 @@ class ByteCodec:
                         found = pieces[piece] = self.ranks.encode_piece(piece.encode("utf-8"))
                     ids += found
                 out.append(ids)
-            return out
+            ids_of_all, lengths = flat_ids(out)
+            return ids_of_all, np.cumsum(lengths) - lengths, lengths
 
         self.table = PieceTable(learn, limit=400_000)
         size = max(self.ranks.token) + 1

@@ -6,7 +6,8 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,25 +56,74 @@ def spaced_words_of(texts: pa.Array, special: re.Pattern | None = None) -> tuple
     return _flat([[t] if whole(t) else SPACED.findall(t) for t in texts.to_pylist()])
 
 
-#: A run of letters and digits, as the Arrow library finds it, and its end marked.
-RUN, MARKED, MARK = r"([\p{L}\p{N}]+)", "\\1\x1f", "\x1f"
+#: Bytes whose longer characters are looked up together.
+CHUNK = 1 << 20
+#: For each byte: a letter or digit of one byte, another such character, the first of a longer one, or a later byte of one.
+OTHER, ALNUM, FIRST, LATER = range(4)
+BYTE_KIND = bytes([ALNUM if chr(b).isalnum() else OTHER for b in range(128)] + [LATER] * 64 + [FIRST] * 64)
+
+
+@cache
+def letters_and_digits() -> np.ndarray:
+    """Whether each settled character is a letter or digit."""
+    found = np.zeros(0x110000, bool)
+    found[:0x1F650] = [unicodedata.category(chr(c))[0] in "LN" for c in range(0x1F650)]
+    return found
 
 
 def run_ends_of(texts: pa.Array, special: re.Pattern | None = None) -> tuple[pa.Array, np.ndarray]:
-    """Parts that together are a text, each ending with a run of letters and digits or with the text, by Arrow kernels.
+    """Parts that together are a text, each ending with a run of letters and digits or with the text.
 
     Fewer and longer than :func:`spaced_words_of` gives, and cut for the same
     reason. A text with a special token or with characters outside ``SETTLED``
-    is one part. Parts can be empty.
+    is one part. The parts share the memory of the texts, which must not be null.
     """
     if pc.any(pc.match_substring_regex(texts, SEPARATORS.pattern)).as_py():
         return spaced_words_of(texts, special)
     whole = pc.match_substring_regex(texts, SETTLED.pattern)
     if special is not None:
         whole = pc.or_(whole, pc.match_substring_regex(texts, special.pattern))
-    marked = pc.replace_substring_regex(texts, pattern=RUN, replacement=MARKED)
-    parts = pc.split_pattern(pc.if_else(whole, texts, marked), MARK)
-    return parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    whole = whole.to_numpy(zero_copy_only=False)
+    if not len(texts):
+        return texts, np.zeros(0, np.int64)
+    starts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2] if starts[-1] > starts[0] else pa.py_buffer(b"")
+    data = data.slice(int(starts[0]), int(starts[-1] - starts[0])) if data.size else data
+    starts -= starts[0]
+    kind = _kinds(data)
+    ends = np.zeros(len(kind) + 1, bool)
+    ends[1:-1] = kind[:-1] > kind[1:]
+    for i in np.flatnonzero(whole).tolist():
+        ends[starts[i] : starts[i + 1]] = False
+    ends[starts] = True
+    ends = np.flatnonzero(ends)
+    parts = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), data)
+    return parts, np.diff(np.searchsorted(ends, starts))
+
+
+def _kinds(data: pa.Buffer) -> np.ndarray:
+    """For each byte of UTF-8 whether its character is a letter or digit."""
+    known = letters_and_digits()
+    raw = np.frombuffer(data, np.uint8)
+    kind = np.frombuffer(bytearray(data).translate(BYTE_KIND), np.uint8)
+    for first in range(0, len(raw), CHUNK):
+        at = np.flatnonzero(kind[first : first + CHUNK] == FIRST) + first
+        lead = raw[at].astype(np.int64)
+        length = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+        code = lead & (0x3F >> (length - 1))
+        for k in (1, 2, 3):
+            code = np.where(length > k, code << 6 | raw[np.minimum(at + k, len(raw) - 1)] & 0x3F, code)
+        kind[at] = known[code]
+        for k in (1, 2, 3):
+            kind[at[length > k] + k] = known[code[length > k]]
+    return kind
+
+
+def joinable(parts: pa.Array) -> np.ndarray:
+    """Parts that, one after the other, are cut as each alone: from another character to a letter or digit."""
+    ends = pc.match_substring_regex(parts, r"(?s)^[^\p{L}\p{N}].*[\p{L}\p{N}]$")
+    settled = pc.invert(pc.match_substring_regex(parts, SETTLED.pattern))
+    return pc.and_(ends, settled).to_numpy(zero_copy_only=False)
 
 
 def special_pattern(config: dict) -> re.Pattern | None:
@@ -146,9 +196,12 @@ class Cutter:
 
 
 class PieceTable:
-    """Token ids of the pieces met so far, kept flat; it starts over once it holds ``limit`` pieces."""
+    """Token ids of the pieces met so far, kept flat.
+
+    Once it holds ``limit`` pieces, those met in one batch only go; if that leaves more than half, it starts over.
+    """
 
-    def __init__(self, learn: Callable[[list[str]], list[list[int]]], limit: int = 400_000) -> None:
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int = 400_000) -> None:
         self.learn = learn
         self.limit = limit
         self._clear()
@@ -157,36 +210,64 @@ class PieceTable:
         self.index: dict[str, int] = {}
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
 
+    def _shrink(self) -> None:
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > self.limit // 2:
+            return self._clear()
+        place = np.full(len(self.met), -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        self.index = {p: k for p, k in zip(self.index, place.tolist()) if k >= 0}
+        self.flat = self.flat[_spans(self.start[kept], self.length[kept])]
+        self.length = self.length[kept]
+        self.start = np.cumsum(self.length) - self.length
+        # Kept pieces must be met again to stay the next time.
+        self.met = np.ones(len(kept), np.int32)
+
     def encode(self, pieces: pa.Array, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all documents in one array, and the number of ids of each document.
 
         ``pieces`` are those of all documents in turn, ``per_doc`` of them from each.
         """
         if len(self.index) > self.limit:
-            self._clear()
+            self._shrink()
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        unseen = [p for p in distinct if p not in self.index]
-        if unseen:
-            found = self.learn(unseen)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            ends = np.cumsum(lengths) + len(self.flat)
-            self.index.update(zip(unseen, range(len(self.start), len(self.start) + len(unseen))))
-            self.start = np.concatenate([self.start, ends - lengths])
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            unseen = [distinct[i] for i in new.tolist()]
+            found, starts, lengths = self.learn(unseen)
+            rows[new] = np.arange(len(self.start), len(self.start) + len(unseen))
+            self.index.update(zip(unseen, rows[new].tolist()))
+            self.start = np.concatenate([self.start, starts + len(self.flat)])
             self.length = np.concatenate([self.length, lengths])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32)])
-        rows = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+            self.met = np.concatenate([self.met, np.zeros(len(unseen), np.int32)])
+            self.flat = np.concatenate([self.flat, found])
+        self.met[rows] += 1
         at = rows[coded.indices.to_numpy(zero_copy_only=False)]
         counts = self.length[at]
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[at] - (ends - counts), counts) + np.arange(total)]
+        ids = self.flat[_spans(self.start[at], counts)]
         reached = np.concatenate([[0], ends])[np.cumsum(per_doc)]
         return ids, np.diff(reached, prepend=0)
 
 
+def flat_ids(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids in one array, and their lengths."""
+    return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places ``start`` to ``start + count`` of every span in turn."""
+    ends = np.cumsum(counts)
+    places = np.arange(int(ends[-1]) if len(ends) else 0)
+    places += np.repeat(starts - (ends - counts), counts)
+    return places
+
+
 def runs(texts: pa.Array, characters: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Consecutive texts, about that many bytes at a time and one text at least; null counts as empty."""
     texts = pc.fill_null(texts, "")

@@ -21,17 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .pieces import PieceTable, read_config, run_ends_of, runs, special_pattern
+from .pieces import PieceTable, flat_ids, joinable, read_config, run_ends_of, runs, special_pattern
 
 MAGIC = b"PFR1"
 HEADER = struct.Struct("<4sIII")
 #: Blocks that are packed or unpacked together.
 SLICE = 256
+#: Parts that the library gets as one text.
+JOINED = 1000
 INDEX = np.dtype([("offset", "<u8"), ("base", "<u4"), ("exceptions", "<u4"), ("width", "<u4")])
 
 
@@ -69,9 +72,8 @@ def _packed(values: np.ndarray, index: np.ndarray, block: int, share: float) ->
     bodies: list[bytes] = [b""] * blocks
     for width in np.unique(index["width"]).tolist():
         rows = np.flatnonzero(index["width"] == width)
-        kept = np.where(over[rows], 0, rest[rows]).astype("<u4").reshape(-1, 1)
-        bits = np.unpackbits(kept.view(np.uint8), axis=1, count=width, bitorder="little")
-        packed = np.packbits(bits.reshape(len(rows), block * width), axis=1, bitorder="little")
+        kept = np.where(over[rows], 0, rest[rows])
+        packed = _joined(kept, width)
         for row, body in zip(rows.tolist(), packed):
             outside = np.flatnonzero(over[row])
             bodies[row] = (
@@ -80,6 +82,39 @@ def _packed(values: np.ndarray, index: np.ndarray, block: int, share: float) ->
     return bodies
 
 
+def _joined(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values at ``width`` bits each, lowest first; eight values make ``width`` bytes."""
+    rows, n = values.shape
+    groups = -(-n // 8)
+    eights = np.zeros((rows, groups * 8), np.uint64)
+    eights[:, :n] = values
+    out = np.zeros((rows, groups, width), np.uint8)
+    for k in range(8):
+        first, shift = divmod(k * width, 8)
+        bits = eights[:, k::8] << np.uint64(shift)
+        for j in range(-(-(shift + width) // 8) if width else 0):
+            out[:, :, first + j] |= (bits >> np.uint64(8 * j)).astype(np.uint8)
+    return out.reshape(rows, groups * width)[:, : -(-n * width // 8)]
+
+
+def _separated(packed: np.ndarray, width: int, n: int) -> np.ndarray:
+    """What :func:`_joined` was given: rows of ``n`` values."""
+    rows, size = packed.shape
+    groups = -(-n // 8)
+    padded = np.zeros((rows, groups * width), np.uint8)
+    padded[:, :size] = packed
+    padded = padded.reshape(rows, groups, width)
+    out = np.zeros((rows, groups * 8), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for k in range(8 if width else 0):
+        first, shift = divmod(k * width, 8)
+        bits = np.zeros((rows, groups), np.uint64)
+        for j in range(-(-(shift + width) // 8)):
+            bits |= padded[:, :, first + j].astype(np.uint64) << np.uint64(8 * j)
+        out[:, k::8] = (bits >> np.uint64(shift)) & mask
+    return out[:, :n]
+
+
 def unpack(segment: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
     """Values ``start`` to ``stop`` of a segment; only the blocks that hold them are read."""
     magic, block, n, blocks = HEADER.unpack_from(segment)
@@ -104,11 +139,7 @@ def _unpacked(segment: bytes, index: np.ndarray, block: int) -> np.ndarray:
         raw = np.zeros((len(rows), size), np.uint8)
         for i, row in enumerate(rows.tolist()):
             raw[i] = np.frombuffer(segment, np.uint8, size, int(index["offset"][row]))
-        bits = np.unpackbits(raw, axis=1, count=block * width, bitorder="little").reshape(len(rows) * block, width)
-        wide = np.zeros((len(bits), 4), np.uint8)
-        packed = np.packbits(bits, axis=1, bitorder="little")
-        wide[:, : packed.shape[1]] = packed
-        grid[rows] = wide.view("<u4").reshape(len(rows), block)
+        grid[rows] = _separated(raw, width, block)
     for row in np.flatnonzero(index["exceptions"]).tolist():
         count = int(index["exceptions"][row])
         at = int(index["offset"][row]) + -(-block * int(index["width"][row]) // 8)
@@ -133,14 +164,49 @@ def library_table(text: str) -> tuple[PieceTable, re.Pattern | None]:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def learn(parts: list[str]) -> list[list[int]]:
-            out: list[list[int]] = []
-            for first in range(0, len(parts), 2000):
-                got = tokenizer.encode_batch_fast(parts[first : first + 2000], add_special_tokens=False)
-                out += [e.ids for e in got]
-            return out
-
-        _TABLES[text] = PieceTable(learn, limit=1_200_000), special_pattern(json.loads(text))
+        special = special_pattern(json.loads(text))
+        sizes = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+            sizes[i] = len(token)
+
+        def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            return flat_ids([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+        def learn(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Ids of the parts; to the library many parts are one text, whose ids are cut by the bytes they stand for."""
+            start, length = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+            flat: list[np.ndarray] = []
+            held = 0
+            strings = pa.array(parts, pa.string())
+            joins = joinable(strings)
+            alone = np.flatnonzero(~joins).tolist()
+            reach = pc.binary_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)
+
+            def keep(rows, ids: np.ndarray, lengths: np.ndarray) -> None:
+                nonlocal held
+                start[rows] = np.cumsum(lengths) - lengths + held
+                length[rows] = lengths
+                flat.append(ids)
+                held += len(ids)
+
+            together = np.flatnonzero(joins)
+            for first in range(0, len(together), JOINED):
+                rows = together[first : first + JOINED]
+                joined = "".join([parts[i] for i in rows.tolist()])
+                ids, _ = encode([joined])
+                reached, ends = np.cumsum(sizes[ids]), np.cumsum(reach[rows])
+                last = np.searchsorted(reached, ends)
+                whole = len(ids) and reached[-1] == ends[-1] and (reached[last] == ends).all()
+                if not whole or (special is not None and special.search(joined)):
+                    alone += rows.tolist()
+                else:
+                    keep(rows, ids, np.diff(last + 1, prepend=0))
+            for first in range(0, len(alone), 2000):
+                rows = alone[first : first + 2000]
+                keep(rows, *encode([parts[i] for i in rows]))
+            return np.concatenate(flat), start, length
+
+        _TABLES[text] = PieceTable(learn, limit=500_000), special
     return _TABLES[text]
 
 

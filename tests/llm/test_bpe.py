@@ -154,3 +154,43 @@ def test_parts_by_arrow_are_cut_where_the_library_cuts():
         ids = [i for p in own for i in library.encode(p, add_special_tokens=False).ids]
         if "<|endoftext|>" not in text:
             assert ids == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_parts_learned_together_have_the_ids_of_each():
+    """Also where joined parts would make a special token, and where a part must not be joined."""
+    from intertie.llm.pieces import joinable
+
+    table, _ = token_files.library_table(read_config(BYTE))
+    library = Tokenizer.from_file(BYTE)
+    parts = [f" wort{i}" for i in range(1500)] + ["<|endoftext", "|>x", "x", "", " ", "  a", "'s", "'tis", "\n\n1", " é", " あ", "ab ", " \U000e0100b"]
+    flat, start, length = table.learn(parts)
+    assert joinable(pa.array(parts)).sum() > 1500
+    for part, first, n in zip(parts, start.tolist(), length.tolist()):
+        assert flat[first : first + n].tolist() == library.encode(part, add_special_tokens=False).ids, part
+
+
+def test_piece_table_keeps_what_was_met_again():
+    from intertie.llm.pieces import PieceTable, flat_ids
+
+    learned = []
+
+    def learn(parts):
+        learned.extend(parts)
+        flat, lengths = flat_ids([list(p.encode()) for p in parts])
+        return flat, np.cumsum(lengths) - lengths, lengths
+
+    table = PieceTable(learn, limit=6)
+    for batch in (["aa", "b"], ["aa", "c", "d", "ee", "f", "g"], ["ee", "aa", "h"], ["h", "aa"]):
+        ids, counts = table.encode(pa.array(batch), np.array([len(batch) - 1, 1]))
+        assert bytes(ids.tolist()).decode() == "".join(batch) and counts[1] == len(batch[-1])
+    assert learned.count("aa") == 1 and learned.count("ee") == 2 and len(table.index) == 3
+
+
+def test_packed_bits_are_in_order():
+    values = np.random.default_rng(4).integers(0, 2**32, (5, 37)).astype(np.uint32)
+    for width in range(33):
+        kept = values & np.uint32((1 << width) - 1)
+        bits = np.unpackbits(kept.astype("<u4").reshape(-1, 1).view(np.uint8), axis=1, count=width, bitorder="little")
+        packed = token_files._joined(kept, width)
+        assert (packed == np.packbits(bits.reshape(5, 37 * width), axis=1, bitorder="little")).all()
+        assert (token_files._separated(packed, width, 37) == kept).all()
