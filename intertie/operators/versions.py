@@ -88,6 +88,10 @@ def latest_point(
     return look_up(rows, ranked, keys, time, point_time, value, lambda begins, t: begins <= t, fanout)
 
 
+#: Entries of a level of a search tree that are sent to every executor.
+BROADCAST = 100_000
+
+
 def look_up(
     rows: DataFrame, ranked: DataFrame, keys: Sequence[str], time: str, point_time: str, value: str,
     passed: Callable[[Column, Column], Column], fanout: int = 64,
@@ -98,19 +102,27 @@ def look_up(
     for none after them; ``_rank`` counts a key's points from 0. Points become
     a search tree: leaves of ``fanout`` (a power of two) points, and above them
     nodes that hold where their children begin. A row takes one equi-join for
-    each level, with one row on the other side, so nothing is multiplied, rows
-    are neither ordered nor stored, adaptive execution can split a hot key, and
-    a small tree is broadcast. The number of levels is the logarithm of the
-    largest number of points of a key.
+    each level, with one row on the other side, so nothing is multiplied and
+    rows are neither ordered nor stored. A level of at most ``BROADCAST``
+    entries is broadcast, so rows with hot keys, which the upper levels bring
+    together, stay where they are; of larger levels adaptive execution can
+    split a hot node. The number of levels is the logarithm of the largest
+    number of points of a key.
     """
     ranked = materialised(ranked.select(*keys, point_time, value, "_rank"))
-    most = ranked.agg(F.max("_rank")).first()[0] or 0
+    # Entries of each level, for as many as a rank can need.
+    depth = 1
+    while fanout**depth < 1 << 40:
+        depth += 1
+    counted = ranked.agg(F.max("_rank"), *[F.count_if(F.col("_rank") % fanout**i == 0) for i in range(depth)]).first()
+    most, sizes = counted[0] or 0, counted[1:]
     levels = 1
     while fanout**levels <= most:
         levels += 1
     on = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     # A column name that neither side can have.
-    reached = rows.withColumn("_block_", F.lit(0).cast("long"))
+    # Always 0; a literal would leave rows without keys no equality to join by.
+    reached = rows.withColumn("_block_", F.xxhash64(F.col(time)) % 1)
     # How many entries a row has passed, found by halving.
     strides = [fanout >> i for i in range(1, fanout.bit_length())] + [1]
     for level in range(levels - 1, -1, -1):
@@ -120,6 +132,8 @@ def look_up(
             *on, F.floor(F.col("_rank") / (step * fanout)).alias("_node")
         ).agg(F.sort_array(F.collect_list(F.struct("_rank", entry.alias("entry")))).alias("_sorted"))
         nodes = nodes.select(*[f"_k{i}" for i in range(len(keys))], "_node", F.col("_sorted.entry").alias("_entries"))
+        if sizes[level] <= BROADCAST:
+            nodes = F.broadcast(nodes)
         meets = F.col("_block_") == F.col("_node")
         for i, key in enumerate(keys):
             meets = meets & (F.col(key) == F.col(f"_k{i}"))

@@ -60,3 +60,41 @@ def test_global_windows_are_limited_to_slices(spark):
     text = plan(ordering.with_index(ordered))
     single = text[text.index("Exchange SinglePartition"):]
     assert re.search(r"Exchange SinglePartition.*HashAggregate\(keys=\[_part", single, re.S)
+
+
+def test_rows_stay_where_they_are_for_a_small_look_up(spark, monkeypatch):
+    """Points of three hot keys are broadcast level by level; a larger tree is joined to the same rows."""
+    from pyspark.sql import functions as F
+
+    from intertie.operators import versions
+
+    facts = spark.range(0, 3000, 1, 6).select(
+        F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("k"), F.when(F.col("id") % 11 > 0, F.col("id") % 400 - 20).alias("t"), "id"
+    )
+    points = spark.range(0, 900).select((F.col("id") % 3).alias("k"), F.col("id").alias("at"), (F.col("id") * 10).alias("v"))
+
+    def plan_and_rows(keys):
+        found = versions.as_of_join(facts, points, keys, "t", "at", ["v"], ["v"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return plan, sorted((r.id, r.v) for r in found.collect())
+
+    wanted = {("k",): lambda k, t: t - (t - k) % 3 if None not in (k, t) and t >= k else None, (): lambda k, t: t if t is not None and t >= 0 else None}
+    for keys, expected in wanted.items():
+        small, rows = plan_and_rows(list(keys))
+        assert "BroadcastHashJoin" in small and "SortMergeJoin" not in small and "NestedLoop" not in small
+        want = [(r.id, None if (at := expected(r.k, r.t)) is None else at * 10) for r in facts.collect()]
+        assert rows == sorted(want)
+        with monkeypatch.context() as m:
+            m.setattr(versions, "BROADCAST", 0)
+            large, again = plan_and_rows(list(keys))
+            assert "NestedLoop" not in large and again == rows
+
+
+def test_report_lines_are_parsed_once(spark):
+    """Conditions on fields use what was parsed; each would parse the line again below the projection."""
+    from intertie.sources import reports
+
+    lines = spark.createDataFrame([("D,IRAUCTION,RESIDUE_PUBLIC_DATA,1,C2024Q1T01,1,A,B,5,4,1.5,",)], "value string")
+    read = reports.parsed(lines, 12).where("length(_f.f4) >= 9 AND try_cast(_f.f8 AS INT) > 1 AND _f.f9 IS NOT NULL").select("_f.f4", "_f.f10")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert read.collect() == [("C2024Q1T01", "1.5")]
