@@ -14,9 +14,10 @@ from .settlement import CERTIFY_SQL, _certified
 
 
 def _report(spark, df, *parts) -> str:
-    """Report lines written as text; returns the folder."""
+    """Report lines written as text; returns the folder. Files stay of the size that one task can hash."""
     path = scratch_path(spark, "report")
-    df.select(F.concat_ws(",", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("value")).write.text(path)
+    lines = df.select(F.concat_ws(",", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("value"))
+    lines.write.option("maxRecordsPerFile", 500_000).text(path)
     return path
 
 

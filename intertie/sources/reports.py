@@ -6,8 +6,12 @@ source of :mod:`.archives`; everything after that is Spark SQL.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import codecs
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from ..functions.market import auction_id, result_status, safe_decimal, safe_int
 from ..functions.quarters import CONTRACT_PATTERN, contract_quarter, contract_tranche
 from ..operators.versions import first_occurrence
 from ..schemas import FCAS_SERVICES
+from ..session import with_package
 from .archives import ARCHIVES, archive_outcomes, read_archive_lines, stream_archive_lines  # noqa: F401 - outcomes go with the readers
 from .catalog import effective_date, literal_pattern, newest_name
 
@@ -65,6 +70,15 @@ def fields(count: int, value: str = "value") -> Column:
     return F.from_csv(F.col(value), F.lit(ddl), {"mode": "PERMISSIVE"})
 
 
+def parsed(lines: DataFrame, count: int, *others: str) -> DataFrame:
+    """Other columns and the first ``count`` fields as ``_f``.
+
+    Filters stay above the array, so every line is parsed once; below it the
+    optimizer would parse a line again for each condition.
+    """
+    return lines.select(*others, F.explode(F.array(fields(count))).alias("_f"))
+
+
 def field_count(value: str = "value") -> Column:
     """Number of fields; commas inside quotes do not count."""
     return F.size(F.split(F.regexp_replace(F.col(value), r'"[^"]*"', ""), ","))
@@ -90,8 +104,8 @@ def read_auction_results(spark: SparkSession, path: str, pattern: str = "*.csv")
 
 def _auction_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     lines = _lines(spark, path, ["D,RESIDUE_PUBLIC_DATA,"], False, pattern).where(field_count() >= 12)
-    parsed = lines.select("source_file", "source_path", fields(12).alias("_f"))
-    return parsed.select(
+    read = parsed(lines, 12, "source_file", "source_path")
+    return read.select(
         "source_file",
         "source_path",
         _text(4).alias("contract_id"),
@@ -166,25 +180,97 @@ SETTLEMENT_MONEY = {
 }
 
 
+def file_hashes(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Full path and SHA-256 of each plain file with a line.
+
+    Tasks read splits of the files and join consecutive lines to chunks. The
+    digest takes bytes in order, so a file's chunks pass one task in turn;
+    nothing holds a file.
+    """
+    lines = _raw_lines(spark, path, pattern).select(
+        F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("content"),
+    )
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path, size, block, content = batch.columns
+            file = path.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            changes = (np.diff(file, prepend=-1) != 0) | (np.diff(block.to_numpy(zero_copy_only=False), prepend=-1) != 0)
+            first = np.flatnonzero(changes)
+            reach = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1]
+            at = reach[np.append(first, len(content))].tolist()
+            joined = [content.buffers()[2][i:j].to_pybytes() for i, j in zip(at, at[1:])]
+            own = pa.array(first)
+            yield pa.RecordBatch.from_arrays(
+                [path.take(own), size.take(own), block.take(own), pa.array(range(count, count + len(own)), pa.int64()),
+                 pa.array(joined, pa.binary())],
+                names=["source_path", "size", "block", "chunk", "content"],
+            )
+            count += len(own)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, size, seen, plain, marked = None, 0, 0, None, None
+
+        def closed() -> pa.RecordBatch:
+            # The last line feed is held back, as the file can lack it; the reader passes over a byte-order mark.
+            digest, missing = (marked, size - seen - 3) if size - seen > 1 else (plain, size - seen)
+            if missing not in (0, 1):
+                raise ValueError(f"{name} has {size} bytes, of which its lines have {seen}")
+            digest.update(b"\n" * missing)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([digest.hexdigest()])], names=["source_path", "source_hash"]
+            )
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                content = memoryview(batch.column(4)[i].as_buffer())
+                if batch.column(0)[i].as_py() != name:
+                    if name is not None:
+                        yield closed()
+                    name, size, seen = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), -1
+                    plain, marked = hashlib.sha256(), hashlib.sha256(codecs.BOM_UTF8)
+                for digest in (plain, marked):
+                    digest.update(b"" if seen < 0 else b"\n")
+                    digest.update(content[:-1])
+                seen += len(content)
+        if name is not None:
+            yield closed()
+
+    with_package(spark)
+    joined = lines.mapInArrow(chunks, "source_path string, size long, block long, chunk long, content binary")
+    ordered = joined.repartition("source_path").sortWithinPartitions("source_path", "block", "chunk")
+    return ordered.mapInArrow(digests, "source_path string, source_hash string")
+
+
+def _raw_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+
+
 def read_settlement_lines(spark: SparkSession, path: str, pattern: str = "AUCUNITS_*.R*") -> DataFrame:
     """Weekly settlement lines, each marked ``_ok`` when every field parses.
 
-    Whole files are read, because each row carries the SHA-256 of its file.
+    Files are read line by line and cut into splits, whatever their size.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("source_file"),
-        F.sha2("content", 256).alias("source_hash"),
-        F.explode(F.split(F.decode("content", "UTF-8"), r"\r?\n")).alias("value"),
+    files = _raw_lines(spark, path, pattern).select(
+        F.col("_metadata.file_path").alias("source_path"),
+        # Spark gives the name as in a URL, where a plus sign stands for itself.
+        F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("source_file"),
+        F.regexp_replace(F.decode(F.col("value").cast("binary"), "UTF-8"), r"\r$", "").alias("value"),
     )
     lines = files.withColumn("value", F.trim("value")).where(F.col("value").startswith("D,BILLING,AUCTION_UNITS"))
-    parsed = lines.where(field_count() >= 22).select("source_file", "source_hash", "value", fields(22).alias("_f"))
+    read = parsed(lines.where(field_count() >= 22), 22, "source_path", "source_file", "value")
 
     def day(position: int) -> Column:
         text = _text(position)
         return F.coalesce(_ntz(text), _ntz(text, "yyyy/MM/dd")).cast("date")
 
     year, quarter = _text(10).try_cast("int"), _text(11).try_cast("int")
-    rows = parsed.select(
+    rows = read.select(
         "source_file", effective_date("source_file").alias("effective_date"), _text(9).alias("bill_run_type"),
         _text(4).try_cast("int").alias("contract_year"), _text(5).try_cast("int").alias("week_no"),
         _text(6).try_cast("int").alias("bill_run_no"), day(7).alias("start_date"), day(8).alias("end_date"),
@@ -193,7 +279,7 @@ def read_settlement_lines(spark: SparkSession, path: str, pattern: str = "AUCUNI
         _text(12).alias("interconnector_id"), _text(13).alias("from_region"),
         _text(14).try_cast("double").cast("int").alias("purchased_units"),
         *[_text(i).try_cast("decimal(22,8)").alias(name) for name, i in SETTLEMENT_MONEY.items()],
-        "source_hash", "value",
+        "source_path", "value",
     )
     needed = ["contract_year", "week_no", "bill_run_no", "residue_year", "quarter_no", "purchased_units", *SETTLEMENT_MONEY]
     ok = F.lit(True)
@@ -203,7 +289,11 @@ def read_settlement_lines(spark: SparkSession, path: str, pattern: str = "AUCUNI
 
 
 def read_settlement_weeks(spark: SparkSession, path: str, pattern: str = "AUCUNITS_*.R*") -> DataFrame:
-    return read_settlement_lines(spark, path, pattern).where("_ok").drop("_ok", "value")
+    """Settlement rows, each with the SHA-256 of its file."""
+    rows = read_settlement_lines(spark, path, pattern).where("_ok").drop("_ok", "value")
+    # One row for each file.
+    hashes = F.broadcast(file_hashes(spark, path, pattern))
+    return rows.join(hashes, "source_path").drop("source_path")
 
 
 def read_settlement_rejects(spark: SparkSession, path: str, pattern: str = "AUCUNITS_*.R*") -> DataFrame:
@@ -253,7 +343,7 @@ RESIDUE_PREFIX = "D,DISPATCH,IRSR,2,"
 def _residue_rows(lines: DataFrame) -> DataFrame:
     lines = lines.where(field_count() >= 8)
     return (
-        lines.select("source_file", fields(8).alias("_f"))
+        parsed(lines, 8, "source_file")
         .select(
             _ntz(_text(4)).alias("trading_interval"), _text(5).alias("interconnector_id"), _text(6).alias("from_region"),
             _text(7).try_cast("decimal(20,6)").alias("residue_aud"), "source_file",
@@ -266,7 +356,7 @@ def read_interval_surplus(spark: SparkSession, path: str, archived: bool = True,
     """Settlement-period surplus rows."""
     lines = _lines(spark, path, ["D,SETTLEMENTS,IRSURPLUS"], archived, pattern)
     return (
-        lines.select(fields(12).alias("_f"))
+        parsed(lines, 12)
         .select(
             _ntz(_text(4)).alias("settlement_date"), _text(5).try_cast("int").alias("run_no"),
             _text(6).try_cast("int").alias("period_id"), _text(7).alias("interconnector_id"),
@@ -281,7 +371,7 @@ def read_interval_surplus(spark: SparkSession, path: str, archived: bool = True,
 def read_billing_runs(spark: SparkSession, path: str, archived: bool = True, pattern: str | None = None) -> DataFrame:
     lines = _lines(spark, path, ["D,BILLING,RUNTRK"], archived, pattern)
     return (
-        lines.select(fields(8).alias("_f"))
+        parsed(lines, 8)
         .select(
             _text(4).try_cast("int").alias("contract_year"), _text(5).try_cast("int").alias("week_no"),
             _text(6).try_cast("int").alias("bill_run_no"), F.upper(_text(7)).alias("status"),
@@ -295,7 +385,7 @@ def read_residue_results_raw(
 ) -> DataFrame:
     """Monthly residue results from the raw reports."""
     lines = _lines(spark, path, ["D,IRAUCTION,RESIDUE_PUBLIC_DATA"], archived, pattern).where(field_count() >= 12)
-    rows = lines.select("source_file", fields(12).alias("_f")).where(F.length(_text(4)) >= 9)
+    rows = parsed(lines, 12, "source_file").where(F.length(_text(4)) >= 9)
     named = F.lit(month) if month else F.regexp_extract("source_file", r"(\d{4}-?\d{2})", 1)
     return rows.select(
         named.alias("mmsdm_month"), F.substring(_text(4), 1, 7).alias("quarter"),
@@ -340,7 +430,7 @@ PRICE_PREFIX = "D,DISPATCH,PRICE,"
 
 def _placed_prices(lines: DataFrame) -> DataFrame:
     width = max(PRICE_POSITIONS.values()) + 1
-    return lines.where(field_count() >= 12).select("source_file", fields(width).alias("_f")).select(
+    return parsed(lines.where(field_count() >= 12), width, "source_file").select(
         "source_file", *[_text(i).alias(name) for name, i in PRICE_POSITIONS.items()]
     )
 
@@ -364,7 +454,7 @@ def _read_forecast(
         newest = newest_name(spark, path, pattern or (ARCHIVES if archived else "*"))
         pattern = literal_pattern(newest) if newest else pattern
     lines = _lines(spark, path, [prefix], archived, pattern).where(field_count() >= width)
-    rows = lines.select("source_file", fields(max(width, stamp + 1)).alias("_f")).select(
+    rows = parsed(lines, max(width, stamp + 1), "source_file").select(
         _ntz(_text(stamp)).alias("timestamp"), _text(region).alias("region"),
         _text(price).try_cast("double").alias("price_mwh"), F.lit(source).alias("source"), "source_file",
     )

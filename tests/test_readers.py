@@ -126,6 +126,29 @@ def test_settlement_weeks(spark, settlement):
     assert len(rejects) == 1 and ",V1," in rejects[0].value
 
 
+def test_settlement_files_are_read_in_splits(spark, tmp_path):
+    """One file in many splits, with a byte-order mark, carriage returns and without a last line feed."""
+    body = (UNITS_HEAD + units_line("FINAL", 1, "SA1", "80.25") * 3000).replace("\n", "\r\n")
+    files = {
+        "AUCUNITS_20250201.R016": body.encode(), "AUCUNITS_20250208.R017": b"\xef\xbb\xbf" + body.rstrip().encode(),
+        "AUCUNITS_20250215.R +18": (body + "\n\n").encode(), "AUCUNITS_20250222.R019": b"\xef\xbb\xbf" + body.encode(),
+        "AUCUNITS_20250301.R020": units_line("FINAL", 1, "SA1", "1", net="")[:-1].encode(), "AUCUNITS_20250308.R021": b"",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        lines = reports.read_settlement_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 40
+        rows = reports.read_settlement_weeks(spark, str(tmp_path)).groupBy("source_file", "source_hash").count().collect()
+        rejects = reports.read_settlement_rejects(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    kept = [*files][:4]
+    assert sorted(map(tuple, rows)) == [(n, hashlib.sha256(files[n]).hexdigest(), 3000) for n in kept]
+    assert [r.source_file for r in rejects] == ["AUCUNITS_20250301.R020"] and not rejects[0].value.endswith("\r")
+
+
 def test_reconciliation_job(spark, settlement, tmp_path):
     folder = tmp_path / "residue"
     folder.mkdir()
