@@ -29,6 +29,8 @@ from ..session import with_package
 #: Archives by name, in either case.
 ARCHIVES = "*.[zZ][iI][pP]"
 BATCH_LINES = 20_000
+#: Compressed bytes of a task: some ten times as many of text, and enough tasks for an even load.
+PART_BYTES = 4 << 20
 # A file too short to be an archive makes a stream seek before its start.
 FAULTS = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError, pa.ArrowInvalid)
 
@@ -212,7 +214,7 @@ class _Options:
         self.pattern = options.get("pattern", ARCHIVES)
         self.prefixes = tuple(json.loads(options.get("prefixes", '[""]')))
         self.outcomes = options.get("report", "lines") == "outcomes"
-        self.part_bytes = int(options.get("partitionBytes", 32 << 20))
+        self.part_bytes = int(options.get("partitionBytes", PART_BYTES))
 
 
 class ArchiveReader(_Options, DataSourceReader):
@@ -280,7 +282,7 @@ def _source(reader, path: str, prefixes: Sequence[str], pattern: str, **options)
 
 
 def read_archive_lines(
-    spark: SparkSession, path: str, prefixes: Sequence[str], pattern: str = ARCHIVES, part_bytes: int = 32 << 20
+    spark: SparkSession, path: str, prefixes: Sequence[str], pattern: str = ARCHIVES, part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """Lines starting with one of ``prefixes`` from (nested) zip archives, members dealt to tasks by size.
 
@@ -292,7 +294,7 @@ def read_archive_lines(
 
 
 def stream_archive_lines(
-    spark: SparkSession, path: str, prefixes: Sequence[str], pattern: str = ARCHIVES, part_bytes: int = 32 << 20
+    spark: SparkSession, path: str, prefixes: Sequence[str], pattern: str = ARCHIVES, part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """The same as a stream over archives as they land; a restarted query goes on after the last one it read."""
     with_package(spark).dataSource.register(ReportArchive)
@@ -332,7 +334,7 @@ def write_archives(lines: DataFrame, path: str, label: str, header: str | None =
         with system.open_output_stream(unfinished) as stream:
             with zipfile.ZipFile(outer if cut else stream, "w", zipfile.ZIP_DEFLATED) as archive:
                 for batch in batches:
-                    values = batch.column(0).to_pylist()
+                    values = batch.column(0).to_numpy(zero_copy_only=False).tolist()
                     for first in range(0, len(values), 5000):
                         own = values[first : first + 5000]
                         inner = io.BytesIO()
